@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, packing
+from . import decontamination, exact_dedup, packing, simhash
 
 MODULES = {
     "op1_packing": packing,
     "op5_exact_dedup": exact_dedup,
+    "op9_simhash": simhash,
+    "op10_decontamination": decontamination,
 }
 
 QUERIES = {name: module.query for name, module in MODULES.items()}
