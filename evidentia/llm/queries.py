@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, packing, simhash
+from . import decontamination, exact_dedup, packing, simhash, toxicity
 
 MODULES = {
     "op1_packing": packing,
+    "op4_toxicity": toxicity,
     "op5_exact_dedup": exact_dedup,
     "op9_simhash": simhash,
     "op10_decontamination": decontamination,
