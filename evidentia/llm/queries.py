@@ -1,11 +1,13 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, packing, simhash, toxicity
+from . import decontamination, exact_dedup, packing, quality, simhash, toxicity, warc
 
 MODULES = {
     "op1_packing": packing,
     "op4_toxicity": toxicity,
     "op5_exact_dedup": exact_dedup,
+    "op6_warc": warc,
+    "op8_quality": quality,
     "op9_simhash": simhash,
     "op10_decontamination": decontamination,
 }

@@ -11,7 +11,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of each cache. A full cache is emptied; results never depend on it.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Characters for which lower case, canonical composition and classes are the same in Python and in the tokenizer.
 PLAIN = re.compile("[!-~¡-įı-ɏ]+")
 #: How byte-level models write bytes: printable Latin-1 as it is, the others in order from U+0100.
@@ -54,7 +54,7 @@ class WordTokenizer:
         return [self.whole(x) if w is None else b"".join(map(self.words.__getitem__, w)) for x, w in zip(texts, split, strict=True)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.pieces) > 2 * CACHE:
+        if len(self.pieces) > CACHE:
             self.pieces.clear()
         split, new = [], {}
         for w in words:
