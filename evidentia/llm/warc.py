@@ -10,7 +10,7 @@ that runs twice, makes the same records.
 `serialize` writes any records as WARC bytes, a gzip member each. One row is worked at a time: nothing is collected.
 
 Defined results: a null html is an empty body; a null url becomes an empty target URI and is not resolved against;
-rows with equal url and body are equal records, told apart by their ordinal key; a record without a body gives a
+equal rows give equal records, ids included; a record without a body gives a
 conversion record of length 0; bytes that are no UTF-8 are read with replacement characters; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -46,7 +46,7 @@ _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I
 )
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" *\n[\n ]*")
+_BLANKS, _LINES = re.compile(r"(?: [^\S\n]|[^\S\n ])[^\S\n]*"), re.compile(r" *\n[\n ]*")  # the first passes single spaces over
 
 
 def digest(block: bytes) -> str:
@@ -89,18 +89,19 @@ def _join(base: str, url: str) -> str | None:
 
 
 def record(page_id, kind: str, uri: str, block: bytes, content_type: str, date: str, refers_to: str | None, name: str, payload: str, more: tuple = ()) -> tuple:
+    own = digest(block)
     record_id = f"<urn:uuid:{uuid.uuid5(SPACE, kind + ' ' + name)}>"
     lines = [
         ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", uri),
-        *([("WARC-Refers-To", refers_to)] if refers_to else []), ("WARC-Block-Digest", digest(block)),
+        *([("WARC-Refers-To", refers_to)] if refers_to else []), ("WARC-Block-Digest", own),
         *([("WARC-Payload-Digest", payload)] if payload else []), *more, ("Content-Type", content_type), ("Content-Length", str(len(block))),
     ]
     head = "WARC/1.0\r\n" + "".join(f"{k}: {_one_line(v)}\r\n" for k, v in lines)
-    return page_id, kind, record_id, refers_to, uri, head, block, digest(block), payload, len(block)
+    return page_id, kind, record_id, refers_to, uri, head, block, own, payload, len(block)
 
 
 def _one_line(value: str) -> str:
-    return re.sub(r"[\r\n\0]+", " ", value)
+    return value if value.isprintable() else re.sub(r"[\r\n\0]+", " ", value)
 
 
 def response(page_id, url: str | None, body: str | None, date: str = DATE) -> tuple:
