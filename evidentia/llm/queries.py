@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, packing, quality, simhash, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, packing, quality, simhash, surrogates, token_counts, toxicity, warc
 
 MODULES = {
     "op1_packing": packing,
+    "op2_surrogates": surrogates,
     "op3_token_counts": token_counts,
     "op4_toxicity": toxicity,
     "op5_exact_dedup": exact_dedup,
