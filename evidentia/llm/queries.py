@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, packing, quality, simhash, surrogates, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, packing, quality, repeats, simhash, surrogates, token_counts, toxicity, warc
 
 MODULES = {
     "op1_packing": packing,
@@ -9,6 +9,7 @@ MODULES = {
     "op4_toxicity": toxicity,
     "op5_exact_dedup": exact_dedup,
     "op6_warc": warc,
+    "op7_repeats": repeats,
     "op8_quality": quality,
     "op9_simhash": simhash,
     "op10_decontamination": decontamination,
