@@ -10,7 +10,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each cache. A full cache is emptied; results never depend on it.
+#: Entries of each cache. A full cache is emptied; results never depend on it. A task of 16 MB meets about 350,000 words:
+#: with 400,000 entries nearly every task began anew.
 CACHE = 1_000_000
 #: Characters for which lower case, canonical composition and classes are the same in Python and in the tokenizer.
 PLAIN = re.compile("[!-~¡-įı-ɏ]+")
