@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import geometry, retrieval
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (geometry, retrieval):
+    QUERIES |= _module.REGISTRY.queries
+    SQL |= _module.REGISTRY.sql
