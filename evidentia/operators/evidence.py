@@ -8,28 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def _runs(words: Column, n: int) -> Column:
-    """All runs of n words as strings; of a shorter text the whole."""
-    count = F.greatest(F.size(words) - (n - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
-def cited(claims: DataFrame, pages: DataFrame, claim: str, value: str, doc: str, page_text: str, block: int = 4) -> DataFrame:
-    """Rows of claims x pages whose single-spaced text contains the claim's value at word boundaries.
+def cited(claims: DataFrame, pages: DataFrame, claim: str, value: str, keys: list[str], page_text: str, block: int = 4) -> DataFrame:
+    """keys, claim: pages whose single-spaced text contains the claim's value at word boundaries.
 
     A containment join would be a product of both sides. A value of `block` words or more can only stand where its
-    first `block` words do, so both sides meet on those, and only pairs that share them are compared as a whole.
-    Shorter values, few and short, meet on their first word.
+    first `block` words do, so both sides meet on those (shorter values on their first word), and only pairs that share
+    them are compared as a whole. Texts take no part in the first exchange, only their runs of words that begin a claim.
     """
-    c = claims.withColumn("_v", T.words(F.col(value))).where("_v != ''").withColumn("_w", F.split("_v", " "))
-    n = F.when(F.size("_w") >= block, block).otherwise(1)
-    c = c.withColumn("_n", n).withColumn("_key", F.concat_ws(" ", F.slice("_w", F.lit(1), "_n"))).drop("_w")
-    words = F.split(T.words(F.col(page_text)), " ")
-    runs = F.array_distinct(F.concat(_runs(words, block), F.array_distinct(words)))
-    p = pages.withColumn("_t", F.concat(F.lit(" "), T.words(F.col(page_text)), F.lit(" "))).select(*[x for x in pages.columns if x != page_text], "_t", F.explode(runs).alias("_key"))
-    keys = c.select("_key").distinct()
-    p = p.join(keys, "_key", "left_semi")  # few pages have any claim's beginning: the rest goes before the exchange of texts
-    return p.join(c, "_key").where(F.contains("_t", F.concat(F.lit(" "), F.col("_v"), F.lit(" ")))).drop("_t", "_key", "_v", "_n").dropDuplicates([doc, *( ["page"] if "page" in pages.columns else []), claim])
+    c = claims.select(claim, T.words(F.col(value)).alias("_v")).where("_v != ''").withColumn("_w", F.split("_v", " "))
+    c = c.withColumn("_key", F.concat_ws(" ", F.slice("_w", F.lit(1), F.when(F.size("_w") >= block, block).otherwise(1)))).drop("_w")
+    words = pages.select(*keys, F.split(T.words(F.col(page_text)), " ").alias("_w"))
+    runs = words.where(F.size("_w") >= block).select(*keys, F.explode(F.arrays_zip(*(F.slice("_w", k + 1, F.size("_w") - (block - 1)).alias(f"w{k}") for k in range(block)))).alias("s"))
+    runs = runs.select(*keys, F.concat_ws(" ", *(F.col(f"s.w{k}") for k in range(block))).alias("_key"))
+    singles = words.select(*keys, F.explode("_w").alias("_key"))
+    begun = runs.union(singles).join(c.select(claim, "_key"), "_key").select(*keys, claim).distinct()
+    texts = pages.select(*keys, F.concat(F.lit(" "), T.words(F.col(page_text)), F.lit(" ")).alias("_t"))
+    found = begun.join(c.select(claim, "_v"), claim).join(texts, keys)
+    return found.where(F.contains("_t", F.concat(F.lit(" "), F.col("_v"), F.lit(" ")))).select(*keys, claim)
 
 
 def match_ratio(names: DataFrame, pages: DataFrame, keys: list[str], page: str, name: str, text: str) -> DataFrame:

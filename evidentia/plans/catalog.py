@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import geometry, retrieval
+from . import baseline, entity, evaluation, evidence, geometry, retrieval, state, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (geometry, retrieval):
+for _module in (geometry, retrieval, text, evidence, state, evaluation, entity, baseline):
     QUERIES |= _module.REGISTRY.queries
     SQL |= _module.REGISTRY.sql
