@@ -61,8 +61,8 @@ def pads(parts: DataFrame, key: str, arrangement: str) -> DataFrame:
     dual: left column from top to bottom, right one upwards from the bottom. quad: left down, bottom to the right, right
     up, top to the left; sides take the pins in turn, the first ones one more. single: a row along x.
     """
-    n, p, k = c("n"), c("pitch"), c("k")
-    rows = parts.select("*", F.explode(F.sequence(F.lit(1), n)).alias("number")).withColumn("k", c("number") - 1)
+    n, p, k = c("n"), c("pitch"), c("__nth")
+    rows = parts.select("*", F.explode(F.sequence(F.lit(1), n)).alias("number")).withColumn("__nth", c("number") - 1)
     if arrangement == "single":
         return rows.select(key, "number", ((k - (n - 1) / 2) * p).alias("x"), F.lit(0.0).alias("y"), c("pad_width").alias("w"), c("pad_length").alias("h"))
     if arrangement == "dual":

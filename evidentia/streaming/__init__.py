@@ -1,0 +1 @@
+"""Streaming twins of keyed state machines and event-time windows."""
