@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import baseline, entity, evaluation, evidence, geometry, retrieval, state, text
+from . import baseline, entity, evaluation, evidence, geometry, packages, retrieval, state, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (geometry, retrieval, text, evidence, state, evaluation, entity, baseline):
+for _module in (geometry, retrieval, text, evidence, state, evaluation, entity, packages, baseline):
     QUERIES |= _module.REGISTRY.queries
     SQL |= _module.REGISTRY.sql
