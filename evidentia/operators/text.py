@@ -124,3 +124,48 @@ def shift_decoded(rows: DataFrame, key: str, text: str, vocabulary: list[str], s
     for by in shifts:
         decoded = F.when(F.col("shift") == by, shifted(by)).otherwise(decoded)
     return rows.select(key, "shift", decoded.alias("decoded"))
+
+
+def span_difference(spans: DataFrame, holes: DataFrame, keys: list[str], start: str = "start", end: str = "end", least: float = 0.0) -> DataFrame:
+    """keys, start, end: what is left of each span without the holes of its keys; pieces not longer than least go.
+
+    Holes that overlap or touch a span are cut to it and united; the gaps between them, and before and after, stay.
+    """
+    s = spans.withColumn("_a", F.col(start)).withColumn("_b", F.col(end)).select(*keys, "_a", "_b")
+    h = holes.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    cut = s.join(h, keys).where((F.col("_s") < F.col("_b")) & (F.col("_e") > F.col("_a")))
+    cut = cut.select(*keys, "_a", "_b", F.greatest("_s", "_a").alias("_s"), F.least("_e", "_b").alias("_e"))
+    both = [*keys, "_a", "_b"]
+    # an empty hole at either end of every span: gaps are then always between two holes
+    edges = s.select(*both, F.col("_a").alias("_s"), F.col("_a").alias("_e")).union(s.select(*both, F.col("_b").alias("_s"), F.col("_b").alias("_e")))
+    w = Window.partitionBy(*both).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.unionByName(edges).withColumn("_from", F.max("_e").over(w))
+    return rows.where(F.col("_s") - F.col("_from") > least).select(*keys, F.col("_from").alias(start), F.col("_s").alias(end))
+
+
+def superscripts_joined(lines: DataFrame, key: str, order: str, height: float = 0.85, rise: float = 0.7) -> DataFrame:
+    """key, order, text, size, y: lines that are smaller than the next and only a little above it go before it, chains as a whole.
+
+    lines: text, size (of its glyphs), y (of its base, growing upwards), in reading order.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    below, size = F.lead("y").over(w), F.lead("size").over(w)
+    small = F.coalesce((F.col("size") < height * size) & (F.col("y") - below > 0) & (F.col("y") - below <= rise * size), F.lit(False))
+    rows = lines.withColumn("_small", small)
+    rows = rows.withColumn("_g", F.coalesce(F.sum((~F.col("_small")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = F.array_sort(F.collect_list(F.struct(order, "text", "size", "y")))
+    out = rows.groupBy(key, "_g").agg(parts.alias("_p"))
+    last = F.element_at("_p", -1)
+    return out.select(key, last[order].alias(order), F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("text"), last["size"].alias("size"), last["y"].alias("y"))
+
+
+def best_pages(pages: DataFrame, key: str, page: str, text: str, pattern: str, most: int = 1) -> DataFrame:
+    """key, page, hits: the pages with most matches of a pattern, of equals the shorter and then the earlier one; without any match the shortest."""
+    rows = pages.select(key, page, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("hits"), F.length(text).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col("hits").desc(), "_n", page))
+    return rows.withColumn("_k", nth).where(F.col("_k") <= most).select(key, page, "hits")
+
+
+def page_votes(items: DataFrame, page: str, most: int = 3) -> DataFrame:
+    """page, votes: the pages that most items point to, the earlier of equals first."""
+    return items.where(F.col(page).isNotNull()).groupBy(page).agg(F.count(F.lit(1)).alias("votes")).orderBy(F.col("votes").desc(), page).limit(most)

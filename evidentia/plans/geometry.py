@@ -220,3 +220,22 @@ def footprint_text(t: Tables) -> DataFrame:
     """Footprints as text, one for each part: decimal rendering has no equal in SQL, so the tests read it back."""
     parts = placed(t).join(t.part.select("p_partkey", "p_name"), "p_partkey")
     return ops.footprint_text(parts, ops.pads(placed(t), "p_partkey", "dual"), "p_partkey", "p_name")
+
+
+@query()
+def step_solids(t: Tables) -> DataFrame:
+    """Box bodies as STEP text; decimal rendering has no equal in SQL, so the tests check the shells."""
+    from ..operators import sinks
+
+    return sinks.step_solids(records(t).withColumn("height", F.lit(1.2)).withColumn("name", F.concat(F.lit("part "), "p_partkey")), "p_partkey", "name", "body_length", "body_width", "height")
+
+
+@query()
+def symbol_text(t: Tables) -> DataFrame:
+    """Schematic symbols as text, likewise."""
+    from ..operators import sinks
+
+    pins = records(t).select("p_partkey", F.explode(F.sequence(F.lit(1), "pin_count")).alias("number"))
+    kinds = F.element_at(F.array(*map(F.lit, ["input", "output", "power", "odd"])), (F.col("number") % 4 + 1).cast("int"))
+    pins = pins.select("p_partkey", F.col("number").cast("long").alias("number"), F.concat(F.lit("P"), "number").alias("pin_name"), kinds.alias("kind"))
+    return sinks.symbol_text(t.part.select("p_partkey", "p_name"), pins, "p_partkey", "p_name")

@@ -117,3 +117,42 @@ def shift_decoded(t: Tables) -> DataFrame:
     source = "".join(chr(c) for c in range(low, high - 2))
     coded = t.documents.where("lang = 'en'").select("doc_id", F.translate(F.substring("text", 1, 300), source, "".join(chr(ord(c) + 3) for c in source)).alias("text"))
     return ops.shift_decoded(coded, "doc_id", "text", ["the", "and", "ing", "tion", "that", "with"], range(-8, 9))
+
+
+_EDGES = "SELECT p_partkey, 0.0e0 as start, 10.0e0 + p_size as \"end\" FROM part"
+_HOLES = "SELECT p_partkey, p_partkey % 7 + 2.5e0 * h as start, p_partkey % 7 + 2.5e0 * h + 0.5e0 + 0.1e0 * (p_size % 30) as \"end\" FROM part CROSS JOIN (VALUES (-1), (0), (1), (3), (4), (9)) AS v(h)"
+
+
+@query(f"""WITH s AS ({_EDGES}), c AS (SELECT p_partkey, greatest(h.start, s.start) AS a, least(h."end", s."end") AS b FROM ({_HOLES}) h JOIN s USING (p_partkey) WHERE h.start < s."end" AND h."end" > s.start
+UNION ALL SELECT p_partkey, start, start FROM s UNION ALL SELECT p_partkey, "end", "end" FROM s), w AS (SELECT *, max(b) OVER (PARTITION BY p_partkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM c)
+SELECT p_partkey, f AS start, a AS "end" FROM w WHERE a - f > 0.2e0""")
+def span_difference(t: Tables) -> DataFrame:
+    """Outlines clear of pads: edges without the intervals that pads cover, short rests left out."""
+    part = lambda sql: t.spark.sql(sql.replace("FROM part", "FROM {p}").replace('\\"end\\"', "end").replace('"end"', "end"), p=t.part)
+    return ops.span_difference(part(_EDGES), part(_HOLES), ["p_partkey"], least=0.2)
+
+
+_SIZED = "l_orderkey as page, l_partkey * 10 + l_linenumber as ord, l_returnflag as text, case when l_partkey % 3 = 0 then 5e0 else 10e0 end as size, 1000e0 - 4e0 * (l_partkey % 5) - (l_linenumber * 12) as y"
+
+
+@query(f"""WITH l AS (SELECT {_SIZED} FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem)), f AS (SELECT *, coalesce(size < 0.85e0 * lead(size) OVER w AND y - lead(y) OVER w > 0 AND y - lead(y) OVER w <= 0.7e0 * lead(size) OVER w, false) AS small FROM l WINDOW w AS (PARTITION BY page ORDER BY ord, text)),
+g AS (SELECT *, coalesce(sum(CASE WHEN small THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY ord, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM f)
+SELECT page, max(ord) AS ord, string_agg(text, '' ORDER BY ord, text) AS text, arg_max(size, (ord, text)) AS size, arg_max(y, (ord, text)) AS y FROM g GROUP BY page, k""")
+def superscripts_joined(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").distinct().selectExpr(*(x.strip() for x in _SIZED.split(", ")))
+    # lines of one place and different text stand in the order of their texts
+    rows = rows.withColumn("ord", F.struct("ord", "text"))
+    return ops.superscripts_joined(rows, "page", "ord").withColumn("ord", F.col("ord.ord"))
+
+
+@query(f"SELECT doc_id, page, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, n, page) AS k FROM (SELECT doc_id, page, len(regexp_extract_all(page_text, '[0-9]{{2,}}')) AS hits, length(page_text) AS n FROM ({PAGES_SQL}))) WHERE k = 1")
+def best_page(t: Tables) -> DataFrame:
+    """Each document's page with most numbers."""
+    found = ops.best_pages(S.pages(t.documents), "doc_id", "page", "page_text", "[0-9]{2,}")
+    return found.withColumns({"page": F.col("page").cast("long"), "hits": F.col("hits").cast("long")})
+
+
+@query("SELECT citation, count(*) AS votes FROM (SELECT 1 + o_custkey % 9 AS citation FROM orders WHERE o_orderkey % 4 <> 0) GROUP BY citation ORDER BY votes DESC, citation LIMIT 3")
+def page_votes(t: Tables) -> DataFrame:
+    """A report: the three pages that most claims point to."""
+    return ops.page_votes(t.orders.where("o_orderkey % 4 <> 0").select((1 + F.col("o_custkey") % 9).alias("citation")), "citation")

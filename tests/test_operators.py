@@ -167,3 +167,58 @@ def test_approximate_counts_are_near(spark):
     got = {r.l_returnflag: r for r in entry.catalog.QUERIES["approx_distinct"](spark, "/root/testdata/sf0.01").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts")).collect():
         assert abs(got[r.l_returnflag].parts / r.parts - 1) < 0.1
+
+
+def test_step_solid_is_closed(spark):
+    """Six faces of four edges, every edge used once in either direction, points at the corners."""
+    import re
+
+    from evidentia.operators import sinks
+
+    rows = spark.createDataFrame([(1, "it's", 4.0, 3.0, 1.25), (2, "x", None, 3.0, 1.0)], "k long, name string, l double, w double, h double")
+    (body,) = [r.body for r in sinks.step_solids(rows, "k", "name", "l", "w", "h").collect()]
+    assert body.count("ADVANCED_FACE") == 6 and body.count("EDGE_CURVE") == 12 and body.count("VERTEX_POINT") == 8 and "'it''s'" in body
+    used = re.findall(r"ORIENTED_EDGE\('',\*,\*,(#\d+),\.([TF])\.\)", body)
+    assert len(used) == 24 and all(sorted(d for e, d in used if e == edge) == ["F", "T"] for edge, _ in used)
+    points = {tuple(map(float, p.split(","))) for p in re.findall(r"CARTESIAN_POINT\('',\(([^)]*)\)\)", body)}
+    assert points == {(x, y, z) for x in (-2, 2) for y in (-1.5, 1.5) for z in (0, 1.25)}
+    defined, named = set(re.findall(r"^(#\d+)=", body, re.M)), set(re.findall(r"#\d+", body))
+    assert defined == named
+    # normals point outwards: each face's loop turns counter-clockwise about its plane's axis
+    entity = dict(re.findall(r"^(#\d+)=(.*);$", body, re.M))
+    point = {k: tuple(map(float, re.search(r"\(([-\d.,]+)\)\)", v)[1].split(","))) for k, v in entity.items() if v.startswith("CARTESIAN")}
+    vertex = {k: point[re.search(r"#\d+", v)[0]] for k, v in entity.items() if v.startswith("VERTEX")}
+    for v in entity.values():
+        if v.startswith("ADVANCED_FACE"):
+            bound, plane = re.findall(r"#\d+", v)
+            loop = re.findall(r"#\d+", entity[re.search(r"#\d+", entity[bound])[0]])
+            ring = []
+            for o in loop:
+                edge, way = re.search(r"(#\d+),\.([TF])", entity[o]).groups()
+                a, b = re.findall(r"#\d+", entity[edge])[:2]
+                ring.append(vertex[a if way == "T" else b])
+            axis = re.findall(r"#\d+", entity[re.search(r"#\d+", entity[plane])[0]])[1]
+            n = tuple(map(float, re.search(r"\(([-\d.,]+)\)\)", entity[axis])[1].split(",")))
+            p, q, r = ring[:3]
+            u, w = [[b - a for a, b in zip(s, e, strict=True)] for s, e in ((p, q), (q, r))]
+            cross = (u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0])
+            assert sum(a * b for a, b in zip(cross, n, strict=True)) > 0
+
+
+def test_symbol_and_log(spark):
+    from evidentia.operators import sinks
+
+    part = spark.createDataFrame([(1, "u")], "k long, name string")
+    pins = spark.createDataFrame([(1, n, f'p"{n}', kind) for n, kind in enumerate(["input", "power", "odd"], 1)], "k long, number long, pin_name string, kind string")
+    body = sinks.symbol_text(part, pins, "k", "name").first().body
+    assert body.count("(pin ") == 3 and "(pin power_in line (at -10.16 -1.27 0)" in body and '(name "p\\"3")' in body and "(pin unspecified line (at 10.16" in body
+    events = spark.createDataFrame([("x", "secret", "LM358")], "event string, pdfText string, partNumber string")
+    assert sinks.scrubbed(events, ["pdftext"], "partNumber").first().line == '{"event":"x"}'
+    assert sinks.scrubbed(events, ["pdftext"], "partNumber", True).first().line == '{"event":"x","partNumber":"LM358"}'
+
+
+def test_spans_without_holes(spark):
+    spans = spark.createDataFrame([(1, 0.0, 10.0), (2, 0.0, 5.0)], "k long, start double, end double")
+    holes = spark.createDataFrame([(1, 2.0, 4.0), (1, 3.0, 5.0), (1, -1.0, 0.5), (1, 9.9, 12.0), (2, 7.0, 8.0)], "k long, start double, end double")
+    got = {(r.k, r.start, r.end) for r in text.span_difference(spans, holes, ["k"], least=0.2).collect()}
+    assert got == {(1, 0.5, 2.0), (1, 5.0, 9.9), (2, 0.0, 5.0)}
