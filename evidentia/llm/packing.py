@@ -4,8 +4,9 @@ Each source is a queue of tokens. Deficit round-robin serves the queues window b
 earns its share of the window's tokens, serves whole tokens up to what it is owed, and carries the fraction left
 over, its deficit, into the next window. Documents may be cut anywhere, so what a queue has served after any number
 of windows has a closed form: with running weights A_0 <= A_1 <= ... <= A, queue k has served
-floor(w L A_k / A) - floor(w L A_(k-1) / A) tokens after w windows of L. No window strays from the targets by more
-than one token of a queue and every window is full. A document that knows its place in its queue therefore finds its
+floor(w L A_k / A) - floor(w L A_(k-1) / A) tokens after w windows of L. What a queue has served
+strays from its targets by less than one token after any number of windows, so by less than two within a window, and
+every window is full. A document that knows its place in its queue therefore finds its
 windows by itself: deficits pass between partitions without any exchange of rows.
 
 A target mixture lasts until a queue cannot fill its share any more. There the schedule gets a single window with
