@@ -29,7 +29,7 @@ RECORD = {
     "lead_width_min": "case when p_partkey % 19 = 0 then null else 0.2e0 end",
     "lead_width_max": "case when p_partkey % 19 = 0 then null else 0.3e0 + 0.002e0 * p_size end",
     "thermal_length": "case when p_partkey % 2 = 0 then 1.5e0 + 0.05e0 * p_size else null end",
-    "thermal_width": "case when p_partkey % 2 = 0 then 1.2e0 + 0.06e0 * p_size else null end",
+    "thermal_width": "case when p_partkey % 2 = 0 then 1.2e0 + 0.08e0 * p_size else null end",
     "lead_form": "case when p_partkey % 4 = 0 then 'nolead' else 'gullwing' end",
     "sides": "case when p_partkey % 6 = 0 then null when p_partkey % 6 = 1 then '4,x' else cast(4 + p_size % 5 as string) || ', ' || cast(4 + p_size % 5 + (case when p_partkey % 5 = 4 then 1 else 0 end) as string) end",
 }
