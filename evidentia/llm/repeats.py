@@ -41,7 +41,7 @@ LENGTH, GRAM = 50, 24
 WINDOWS = LENGTH - GRAM + 1  # grams of a window
 WIDEST = LENGTH + WINDOWS - 1  # bytes the windows of one anchor cover at most
 #: Bytes of documents in a block, and bytes of documents for which there is one range of hashes.
-BLOCK, RANGE = 4 << 20, 24 << 20
+BLOCK, RANGE = 4 << 20, 3 << 20
 _SLICE = 1 << 19
 _LAST = np.iinfo(np.int64).max
 
