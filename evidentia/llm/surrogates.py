@@ -43,7 +43,7 @@ PATTERNS = {
     "ipv4": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])",
     "number": r"(?<![\w.,+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:{_WORD})(?: {_WORD}){{0,2}}+|(?:{_NAMES}) {_WORD}(?: {_WORD})?+)",
+    "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? (?:{_WORD})(?: {_WORD}){{0,2}}+|(?:{_NAMES}) {_WORD}(?: {_WORD})?+)",
 }
 _ORDER = ("email", "ipv4", "number", "phone", "person")
 COMBINED = "|".join(f"(?:{PATTERNS[k]})" for k in _ORDER)
