@@ -43,6 +43,8 @@ WIDEST = LENGTH + WINDOWS - 1  # bytes the windows of one anchor cover at most
 #: Bytes of documents in a block, and bytes of documents for which there is one range of hashes.
 BLOCK, RANGE = 4 << 20, 3 << 20
 _SLICE = 1 << 19
+#: Stretches whose suffixes are sorted at once, about; those of one anchor always are.
+PART = 10_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -158,9 +160,10 @@ class Block:
         np.maximum.at(high, inverse, self.id)
         chosen = np.flatnonzero(bits[inverse] | (low != high)[inverse])
         first, size = self.first[chosen], (self.last - self.first)[chosen] + LENGTH
-        cells = first[:, None] + np.arange(WIDEST)
         rows = np.zeros((len(chosen), WIDEST + 2), np.uint8)
-        rows[:, 2:] = np.where(np.arange(WIDEST) < size[:, None], self.buf[np.minimum(cells, max(0, len(self.buf) - 1))], 0)
+        wide = np.lib.stride_tricks.sliding_window_view(np.r_[self.buf, np.zeros(WIDEST, np.uint8)], WIDEST)
+        rows[:, 2:] = wide[first]
+        rows[:, 2:][np.arange(WIDEST) >= size[:, None]] = 0
         rows[:, 0], rows[:, 1] = size, self.place[chosen] - first
         # of equal hashes first by stretch, then by doc_id
         kind = np.unique(np.ascontiguousarray(rows).view(f"V{WIDEST + 2}").ravel(), return_inverse=True)[1] if len(rows) else np.zeros(0, np.int64)
@@ -223,26 +226,28 @@ def earlier(rows: np.ndarray, hash_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     mask = np.where(least[kind] < ids, full, 0)
     anchor = np.unique(hash_[one], return_inverse=True)[1]
     many = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
-    if len(part := many):
-        sub, windows = rows[one[part]], count[one[part]]
-        buf = np.r_[sub[:, 2:].ravel(), np.zeros(LENGTH, np.uint8)]
+    many = many[np.argsort(anchor[many], kind="stable")]
+    last = np.flatnonzero(np.diff(anchor[many], append=-1)) + 1  # where anchors end; several are sorted at once, PART stretches or little more
+    cuts = last[np.flatnonzero(np.diff(last // PART, append=-1))]
+    for part in np.split(many, cuts[:-1]):
+        windows = count[one[part]]
+        buf = np.r_[rows[one[part], 2:].ravel(), np.zeros(LENGTH, np.uint8)]
         owner = np.repeat(np.arange(len(part)), windows)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        bucket = sorted_buckets(buf, owner * WIDEST + nth)
+        begin = np.cumsum(windows) - windows
+        bucket = sorted_buckets(buf, owner * WIDEST + np.arange(len(owner)) - begin[owner])
+        if not len(bucket):
+            continue
         low = np.full(int(bucket.max()) + 1, _LAST)
         np.minimum.at(low, bucket, least[part][owner])
         # back to all stretches: each compares its own id with its windows' smallest
         place = np.full(len(one), -1)
         place[part] = np.arange(len(part))
-        begin = np.cumsum(windows) - windows
         mine = np.flatnonzero(place[kind] >= 0)
         k = place[kind[mine]]
         rep = np.repeat(np.arange(len(mine)), windows[k])
         at = np.arange(len(rep)) - np.repeat(np.cumsum(windows[k]) - windows[k], windows[k])
         hit = (low[bucket[np.repeat(begin[k], windows[k]) + at]] < ids[mine][rep]).astype(np.int64) << at
-        total = np.zeros(len(mine), np.int64)
-        np.add.at(total, rep, hit)
-        mask[mine] = total
+        mask[mine] = np.bincount(rep, weights=hit, minlength=len(mine)).astype(np.int64)
     return mask.astype(np.uint32)
 
 
