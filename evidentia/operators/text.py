@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,32 +99,98 @@ def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None
     return texts.select(key, text).mapInPandas(work, f"{key} {kind}, regions int, citable string")
 
 
-def shift_decoded(rows: DataFrame, key: str, text: str, vocabulary: list[str], shifts: range = range(1, 65), min_hits: int = 3, margin: int = 2) -> DataFrame:
-    """key, shift, decoded: the shift of printable ASCII under which most known words appear, if it is clear by a margin; else null.
+#: Labels of pin figures, which a wrong shift does not produce; white space, which a shift leaves as it is.
+PIN_LABELS = r"\b(?:V(?:IN|OUT|CC|DD|SS|REF)|GND|ADJ|NC|OUT|IN|EN|CLK|SDA|SCL|RESET|TOP\s?VIEW|PIN)\b"
+_WHITE = frozenset([9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+LOW, HIGH = 33, 126
+#: Less of a text that is encoded are letters, and at least so much of what it decodes to.
+ENCODED_BELOW, DECODED_LEAST = 0.4, 0.6
+
+
+class Shift:
+    """The constant offset of a text's characters, if one is clear, and the text without it."""
+
+    def __init__(self, vocabulary: list[str] | str, shifts: range, min_hits: int, margin: int, low: int, encoded_below: float | None, decoded_least: float, any_case: bool = True):
+        self.pattern = re.compile(vocabulary, re.A) if isinstance(vocabulary, str) else None
+        self.words, self.any_case = list(vocabulary), any_case
+        self.shifts, self.min_hits, self.margin, self.low, self.encoded_below, self.decoded_least = shifts, min_hits, margin, low, encoded_below, decoded_least
+        self.tables: dict[int, tuple[dict[int, str], re.Pattern]] = {}
+
+    def hits(self, text: str) -> int:
+        if self.pattern:
+            return sum(1 for _ in self.pattern.finditer(text))
+        text = text.lower() if self.any_case else text
+        return sum(text.count(w.lower() if self.any_case else w) for w in self.words)
+
+    def apply(self, text: str | None, by: int) -> str | None:
+        """The text with all but white space moved by so much; null if any character would leave the printable range."""
+        if by not in self.tables:
+            inside = [c for c in range(max(self.low - by, 0), HIGH - by + 1) if c not in _WHITE]
+            kept = "".join(f"\\U{c:08x}" for c in (*inside, *_WHITE))
+            self.tables[by] = {c: chr(c + by) for c in inside}, re.compile(f"[^{kept}]")
+        table, outside = self.tables[by]
+        return None if text is None or outside.search(text) else text.translate(table)
+
+    def detect(self, text: str | None) -> int | None:
+        codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
+        counts = np.bincount(np.minimum(codes, 0x10000), minlength=0x10001)
+        counts[list(_WHITE)] = 0
+        seen = np.flatnonzero(counts)
+        if not len(seen):
+            return None
+        first, last, visible = int(seen[0]), int(seen[-1]), int(counts.sum())
+
+        def letters(by: int) -> float:
+            return sum(counts[max(a - by, 0) : max(b - by + 1, 0)].sum() for a, b in ((65, 90), (97, 122))) / visible
+
+        if self.encoded_below is not None and letters(0) >= self.encoded_below:
+            return None
+        best, most = None, -1
+        for by in self.shifts:
+            if self.low <= first + by and last + by <= HIGH and letters(by) >= self.decoded_least and (n := self.hits(self.apply(text, by))) > most:
+                best, most = by, n
+        return best if most >= self.min_hits and most >= self.hits(text) + self.margin else None
+
+
+def shift_decoded(
+    rows: DataFrame, key: str, text: str, vocabulary: list[str] | str, shifts: range = range(1, 65), min_hits: int = 3, margin: int = 2,
+    low: int = LOW - 1, encoded_below: float | None = None, decoded_least: float = DECODED_LEAST, any_case: bool = True,
+) -> DataFrame:
+    """key, shift, decoded: the shift of the whole text under which most known words occur, the first of equals; else null.
+
+    A shift that takes any character out of low..126 is no candidate, nor one that leaves less than decoded_least of the
+    visible characters letters. It must have min_hits occurrences, and margin more than the text as it stands.
+    Texts of which encoded_below or more are letters are readable and not shifted, if that is given.
+    vocabulary: words, found within others and, if so wished, in any case; or a regular expression.
+    """
+    shift = Shift(vocabulary, shifts, min_hits, margin, low, encoded_below, decoded_least, any_case)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [shift.detect(x) for x in f[text]]
+            decoded = [None if by is None else shift.apply(x, by) for x, by in zip(f[text], found, strict=True)]
+            yield pd.DataFrame({key: f[key], "shift": pd.array(found, "Int32"), "decoded": pd.Series(decoded, f.index, object)})
+
+    return rows.select(key, text).mapInPandas(work, f"{key} {kind}, shift int, decoded string")
+
+
+def shifted_fonts_decoded(items: DataFrame, keys: list[str], font: str, order: str, text: str) -> DataFrame:
+    """items with the texts of shifted fonts decoded; keys name the document, order the place of an item in it.
 
-    Each shift is an expression over the text: candidates are made in the row, nothing is exploded.
+    The font is the unit: all its items of a document, joined by blanks, show its shift. Items without a font, of
+    readable fonts, and such as do not survive their font's shift stay as they are.
     """
-    low, high = 32, 126
-
-    def shifted(by: int) -> Column:
-        source = "".join(chr(c) for c in range(low, high + 1) if low <= c + by <= high)
-        return F.translate(F.col(text), source, "".join(chr(ord(c) + by) for c in source))
-
-    def hits(by: int) -> Column:
-        found = F.lower(shifted(by))
-        out = F.lit(0)
-        for v in vocabulary:
-            out = out + F.contains(found, F.lit(v)).cast("int")
-        return F.struct(out.alias("hits"), F.lit(-by).alias("neg"))
-
-    ranked = F.sort_array(F.array(*map(hits, shifts)), asc=False)
-    best, second = ranked[0], ranked[1]
-    clear = (best["hits"] >= min_hits) & (best["hits"] - second["hits"] >= margin)
-    rows = rows.withColumn("shift", F.when(clear, -best["neg"]))
-    decoded = F.lit(None).cast("string")
-    for by in shifts:
-        decoded = F.when(F.col("shift") == by, shifted(by)).otherwise(decoded)
-    return rows.select(key, "shift", decoded.alias("decoded"))
+    shift = Shift(PIN_LABELS, range(1, 65), 3, 2, LOW, ENCODED_BELOW, DECODED_LEAST)
+    detect = F.pandas_udf(lambda s: pd.Series([shift.detect(x) for x in s], s.index, "Int32"), "int")
+    apply = F.pandas_udf(lambda s, by: pd.Series([x if pd.isna(k) else (d if (d := shift.apply(x, int(k))) is not None else x) for x, k in zip(s, by, strict=True)], s.index, object), "string")
+    named = items.where(F.col(text).rlike(r"\S") & (F.col(font) != ""))
+    sample = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    fonts = named.groupBy(*keys, font).agg(sample.alias("_sample")).withColumn("_by", detect("_sample")).where("_by is not null")
+    fonts = fonts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, font])), "_by")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, font])]
+    rows = items.join(fonts, same, "left")
+    return rows.withColumn(text, F.when(F.col("_by").isNotNull(), apply(text, "_by")).otherwise(F.col(text))).select(*items.columns)
 
 
 def span_difference(spans: DataFrame, holes: DataFrame, keys: list[str], start: str = "start", end: str = "end", least: float = 0.0) -> DataFrame:

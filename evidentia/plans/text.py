@@ -111,13 +111,27 @@ def glyph_lines(t: Tables) -> DataFrame:
     return ops.glyph_lines(t.spark.sql(_GLYPHS.replace("FROM lineitem", "FROM {l}"), l=t.lineitem), "page")
 
 
+#: Frequent words and endings of the documents' languages, in capitals as figures have them.
+_KNOWN = "THE|AND|ING|TION|THAT|WITH|DER|DIE|UND|UNG|ICH|EIN|LES|DES|QUE|MENT|EAU|CION|LOS|LAS|ADO".split("|")
+_ACCENTED, _BARE = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY"
+
+
 @query()
 def shift_decoded(t: Tables) -> DataFrame:
-    """Texts under a shifted alphabet, read again; the tests compare with the plain texts."""
-    low, high = 32, 126
-    source = "".join(chr(c) for c in range(low, high - 2))
-    coded = t.documents.where("lang = 'en'").select("doc_id", F.translate(F.substring("text", 1, 300), source, "".join(chr(ord(c) + 3) for c in source)).alias("text"))
-    return ops.shift_decoded(coded, "doc_id", "text", ["the", "and", "ing", "tion", "that", "with"], range(-8, 9))
+    """Whole texts of all documents under a shifted alphabet, read again; the tests compare with the plain texts.
+
+    Texts are in capitals without accents, as in a font of a figure, and shifted by 16 to 32, from letters to other
+    characters. One with a character that would become white space stays as it is, as its shift could not be undone.
+    """
+    plain = F.translate(F.upper("text"), _ACCENTED, _BARE)
+    coded, by = F.col("plain"), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(17)) + 16
+    for k in range(16, 33):
+        source = "".join(chr(c) for c in range(33, 127))
+        lost = "".join(f"\\x{{{c + k:x}}}" for c in (*range(9, 14), 32) if c + k > 32)
+        moved = F.translate("plain", source, "".join(chr(ord(c) - k) for c in source))
+        coded = F.when((by == k) & ~F.col("plain").rlike(f"[{lost}]"), moved).otherwise(coded)
+    texts = t.documents.select("doc_id", plain.alias("plain")).select("doc_id", coded.alias("text"))
+    return ops.shift_decoded(texts, "doc_id", "text", _KNOWN, low=ops.LOW, encoded_below=ops.ENCODED_BELOW, any_case=False)
 
 
 _EDGES = "SELECT p_partkey, 0.0e0 as start, 10.0e0 + p_size as \"end\" FROM part"

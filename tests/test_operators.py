@@ -109,6 +109,48 @@ def test_shifted_text_is_read(spark):
     assert got[1].shift == -5 and got[1].decoded == plain and got[2].shift is None
 
 
+#: The figure of the reference's tests: ADJ/GND encodes to a control character.
+ADJ_GND = "$'-\x12*1'"
+
+
+def test_shifts_are_all_or_nothing(spark):
+    figure = f"{ADJ_GND} 1& 9287 9287 9,1 1& {ADJ_GND} 9287 9,1"
+    rows = [figure, "VDD GND AIN0 VDD GND AIN1 VDD GND AIN2 AIN P", figure + " \x7f", figure + " é", "9,1 9,1", "1.27 0.65 2.54", "", None, "9,1 " * 5000]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, t string")
+    got = {r.i: (r.shift, r.decoded) for r in text.shift_decoded(df, "i", "t", text.PIN_LABELS, low=text.LOW, encoded_below=text.ENCODED_BELOW).collect()}
+    assert got[0] == (29, "ADJ/GND NC VOUT VOUT VIN NC ADJ/GND VOUT VIN") and got[8] == (29, "VIN " * 5000)
+    assert all(got[i] == (None, None) for i in range(1, 8))
+    # occurrences count, not words that occur
+    assert text.shift_decoded(df.where("i = 8"), "i", "t", ["vin"], low=text.LOW).first().shift == 29
+
+
+def test_fonts_are_decoded_as_wholes(spark):
+    items = ["Pin configuration LD1117", "Figure 2. Pin connections (top view)", ADJ_GND, "9,1", "9287", "1&", "SOT-223 SO-8", "9,1", "9,1", " "]
+    fonts = ["f1", "f1", "f4", "f4", "f4", "f4", "f3", None, "", "f4"]
+    df = spark.createDataFrame([(d, i, f, s) for d in (1, None) for i, (f, s) in enumerate(zip(fonts, items, strict=True))] + [(2, 0, "f4", "9,1")], "d long, i long, font string, str string")
+    got = {(r.d, r.i): r.str for r in text.shifted_fonts_decoded(df, ["d"], "font", "i", "str").collect()}
+    assert len(got) == 21 and got[2, 0] == "9,1"  # another document's font
+    for d in (1, None):
+        assert [got[d, i] for i in range(10)] == [*items[:2], "ADJ/GND", "VIN", "VOUT", "NC", "SOT-223 SO-8", "9,1", "9,1", " "]
+
+
+def test_whole_documents_are_shifted(spark):
+    import unicodedata
+
+    from evidentia.plans import catalog
+
+    docs = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = catalog.QUERIES["shift_decoded"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    read = [r for r in got if r.shift is not None]
+    assert {docs[r.doc_id][1] for r in read} == {"en", "fr", "de", "es"} and any(len(r.decoded) > 10_000 for r in read) and len({r.shift for r in read}) > 10
+    wrong = 0
+    for r in read:
+        bare = "".join(c for c in unicodedata.normalize("NFD", docs[r.doc_id][0].upper()) if not unicodedata.combining(c))
+        wrong += r.shift != 16 + r.doc_id % 17 or r.decoded != bare
+    assert wrong <= len(read) // 100  # junk: one word without known ones, repeated
+
+
 def test_ambiguity_is_no_match(spark):
     left = spark.createDataFrame([(1, "A", "n1"), (2, "B", "n2"), (3, None, "n2"), (4, None, "n9")], "m long, code string, name string")
     right = spark.createDataFrame([(10, "A", "zz"), (11, "B", "n2"), (12, "B", "n7")], "pkg long, code string, name string")
