@@ -16,6 +16,8 @@ window is cut into sequences whose lengths are powers of two, so nothing is padd
 
 Steps: tokenize once and write the ids with each row's place in its partition and queue; add up the partitions
 (window over partitions by queue, as many rows as partitions times queues); join those small offsets to the rows and cut.
+Sources too small for a queue of their own share one, in which their documents are dealt by place in the source over the
+source's total, so their proportions hold all along it, to within a document; only their tokens are shuffled.
 
 Defined results: a null text is an empty text; every document ends with the end id, so an empty one is that single
 id; a null source is a queue of its own; repeated rows are packed as separate documents, each with its own pieces; an
@@ -193,6 +195,29 @@ def queues_of(totals: DataFrame, targets: dict[str | None, float] | None, length
     return queue, tokens, weights
 
 
+def dealt(rows: DataFrame, parts: DataFrame, whole: int, number: int) -> DataFrame:
+    """The rows of sources that share a queue, dealt to it in their sources' proportions: place in the source over the source's total.
+
+    Documents stay whole in this order, and each source begins with a phase of its own, so sources of one document spread
+    as well. Running sums are taken within stretches of the queue, whose number grows with its tokens.
+    """
+    source = Window.partitionBy("queue")
+    earlier = source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("part", "queue", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.sum("tokens").over(source).alias("all"))
+    bases = stage(bases, "bases")
+    phase = F.pmod(F.xxhash64(rows.queue), F.lit(1 << 20)) / (1 << 20)
+    at = (F.col("place") + F.col("base") + phase * F.col("n")) / F.col("all")
+    stretches = max(1, min(1 << 16, whole >> 18))
+    found = rows.join(bases, (rows.part == bases.part) & rows.queue.eqNullSafe(bases.queue)).select(
+        "doc_id", rows.queue.alias("source_queue"), rows.part, "place", "n", "ids", at.alias("at"), F.least(F.floor(at * stretches), F.lit(stretches - 1)).alias("stretch")
+    )
+    upto = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+    starts = found.groupBy("stretch").agg(F.sum("n").alias("tokens")).select("stretch", F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("start"))
+    within = Window.partitionBy("stretch").orderBy("at", F.col("source_queue").asc_nulls_first(), "part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("run", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(stage(starts, "stretches")), "stretch")
+    return found.select("doc_id", "source_queue", F.lit(number).cast("long").alias("number"), (F.col("start") + F.col("run")).alias("begin"), "n", "ids")
+
+
 def pack_mixture(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float] | None = None, length: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, source_queue, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
 
@@ -207,11 +232,14 @@ def pack_mixture(docs: DataFrame, tokenizer_path: str, targets: dict[str | None,
     numbered = parts.join(F.broadcast(numbers), parts.queue.eqNullSafe(numbers.queue), "left").select(
         parts.part, parts.queue, "tokens", F.coalesce("number", F.lit(other)).alias("number")
     )
-    before = Window.partitionBy("number").orderBy("part", F.col("queue").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stage(numbered.select("part", "queue", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "offsets")
+    before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = numbered.where(F.col("number") < other)
+    offsets = stage(own.select("part", "queue", "number", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "offsets")
     placed = rows.join(offsets, (rows.part == offsets.part) & rows.queue.eqNullSafe(offsets.queue)).select(
         "doc_id", rows.queue.alias("source_queue"), "number", (F.col("place") + F.col("base")).alias("begin"), "n", "ids"
     )
+    if len(tokens) > other:
+        placed = placed.unionByName(dealt(rows, numbered.where(F.col("number") == other), tokens[other], other))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout([tuple(x) for x in json.loads(layout_of)], length)

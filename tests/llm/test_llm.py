@@ -106,6 +106,26 @@ def test_packing_to_targets(spark):
     assert sum(r.length for r in found) == sum({r.doc_id: r.doc_tokens for r in found}.values())
 
 
+def test_small_sources_keep_their_shares(spark):
+    import public_tokenizers
+
+    rows = [(5 * q + k, "the same few words in each text", "en", f"s{q}" if q else None, 0) for q in range(100) for k in range(5)]
+    found = packing.pack_mixture(spark.createDataFrame(rows, DOCS).coalesce(3), public_tokenizers.path("word_bpe_49k.json"), length=64).collect()
+    n, begin, sources, served = found[0].doc_tokens, {}, {}, {}
+    for r in found:
+        sources[r.doc_id] = r.source_queue
+        served[r.doc_id] = served.get(r.doc_id, 0) + r.length
+        if r.start == 0:
+            begin[r.doc_id] = r.sequence_id * 64 + r.offset
+    assert set(served.values()) == {n} and len(served) == 500
+    by = {}
+    for i in sorted(begin, key=begin.get):
+        by.setdefault(sources[i], []).append(begin[i])
+    full = 500 * n // 64 * 64  # the last, partial window is cut anew
+    for places in by.values():  # each source's k-th document lies in the k-th fifth
+        assert len(places) == 5 and all(100 * n * k <= p < 100 * n * (k + 1) for k, p in enumerate(places) if p < full)
+
+
 def test_schedules_serve_all_tokens():
     rng = random.Random(2)
     for trial in range(60):
