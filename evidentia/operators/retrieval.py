@@ -52,12 +52,12 @@ def _any(text: Column, options: list[str]) -> Column:
 
 
 def candidate_urls(parts: DataFrame, vendors: DataFrame, key: str, part: str) -> DataFrame:
-    """key, vendor, url, claimed, ord: every variant of every part at every vendor; the vendors (name, prefix, template) are a short list.
+    """key, vendor, url, claimed, ord: every variant of every part at every one of the vendors (vendor, prefix, template), however many.
 
     Claimed candidates, of vendors whose prefix the part has, come before speculative ones.
     """
     variants = parts.select(key, part, F.posexplode(T.part_variants(F.col(part))).alias("nth", "variant"))
-    both = variants.crossJoin(F.broadcast(vendors.limit(1000)))
+    both = variants.crossJoin(vendors)
     claimed = F.rlike(T.normalised_part(F.col(part)), F.concat(F.lit("^("), F.col("prefix"), F.lit(")")))
     return both.select(key, "vendor", F.replace("template", F.lit("{part}"), F.lower("variant")).alias("url"), claimed.alias("claimed"), "nth")
 

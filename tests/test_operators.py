@@ -151,6 +151,12 @@ def test_whole_documents_are_shifted(spark):
     assert wrong <= len(read) // 100  # junk: one word without known ones, repeated
 
 
+def test_no_maker_is_left_out(spark):
+    makers = spark.range(1001).selectExpr("concat('m', id) as vendor", "'A' as prefix", "concat('https://m', id, '/{part}') as template")
+    got = retrieval.candidate_urls(spark.createDataFrame([(1, "AB12")], "k long, part string"), makers, "k", "part").collect()
+    assert {r.vendor for r in got} == {f"m{i}" for i in range(1001)}
+
+
 def test_ambiguity_is_no_match(spark):
     left = spark.createDataFrame([(1, "A", "n1"), (2, "B", "n2"), (3, None, "n2"), (4, None, "n9")], "m long, code string, name string")
     right = spark.createDataFrame([(10, "A", "zz"), (11, "B", "n2"), (12, "B", "n7")], "pkg long, code string, name string")
