@@ -18,6 +18,7 @@ zero; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,9 @@ def statistics(text: str) -> list[float]:
     words = raw.split()
     m = max(1, len(words))
     sizes = np.fromiter(map(len, words), float, len(words)) if words else np.zeros(1)
-    distinct = len(set(words)) / m
-    most = max((words.count(w) for w in set(words[:3])), default=0) / m
+    counts = Counter(words)
+    distinct = len(counts) / m
+    most = max(counts.values(), default=0) / m
     pairs = len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1)
     same = sum(map(bytes.__eq__, words, words[1:])) / m
     lines = [x for x in raw.split(b"\n") if x.strip()]

@@ -262,6 +262,10 @@ def test_quality_is_learned(spark):
     assert accuracy(found, labels, "quality") > 0.95
 
 
+def test_most_frequent_word_is_of_the_whole_text():
+    assert quality.statistics("a b c " + "stuffed " * 7)[7] == 0.7 and quality.statistics("a")[7] == 1 and quality.statistics(" ")[7] == 0
+
+
 def test_learners_take_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 1), (6, 0, 1), (7, 1, 0), (None, 1, 1), (8, None, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for f in (toxicity.toxicity, quality.quality):
