@@ -1,22 +1,31 @@
-"""What the operators of this subpackage share: written intermediate tables and input clean-up."""
+"""What the operators of this subpackage share: written intermediate tables, input clean-up and small batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_written: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The shared folder in spark.checkpoint.dir. Only a local session, whose executors are this machine, may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own_folder.setdefault("path", tempfile.mkdtemp(prefix="evidentia-"))
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "path" not in _own_folder:
+        _own_folder["path"] = tempfile.mkdtemp(prefix="evidentia-")
+    return _own_folder["path"]
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -26,9 +35,25 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written; to be called once the results that read them are written."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not got, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (stem, *(f"{stem}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text as the operators read them: a null text counts as empty; other columns go, save those named."""
     return docs.select(
@@ -36,5 +61,17 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 2 << 20, by: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into stretches of at most `rows` rows and about `size` bytes of one column; a longer row is one by itself."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(by)).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+            end = max(at + 1, min(end, at + rows, batch.num_rows))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

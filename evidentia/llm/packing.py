@@ -11,8 +11,9 @@ windows by itself: deficits pass between partitions without any exchange of rows
 
 A target mixture lasts until a queue cannot fill its share any more. There the schedule gets a single window with
 explicit quotas, which empties that queue, and goes on with the rest; so there are at most two phases per queue. With
-no targets given, shares are the sources' shares of all tokens, and all queues empty together. The last, partial
-window is cut into sequences whose lengths are powers of two, so nothing is padded.
+no targets given, shares are the sources' shares of all tokens, and all queues empty together; with a temperature,
+they are those shares to that power, so that small sources come earlier and more evenly (the query takes 0.7). The last,
+partial window is cut into sequences whose lengths are powers of two, so nothing is padded.
 
 Steps: tokenize once and write the ids with each row's place in its partition and queue; add up the partitions
 (window over partitions by queue, as many rows as partitions times queues); join those small offsets to the rows and cut.
@@ -36,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import small, stage, table, texts_of
 from .tokens import word_tokenizer
 
 WINDOW = 4096
 END_ID = 2
-#: Sources named in a target mixture at most; each may add two phases to the schedule.
+#: Queues of a mixture at most that isn't the sources' own; each may add two phases to the schedule.
 MAX_TARGETS = 256
+#: The power of the sources' shares that the query aims at.
+TEMPERATURE = 0.7
 
 #: First window, windows, tokens served before and weights by queue, tokens of each window.
 Phase = tuple[int, int, tuple[int, ...], tuple[int, ...], int]
@@ -54,22 +57,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, places, tokenizer = TaskContext.get().partitionId(), {}, word_tokenizer(tokenizer_path)
         end = np.array([end_id], tokenizer.kind).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = [x + end for x in tokenizer.encode_batch(rows.column("text").to_pylist())]
-                counts = [len(x) // tokenizer.kind.itemsize for x in ids]
-                sources, place = rows.column("queue").to_pylist(), []
-                for s, n in zip(sources, counts, strict=True):
-                    place.append(places.get(s, 0))
-                    places[s] = place[-1] + n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(ids), pa.int32()), rows.column("queue"), pa.array(place, pa.int64()), rows.column("doc_id"),
-                        pa.array(counts, pa.int64()), pa.array(ids, pa.binary()),
-                    ],
-                    ["part", "queue", "place", "doc_id", "n", "ids"],
-                )
+        for rows in small(batches):
+            ids = [x + end for x in tokenizer.encode_batch(rows.column("text"))]
+            counts = [len(x) // tokenizer.kind.itemsize for x in ids]
+            sources, place = rows.column("queue").to_pylist(), []
+            for s, n in zip(sources, counts, strict=True):
+                place.append(places.get(s, 0))
+                places[s] = place[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part] * len(ids), pa.int32()), rows.column("queue"), pa.array(place, pa.int64()), rows.column("doc_id"),
+                    pa.array(counts, pa.int64()), pa.array(ids, pa.binary()),
+                ],
+                ["part", "queue", "place", "doc_id", "n", "ids"],
+            )
 
     return texts_of(docs, F.col("source").cast("string").alias("queue")).mapInArrow(
         encode, "part int, queue string, place long, doc_id long, n long, ids binary"
@@ -165,48 +166,56 @@ class Layout:
                 return
 
 
-def queues_of(totals: DataFrame, targets: dict[str | None, float] | None, length: int) -> tuple[dict, list[int], list[int]]:
-    """Queue number by source, and each queue's tokens and weight.
+def weighted(totals: DataFrame, whole: int, targets: dict[str | None, float] | None, temperature: float) -> DataFrame:
+    """totals (queue, tokens) with each source's weight. Sources without a target share what is left of 1 by their tokens."""
+    if targets is None:
+        return totals.withColumn("weight", F.pow(F.col("tokens") / whole, F.lit(float(temperature))))
+    if len(targets) > MAX_TARGETS:
+        raise ValueError(f"at most {MAX_TARGETS} targets")
+    if any(not x > 0 for x in targets.values()) or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("targets must be positive and add up to 1 at most")
+    aims = totals.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()] or [("", 1.0)], "aimed string, aim double")
+    found = totals.join(F.broadcast(aims), F.col("queue").eqNullSafe(F.col("aimed")), "left")
+    others = found.where("aim is null").agg(F.sum("tokens")).first()[0] or 1
+    rest = max(1 - sum(targets.values()), 2.0**-32)
+    return found.select("queue", "tokens", F.coalesce("aim", F.col("tokens") * (rest / others)).alias("weight"))
 
-    A source with less than two tokens a window has no queue of its own: such sources share one, so no more than
-    length / 2 sources are ever named on the driver. With targets, sources that have none share a queue with the rest's weight.
+
+def queues_of(totals: DataFrame, length: int, own: bool) -> tuple[dict, list[int], list[int]]:
+    """Queue number by source, and each queue's tokens and weight, of totals (queue, tokens, weight).
+
+    Sources owed less than two tokens a window share a queue, the last one, in the proportions of their weights (see
+    dealt); so do, in a mixture that isn't the sources' own, all but the MAX_TARGETS largest. So the driver names at most length / 2.
     """
-    whole = totals.agg(F.sum("tokens")).first()[0] or 0
-    if not whole:
+    sums = totals.agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight")).first()
+    if not sums.tokens:
         return {}, [], []
-    if targets is not None:
-        if len(targets) > MAX_TARGETS:
-            raise ValueError(f"at most {MAX_TARGETS} targets")
-        named = totals.where(F.coalesce(F.col("queue").isin([k for k in targets if k is not None]), F.lit(None in targets)))
-    else:
-        named = totals.where(F.col("tokens") * length >= 2 * whole)
+    named = totals.where(F.col("weight") * length >= 2 * sums.weight)
+    if not own:
+        named = named.orderBy(F.col("weight").desc(), F.col("queue")).limit(MAX_TARGETS)
     rows = sorted(named.collect(), key=lambda r: (r.queue is not None, r.queue or ""))
-    queue = {r.queue: k for k, r in enumerate(rows)}
-    tokens = [r.tokens for r in rows]
-    if targets is not None:
-        weights = [max(1, round(targets[r.queue] * 2**32)) for r in rows]
-        rest = max(1, round((1 - sum(targets.values())) * 2**32))
-    else:
-        weights, rest = list(tokens), whole - sum(tokens)
-    if left := whole - sum(tokens):
-        tokens, weights = [*tokens, left], [*weights, rest]
-    while min(weights) * length < sum(weights):  # a token a window for each queue at least
-        weights = [max(w, -(-sum(weights) // length)) for w in weights]
+    queue, tokens = {r.queue: k for k, r in enumerate(rows)}, [r.tokens for r in rows]
+    weights = list(tokens) if own else [round(r.weight / sums.weight * 2**40) for r in rows]
+    if left := sums.tokens - sum(tokens):
+        rest = left if own else max(0, 2**40 - sum(weights))
+        least = -(-2 * (sum(weights) + rest) // (length - 2))  # the shared queue is owed two tokens a window at least
+        tokens, weights = [*tokens, left], [*weights, max(rest, least)]
     return queue, tokens, weights
 
 
 def dealt(rows: DataFrame, parts: DataFrame, whole: int, number: int) -> DataFrame:
-    """The rows of sources that share a queue, dealt to it in their sources' proportions: place in the source over the source's total.
+    """The rows of sources that share a queue, dealt to it in the proportions of their weights: by place in the source over its weight.
 
     Documents stay whole in this order, and each source begins with a phase of its own, so sources of one document spread
     as well. Running sums are taken within stretches of the queue, whose number grows with its tokens.
     """
     source = Window.partitionBy("queue")
     earlier = source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", "queue", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.sum("tokens").over(source).alias("all"))
+    bases = parts.select("part", "queue", "weight", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.sum("tokens").over(source).alias("all"))
     bases = stage(bases, "bases")
+    longest = bases.agg(F.max(F.col("all") / F.col("weight"))).first()[0]
     phase = F.pmod(F.xxhash64(rows.queue), F.lit(1 << 20)) / (1 << 20)
-    at = (F.col("place") + F.col("base") + phase * F.col("n")) / F.col("all")
+    at = (F.col("place") + F.col("base") + phase * F.col("n")) / F.col("weight") / longest
     stretches = max(1, min(1 << 16, whole >> 18))
     found = rows.join(bases, (rows.part == bases.part) & rows.queue.eqNullSafe(bases.queue)).select(
         "doc_id", rows.queue.alias("source_queue"), rows.part, "place", "n", "ids", at.alias("at"), F.least(F.floor(at * stretches), F.lit(stretches - 1)).alias("stretch")
@@ -218,15 +227,21 @@ def dealt(rows: DataFrame, parts: DataFrame, whole: int, number: int) -> DataFra
     return found.select("doc_id", "source_queue", F.lit(number).cast("long").alias("number"), (F.col("start") + F.col("run")).alias("begin"), "n", "ids")
 
 
-def pack_mixture(docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float] | None = None, length: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_mixture(
+    docs: DataFrame, tokenizer_path: str, targets: dict[str | None, float] | None = None, length: int = WINDOW, end_id: int = END_ID, temperature: float = 1.0
+) -> DataFrame:
     """Pieces of all documents: doc_id, source_queue, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
 
     targets: share of tokens by source. They hold while the queues last; sources not named share what is left of 1.
+    Without targets the shares are those of the sources' tokens to the power of temperature.
     """
     rows = stage(tokenized(docs, tokenizer_path, end_id), "tokens")
     spark = docs.sparkSession
-    parts = rows.groupBy("part", "queue").agg(F.sum("n").alias("tokens"))
-    queue, tokens, weights = queues_of(parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")), targets, length)
+    parts = stage(rows.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "parts")
+    totals, own = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")), targets is None and temperature == 1
+    whole = totals.agg(F.sum("tokens")).first()[0] or 1
+    totals = stage(weighted(totals, whole, targets, temperature), "totals")
+    queue, tokens, weights = queues_of(totals, length, own)
     other, layout_of = len(queue), json.dumps(schedule(tokens, weights, length))
     numbers = spark.createDataFrame([(k, v) for k, v in queue.items()], "queue string, number int")  # at most length rows
     numbered = parts.join(F.broadcast(numbers), parts.queue.eqNullSafe(numbers.queue), "left").select(
@@ -239,23 +254,24 @@ def pack_mixture(docs: DataFrame, tokenizer_path: str, targets: dict[str | None,
         "doc_id", rows.queue.alias("source_queue"), "number", (F.col("place") + F.col("base")).alias("begin"), "n", "ids"
     )
     if len(tokens) > other:
-        placed = placed.unionByName(dealt(rows, numbered.where(F.col("number") == other), tokens[other], other))
+        left = numbered.where(F.col("number") == other).withColumnRenamed("queue", "q")
+        shared = left.join(totals.select("queue", "weight"), F.col("q").eqNullSafe(F.col("queue"))).select("part", "queue", "tokens", "weight")
+        placed = placed.unionByName(dealt(rows, shared, tokens[other], other))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout([tuple(x) for x in json.loads(layout_of)], length)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows, out = batch.slice(at, 256), []
-                for row, (number, begin, n, ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("number", "begin", "n", "ids")), strict=True)):
-                    full = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                    out += [(row, start, size, full[4 * start : 4 * (start + size)], n, seq, offset) for start, size, seq, offset in layout.pieces(number, begin, n)]
-                index, start, size, part, n, seq, offset = zip(*out, strict=True)
-                index = pa.array(index, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").take(index), rows.column("source_queue").take(index), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
-                     pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())],
-                    ["doc_id", "source_queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
+        for rows in small(batches, by="ids"):
+            out = []
+            for row, (number, begin, n, ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("number", "begin", "n", "ids")), strict=True)):
+                full = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
+                out += [(row, start, size, full[4 * start : 4 * (start + size)], n, seq, offset) for start, size, seq, offset in layout.pieces(number, begin, n)]
+            index, start, size, part, n, seq, offset = zip(*out, strict=True)
+            index = pa.array(index, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(index), rows.column("source_queue").take(index), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())],
+                ["doc_id", "source_queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
 
     return placed.mapInArrow(
         cut, "doc_id long, source_queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -266,7 +282,7 @@ def query(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    pieces = pack_mixture(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack_mixture(docs, public_tokenizers.path("word_bpe_49k.json"), temperature=TEMPERATURE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source_queue")
 
 

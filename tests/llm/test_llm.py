@@ -76,14 +76,37 @@ def test_packing_holds_every_id_once(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = packing.query(spark, SF).collect()
     check_pieces(rows, docs)
-    # every full window has each source's share of its tokens, within less than two tokens
-    total = sum(r.length for r in rows)
+    # while all queues last, every window has each source's share to the power of the temperature, within less than two tokens
     share, by = defaultdict(int), defaultdict(lambda: defaultdict(int))
     for r in rows:
         share[r.source_queue] += r.length
         by[r.sequence_id][r.source_queue] += r.length
-    full = [s for s in by.values() if sum(s.values()) == packing.WINDOW]
-    assert full and all(abs(s[q] - packing.WINDOW * share[q] / total) < 2 for s in full for q in share)
+    total = sum(share.values())
+    aim = {q: (n / total) ** packing.TEMPERATURE for q, n in share.items()}
+    aim = {q: x / sum(aim.values()) for q, x in aim.items()}
+    assert max(abs(aim[q] - share[q] / total) for q in aim) > 0.01  # another mixture than the corpus has
+    lasting = int(min(share[q] / aim[q] for q in aim) // packing.WINDOW)
+    assert lasting > 3 and all(abs(by[w][q] - packing.WINDOW * aim[q]) < 2 for w in range(lasting) for q in aim)
+
+
+def test_targets_are_checked(spark):
+    docs, path = docs_of(spark, ["a b c"]), public_tokenizers.path("word_bpe_49k.json")
+    for targets in ({"a": 0.9, "b": 0.4}, {"a": -0.1}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            packing.pack_mixture(docs, path, targets)
+
+
+def test_rare_sources_keep_their_targets(spark):
+    """Sources owed less than two tokens a window share a queue, in the proportions of their targets: the first quarter of it shows them."""
+    rows = [(k, "word " * 30, "en", ("a", "b", "c")[k % 3] if k < 90 else f"r{k % 4}", 0) for k in range(490)]
+    aims = {"a": 0.5, "b": 0.3, "c": 0.14, "r0": 0.03, "r1": 0.015, "r2": 0.01, "r3": 0.005}
+    found = packing.pack_mixture(spark.createDataFrame(rows, DOCS).coalesce(3), public_tokenizers.path("word_bpe_49k.json"), aims, length=32).collect()
+    begin = {}
+    for r in found:
+        if r.start == 0 and r.source_queue.startswith("r"):
+            begin[r.doc_id] = (r.sequence_id, r.offset, r.source_queue)
+    first = [q for _, _, q in sorted(begin.values())][:120]
+    assert len(begin) == 400 and all(abs(first.count(q) / 120 - aims[q] / 0.06) < 0.03 for q in ("r0", "r1", "r2", "r3"))
 
 
 def test_packing_odd_rows(spark, odd, none):
@@ -147,6 +170,20 @@ def test_schedules_serve_all_tokens():
         assert len(cells) == sum(totals)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    t = tokens.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not t.by_word and t.encode_batch(["a b", "", "é x"]) == [t.whole(x) for x in ("a b", "", "é x")]
+
+
+def test_forgotten_words_are_learnt_again():
+    t, rng = tokens.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), random.Random(9)
+    t.words.limit = t.pieces.limit = 3000
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["The", "x,", "y."]) + str(rng.randint(0, 50)) for _ in range(rng.randint(0, 20))) for _ in range(5)]
+        assert t.encode_batch(texts) == [t.whole(x) for x in texts]
+        assert t.words.held < 3000 + 100 * 250
+
+
 def test_remembered_words_are_exact():
     t = tokens.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["", "it's <|endoftext|>x\x1cy", "Σας ΌΣΟΣ é İx 東京 ١٢\xa0b 'Tis don't''s %%'s5 ½²ª", "\x85\x0b a\n\n", "ﬁx ＡＢ", "a\u0301 e \u0301x"]
