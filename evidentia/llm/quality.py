@@ -122,14 +122,18 @@ def ridge(rows: DataFrame, fourier: Fourier) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over bins at x with n rows, `ones` of them 1: knots and their probabilities, which never fall."""
+    """Pool adjacent violators over bins at x with n rows, `ones` of them 1: knots and their probabilities, which never fall.
+
+    Before pooling every bin gets its share of two rows more, one of each class, so that no probability is 0 or 1.
+    """
+    more = 1 / max(1, len(x))
     blocks: list[list[float]] = []
-    for at, count, one in sorted(zip(x, n, ones, strict=True)):
+    for at, count, one in sorted(zip(x.tolist(), (n + 2 * more).tolist(), (ones + more).tolist(), strict=True)):
         blocks.append([at * count, count, one])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-    return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5) / (b[1] + 1) for b in blocks])
+    return np.array([b[0] / b[1] for b in blocks]), np.array([b[2] / b[1] for b in blocks])
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,7 +171,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, t
         for batch in scores(batches):
             raw = batch.column("ridge_score").to_numpy()
             # between knots straight lines; a trace of the ridge score keeps different documents apart on the flat parts
-            score = np.clip(np.interp(raw, knots, p) + 1e-6 * np.tanh(raw), 0, 1)
+            score = np.clip(np.interp(raw, knots, p) + 1e-9 * np.tanh(raw), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("ridge_score")], ["doc_id", "score", "ridge_score"])
 
     found = rows.mapInArrow(calibrated, "doc_id long, score double, ridge_score double")
