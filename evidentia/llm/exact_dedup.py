@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import free_name, stage, table, texts_of
 
-#: A digest is heavy if at least one row in HEAVY_ONE_IN carries it; so there are at most HEAVY_ONE_IN of them.
-HEAVY_ONE_IN = 256
+#: A digest is heavy if at least one row in HEAVY_ONE_IN carries it, and two do; so there are at most HEAVY_ONE_IN of them.
+HEAVY_ONE_IN = 1024
 #: Counters of each Misra-Gries summary: counts come out at most n / (COUNTERS + 1) too small.
-COUNTERS = 1024
+COUNTERS = 4096
 
 
 def shrink(counts: dict, counters: int) -> dict:
@@ -53,63 +53,61 @@ def misra_gries(column: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return column.mapInArrow(summarise, f"{name} {kind}, estimate long").groupBy(name).agg(F.sum("estimate").alias("estimate"))
 
 
-def heavy_digests(rows: DataFrame, one_in: int, counters: int) -> DataFrame | None:
-    """(digest, keep_id, group_size) of the frequent digests, verified by exact counts; at most one_in rows."""
+def heavy_digests(rows: DataFrame, one_in: int, counters: int) -> DataFrame:
+    """(digest, keep_id, group_size, keep_row, tied) of the frequent digests of rows (doc_id, digest, row), verified by exact counts.
+
+    At most one_in rows. keep_row: of the rows with the largest doc_id the one with the largest `row`; tied: are there several?
+    """
     n = rows.count()
     least = max(2, -(-n // one_in))
-    if not n or n < one_in:
-        return None
     found = misra_gries(rows.select("digest"), counters).where(F.col("estimate") > least - n / (counters + 1)).select("digest")
     candidates = F.broadcast(found)  # estimates add up to n at most: no more than 1 / (1/one_in - 1/(counters + 1)) rows
-    exact = (
-        rows.join(candidates, "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") >= least)
-    )
-    exact = stage(exact, "heavy")
-    # repeated rows can share the largest doc_id; those groups are decided by the ordinary path, which numbers rows
-    single = (
-        rows.join(F.broadcast(exact), "digest")
-        .where(F.col("doc_id") == F.col("keep_id"))
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n = 1")
-        .select("digest")
-    )
-    return stage(exact.join(F.broadcast(single), "digest", "left_semi"), "winners")
+    last = F.max(F.struct("doc_id", "row"))
+    exact = rows.join(candidates, "digest", "left_semi").groupBy("digest").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
+    exact = stage(exact.where(F.col("group_size") >= least), "heavy")
+    ties = rows.join(F.broadcast(exact.select("digest", F.col("last.doc_id").alias("keep_id"))), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    ties = ties.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("tied"))
+    winners = exact.join(F.broadcast(ties), "digest")
+    return stage(winners.select("digest", F.col("last.doc_id").alias("keep_id"), "group_size", F.col("last.row").alias("keep_row"), "tied"), "winners")
 
 
 def exact_duplicates(docs: DataFrame, heavy_one_in: int = HEAVY_ONE_IN, counters: int = COUNTERS) -> DataFrame:
     """Every row's decision: doc_id, digest (binary), keep_id, group_size, kept."""
-    rows = stage(texts_of(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    rows = texts_of(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     heavy = heavy_digests(rows, heavy_one_in, counters)
     group = Window.partitionBy("digest")
-    columns = ["doc_id", "digest", "keep_id", "group_size", "kept"]
-    light = rows if heavy is None else rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    light = light.select(
+    light = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
         "doc_id",
         "digest",
         F.max("doc_id").over(group).alias("keep_id"),
         F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())) == 1).alias("kept"),
     )
-    if heavy is None:
-        return light
-    decided = rows.join(F.broadcast(heavy), "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
-    return decided.select(columns).unionByName(light.select(columns))
+    decided = rows.join(F.broadcast(heavy), "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    return decided.select(light.columns).unionByName(light)
 
 
 def drop_duplicates(docs: DataFrame, heavy_one_in: int = HEAVY_ONE_IN, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows of heavy groups go on the map side, before the shuffle."""
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    rows = stage(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__digest").alias("digest")), "digests")
-    heavy = heavy_digests(rows, heavy_one_in, counters)
-    if heavy is not None:
-        winners = F.broadcast(heavy.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")))
-        keyed = keyed.join(winners, "__digest", "left").where(F.col("__keep").isNull() | (F.col("doc_id") == F.col("__keep"))).drop("__keep")
-    order = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last())
-    return keyed.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns.
+
+    Rows of heavy groups go on the map side, before the shuffle; where several rows of one share the largest doc_id,
+    one of them stays by an aggregation, which also begins on the map side.
+    """
+    digest, keep = free_name(docs, "digest"), free_name(docs, "keep")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(digest).alias("digest"))
+    heavy = heavy_digests(stage(rows.withColumn("row", F.monotonically_increasing_id()), "digests"), heavy_one_in, counters)
+    winners = heavy.select(F.col("digest").alias(digest), F.struct("keep_id", "tied").alias(keep))
+    keyed = keyed.join(F.broadcast(winners), digest, "left")
+    kept = keyed.where(F.col(keep).isNotNull() & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{keep}.keep_id")))
+    single = kept.where(~F.col(f"{keep}.tied")).select(columns)
+    tied = kept.where(F.col(f"{keep}.tied")).groupBy(digest).agg(F.first(F.struct(*columns)).alias(keep)).select(f"{keep}.*")
+    order = Window.partitionBy(digest).orderBy(F.col("doc_id").desc_nulls_last())
+    nth = free_name(keyed, "nth")
+    light = keyed.where(F.col(keep).isNull()).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(columns)
+    return single.union(tied).union(light)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
