@@ -11,7 +11,8 @@ from .common import stage
 def _star(edges: DataFrame) -> DataFrame:
     """Both steps at once: link every neighbour of a node, and the node, to the smallest of them. (a, b) with b < a."""
     both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).union(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
-    least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
+    # written, so that the join below has plain sides: a node with very many links is then split, or its row sent to all
+    least = stage(both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least")), "least")
     linked = both.join(least, "n")
     out = linked.select(F.col("m").alias("a"), F.col("least").alias("b")).union(least.select(F.col("n").alias("a"), F.col("least").alias("b")))
     return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

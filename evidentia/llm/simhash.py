@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import free_name, stage, table, texts_of
 from .components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -159,9 +159,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, most: int = BITS)
 
     Rows that share a doc_id share its fate; a row without a doc_id stays, as no decision can name it.
     """
-    found = near_duplicates(docs, words, most)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    return docs.join(stage(gone, "gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    found, name = near_duplicates(docs, words, most), free_name(docs, "gone")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    return docs.join(stage(gone, "gone"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
