@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -211,7 +212,7 @@ def test_surrogates(spark, none):
     assert luhn(stand["4111111111111111"]) == 0 and len(stand["4111111111111111"]) == 16
     shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
     assert shape(stand["+1 (017) 555-7713"]) == shape("+1 (017) 555-7713")
-    assert surrogates._script and any("а" <= c <= "я" for c in stand["Госпожа Анна Петрова"][9:].lower())
+    assert any("а" <= c <= "я" for c in stand["Госпожа Анна Петрова"][9:].lower())
     assert surrogates.with_surrogates(none, "key").count() == 0
     again = {r.doc_id: r.text for r in surrogates.with_surrogates(df, "key").collect()}
     other = {r.doc_id: r.text for r in surrogates.with_surrogates(df, "another").collect()}
@@ -226,6 +227,53 @@ def test_surrogates_stay_distinct(spark):
     assert len(real) == len(fake) == 100 and not real & fake
 
 
+def test_surrogates_of_many_forms(spark):
+    texts = [
+        "id 123-45-6789, DE89 3704 0044 0532 0130 00 and 2001:db8::1 fe80:0:0:0:1:2:3:4",
+        "+14155552671 or +49 30 12345678, 06 12 34 56 78, +33 1 23 45 67 89, 3782 822463 10005",
+        "my name is Jennifer Miller, Dr. Chen, JOHN SMITH, MR. SMITH; 李伟先生 김민준 씨 Κύριος Παπάς السيد أحمد حسن; Γιάννης Παπάς",
+        "std::vec a::b 12:30:45 :: 1.2.3 12345 2020-01-02 the name of the Rose",
+    ]
+    rows = {r.doc_id: r for r in surrogates.with_surrogates(docs_of(spark, texts), "key").collect()}
+    stand = {e.surface: (e.kind, e.stand_in) for r in rows.values() for e in r.entities}
+    assert {s: k for s, (k, _) in stand.items()} == {
+        "123-45-6789": "id", "DE89 3704 0044 0532 0130 00": "iban", "2001:db8::1": "ipv6", "fe80:0:0:0:1:2:3:4": "ipv6", "+14155552671": "phone", "+49 30 12345678": "phone",
+        "06 12 34 56 78": "phone", "+33 1 23 45 67 89": "phone", "3782 822463 10005": "number", "Jennifer Miller": "person", "Dr. Chen": "person", "JOHN SMITH": "person", "MR. SMITH": "person",
+        "李伟": "person", "김민준": "person", "Κύριος Παπάς": "person", "السيد أحمد حسن": "person", "Γιάννης Παπάς": "person",
+    }
+    assert rows[3].text == texts[3]
+    for s, (kind, new) in stand.items():
+        assert new != s and not set(new.split()) & {w for w in s.split() if len(w) > 3 and w not in ("Κύριος", "السيد")}
+        if kind != "person":
+            assert [c if not c.isalnum() else "x" for c in s] == [c if not c.isalnum() else "x" for c in new]
+    iban = stand["DE89 3704 0044 0532 0130 00"][1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    # a family name is one name wherever it stands
+    assert stand["JOHN SMITH"][1].split()[-1] == stand["MR. SMITH"][1].split()[-1] and stand["Κύριος Παπάς"][1].split()[-1] == stand["Γιάννης Παπάς"][1].split()[-1]
+    assert all(ord(c) > 0x4E00 for c in stand["李伟"][1]) and all("가" <= c <= "힣" for c in stand["김민준"][1])
+
+
+def test_surrogates_take_odd_rows(spark, odd):
+    """Very long texts, repeated rows, and columns named like those of the operator."""
+    mail = docs_of(spark, ["x " * 50_000 + "a@b.cd", "a@b.cd"], e=1, entities="z", matches=2, hash=3, row=4)
+    found = surrogates.with_surrogates(mail.union(mail), "key")
+    rows = found.collect()
+    assert found.columns == [*mail.columns, "entities_1"] and len(rows) == 4
+    assert len({e.stand_in for r in rows for e in r.entities_1}) == 1 and all((r.e, r.entities, r.matches, r.hash, r.row) == (1, "z", 2, 3, 4) for r in rows)
+    assert surrogates.with_surrogates(odd, "key").count() == odd.count()
+
+
+def test_full_forms_are_an_error(spark):
+    """All ten ids that a space of ten can have: none is left to stand in."""
+    rows = spark.createDataFrame([("ipv6", str(d), None) for d in range(10)], "kind string, canon string, gender string")
+    with pytest.raises(ValueError, match="no free stand-ins"):
+        surrogates.ATTEMPTS, before = 3, surrogates.ATTEMPTS
+        try:
+            surrogates.stand_ins(rows, "key")
+        finally:
+            surrogates.ATTEMPTS = before
+
+
 # 3 token counts
 
 
@@ -292,6 +340,84 @@ def test_toxicity_is_learned(spark):
     assert caught > 0.8 and spared > 0.98
 
 
+def test_words_of_texts():
+    long = "x" * 60
+    texts = ["", "  ", "The cat's 3 Éá!", "我杀了你 ok", long + "badword " + long + "goodword", "_a_"]
+    words, codes, ends = toxicity.words_of(toxicity.pa.array(texts))
+    found = [[words[c] for c in codes[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert found == [[], [], ["the", "cat", "s", "3", "éá"], ["我", "杀", "了", "你", "ok"], [long, "badword", long, "goodword"], ["a"]]
+
+
+def brute_kneser_ney(texts, ys, every):
+    """The models' log differences by the textbook: word after word, and words alone, for all pairs of words of the sample."""
+    pairs = lambda t: list(zip(["", *t.split()], t.split(), strict=False))
+    shared = defaultdict(int)
+    for t in every:
+        for _, w in set(pairs(t)):
+            shared[w] += 1
+    base = lambda w: (shared[w] + 1) / (sum(shared.values()) + len(shared) + 1)
+    vocabulary = {w for t in texts for w in t.split()} | set(shared)
+    counts = [defaultdict(int), defaultdict(int)]
+    for t, y in zip(texts, ys, strict=True):
+        for p in pairs(t):
+            counts[y][p] += 1
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def model(c):
+        follows, after = defaultdict(set), defaultdict(dict)
+        for (u, w), n in c.items():
+            follows[w].add(u)
+            after[u][w] = n
+        d1, d2, total = discount([len(x) for x in follows.values()]), discount(list(c.values())), len(c)
+        alone = {w: max(len(follows.get(w, ())) - d1, 0) / total + d1 * len(follows) / total * base(w) for w in vocabulary}
+
+        def bigram(u, w):
+            n = sum(after[u].values()) if u in after else 0
+            return alone[w] if not n else max(after[u].get(w, 0) - d2, 0) / n + d2 * len(after[u]) / n * alone[w]
+
+        return alone, bigram
+
+    (o, o2), (t, t2) = map(model, counts)
+    return {w: np.log(t[w] / o[w]) for w in vocabulary}, {(u, w): np.log(t2(u, w) / o2(u, w)) for u in [*vocabulary, ""] for w in vocabulary}
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    ys = [rng.randint(0, 1) for _ in range(40)]
+    alone, pairs = brute_kneser_ney(texts[:40], ys, texts)
+    sample = spark.createDataFrame(list(zip(texts[:40], ys, strict=True)), "text string, y int").repartition(3)
+    words, bigrams, unseen = toxicity.kneser_ney(toxicity.class_bigrams(sample), toxicity.shared_counts(docs_of(spark, texts)))
+    judge = toxicity.Judge(toxicity.arrays(words), toxicity.arrays(bigrams), unseen)
+    for text in ["a b c dx", "hx h", "a", *texts[40:]]:
+        w = text.split()
+        want = np.mean([pairs[p] for p in zip(["", *w], w, strict=False)]) if w else 0
+        assert abs(judge(toxicity.pa.array([text]))[0][0, 0] - want) < 1e-4
+    assert abs(toxicity.Judge(toxicity.arrays(words), toxicity.arrays(bigrams), unseen).l[judge.words(toxicity.hashed(["a"]))[0]] - alone["a"]) < 1e-5
+
+
+def test_order_of_words_matters(spark):
+    texts = [f"{x} kill {y} {k}" for k in range(30) for x, y in (("i", "you"), ("you", "i"))]
+    labels = [int(t.startswith("i")) for t in texts]
+    sample = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, y int")
+    words, bigrams, unseen = toxicity.kneser_ney(toxicity.class_bigrams(sample), toxicity.shared_counts(docs_of(spark, texts)))
+    judge = toxicity.Judge(toxicity.arrays(words), toxicity.arrays(bigrams), unseen)
+    toxic, ordinary = judge(toxicity.pa.array(["i kill you", "you kill i"]))[0][:, 0]
+    assert toxic > 0.5 > -0.5 > ordinary
+
+
+def test_lookup_finds_all():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64) >> np.uint64(rng.integers(0, 50)))
+    ask = np.r_[keys, keys + np.uint64(1)]
+    got = toxicity.Lookup(keys)(ask)
+    assert (got[: len(keys)] == np.arange(len(keys))).all() and all((g >= 0) == (a in set(keys.tolist())) for g, a in zip(got, ask.tolist(), strict=True))
+    assert (toxicity.Lookup(keys[:0])(ask) == -1).all()
+
+
 def test_quality_is_learned(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     found = quality.query(spark, "/root/testdata/sf0.01").collect()
@@ -311,11 +437,33 @@ def test_learners_take_odd_rows(spark, odd, none):
             assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
 
 
-def test_isotonic_never_falls():
+def test_isotonic_is_the_least_squares_fit():
+    """Pooling gives what the minimax formula gives: of all averages over stretches before and after."""
     rng = np.random.default_rng(0)
-    x, n = np.sort(rng.random(50)), rng.integers(1, 9, 50)
-    knots, p = quality.isotonic(x, n, rng.binomial(n, 0.5))
-    assert (np.diff(knots) > 0).all() and (np.diff(p) >= -0.5).all()
+    for _ in range(20):
+        x, n = np.sort(rng.random(15)), rng.integers(1, 9, 15)
+        ones = rng.binomial(n, 0.5)
+        knots, p = quality.isotonic(x, n, ones)
+        assert (np.diff(knots) > 0).all() and (np.diff(p) >= 0).all() and (p > 0).all() and (p < 1).all()
+        m, k = n + 2 / 15, ones + 1 / 15
+        mean = lambda i, j: k[i : j + 1].sum() / m[i : j + 1].sum()
+        want = [max(min(mean(i, j) for j in range(at, 15)) for i in range(at + 1)) for at in range(15)]
+        assert np.allclose(np.array(want)[np.flatnonzero(np.diff(want, prepend=-1) > 1e-9)], p)
+    p = quality.isotonic(np.array([0.0, 1.0]), np.array([1000, 1]), np.array([900, 1]))[1]
+    assert (np.diff(p) >= 0).all()
+
+
+def test_ridge_equals_the_normal_equations(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.random((80, quality.STATISTICS)), rng.integers(0, 2, 80).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)], "x array<double>, y double").repartition(3)
+    fourier = quality.Fourier(x.mean(axis=0), x.std(axis=0))
+    z, size = fourier(x), quality.FEATURES
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * 80 / size * np.diag([1.0] * size + [1e-9]), z.T @ y)
+    assert np.allclose(z @ quality.ridge(rows, fourier), z @ want, atol=1e-6)
+    d = x[:5, None] - x[None, :5]
+    kernel = np.exp(-(quality.WIDTH**2) * ((d / x.std(axis=0)) ** 2).sum(axis=2) / 2)
+    assert np.abs((z[:5, :-1] @ z[:5, :-1].T) - kernel).max() < 0.3  # about the Gaussian kernel, with 256 features
 
 
 # 5 exact duplicates
@@ -340,6 +488,17 @@ def test_exact_duplicates_heavy_and_light(spark, odd, none):
     assert exact_dedup.exact_duplicates(none).count() == exact_dedup.drop_duplicates(none).count() == 0
 
 
+def test_heavy_rows_with_clashing_names_and_ties(spark):
+    """A heavy group whose largest doc_id a third of its rows share, and columns named like those of the operator."""
+    df = docs_of(spark, ["same"] * 300 + ["b"] * 2, keep="k", digest="d", nth=7, row=8, keep_id=9, last=1)
+    df = df.union(df.where("doc_id = 299").crossJoin(spark.range(150).select()))
+    kept = exact_dedup.drop_duplicates(df, 4, 500)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [299, 301]
+    assert {(r.keep, r.digest, r.nth, r.row, r.keep_id) for r in kept.collect()} == {("k", "d", 7, 8, 9)}
+    found = exact_dedup.exact_duplicates(df, 4, 500)
+    assert found.where("kept").count() == 2 and found.where("group_size = 450").count() == 450
+
+
 def test_repeated_rows_of_a_heavy_group(spark):
     df = docs_of(spark, ["same"] * 300 + ["b"])
     df = df.union(df.where("doc_id = 299"))
@@ -384,6 +543,48 @@ def test_warc_round_trip(spark, none):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_plain_text_of_broken_pages():
+    text = warc.plain_text
+    assert text("<html><head><title>T</title><body><p>Hello world") == "Hello world"
+    assert text("a<svg><path>b<p>c") == "a b\nc" or text("a<svg><path>b<p>c") == "ab\nc"
+    assert text("a<svg>x</svg>b<head>c") == "a bc" and text("<script>x") == "" and text("a < b <c") == "a < b <c"
+    assert text("x<!-- y") == "x" and text("<p>1 &lt; 2</p>") == "1 < 2"
+    for piece in ("<a ", "<meta ", "<!x ", "<svg>", "<script>", "<a b", "&", "<a " + "x" * 50):
+        began = time.perf_counter()
+        page = piece * (1_000_000 // len(piece))
+        text(page), warc.about(page, "http://a.b/"), text(page + ">"), warc.about(page + ">", "")
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_bodies_are_read_as_their_headers_say():
+    import gzip
+
+    def page(headers, body):
+        block = b"HTTP/1.1 200 OK\r\n" + headers + b"\r\n\r\n" + body
+        return warc.derived(1, "<id>", "http://a.b/", "WARC/1.0\r\nWARC-Concurrent-To:<1>\r\nWARC-Concurrent-To: <2>\r\n", block, None)
+
+    text = lambda rows: rows[1][6].decode()
+    assert text(page(b"Content-Type: text/html; charset=ISO-8859-1", b"<p>\xe9")) == "é"
+    assert text(page(b"Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(b"<p>x"))) == "x"
+    assert text(page(b"Transfer-Encoding: chunked\r\nContent-Type: text/html", b"3\r\n<p>\r\n2;a=b\r\nhi\r\n0\r\n\r\n")) == "hi"
+    assert text(page(b"Content-Type: text/html", b"<meta charset='iso-8859-1'><p>\xe9")) == "é"
+    assert text(page(b"Content-Type: text/plain", b"a <b> c")) == "a <b> c"
+    assert len(page(b"Content-Type: image/png", b"\x89PNG")) == 1
+    assert '["WARC-Concurrent-To", "<1>"], ["WARC-Concurrent-To", "<2>"]' in page(b"", b"")[0][6].decode()
+
+
+def test_long_files_are_read_in_linear_time():
+    import gzip
+
+    one = gzip.compress(b"WARC/1.0\r\nWARC-Type:response\r\nContent-Length: 20000\r\n\r\n" + random.Random(1).randbytes(20_000) + b"\r\n\r\n")
+    began = time.perf_counter()
+    found = list(warc.parse_bytes(one * 3000))
+    assert len(found) == 3000 and {r[1] for r in found} == {"response"} and time.perf_counter() - began < 20
+    assert len(list(warc.parse_bytes(one * 3 + one[: len(one) // 2]))) == 3
+    plain = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [r[6] for r in warc.parse_bytes(plain * 3)] == [b"abc"] * 3 and [r[6] for r in warc.parse_bytes(b"junk" + plain)] == [b"abc"]
+
+
 # 7 repeated passages
 
 
@@ -518,15 +719,16 @@ def test_judged_once():
 def brute_leaks(docs, items):
     import regex
 
-    def shingles(text):
+    def shingles(text, n):
         w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        n = n or min(5, len(w))
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
     out = {}
     for i, q in items:
-        need = shingles(q)
+        need = shingles(q, None)
         for d, t in docs:
-            both = len(need & shingles(t))
+            both = len(need & shingles(t, len(next(iter(need), "x"))))
             if need and both >= 0.8 * len(need) - 1e-9:
                 out[d, i] = (both, len(need))
     return out
@@ -555,7 +757,33 @@ def test_leaks_equal_brute_force(spark, none):
 
 def test_leaks_take_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "a" * 100_000), (None, "one"), (2, "is it")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.contained_items(odd, bench).collect()} == {(8, 1), (3, None)}
+    rows = [(r.doc_id, " " + " ".join((r.text or "").lower().replace(".", " ").replace(",", " ").split()) + " ") for r in odd.collect()]
+    long = {(i, q) for i, t in rows for q, s in ((None, " one "), (2, " is it ")) if s in t}
+    assert len(long) > 2
+    assert {(r.doc_id, r.item_id) for r in decontamination.contained_items(odd, bench).collect()} == {(8, 1), (3, None), *long}
+
+
+def test_short_items_are_found_inside_documents(spark):
+    docs = docs_of(spark, ["well, the Secret answer phrase is here", "secret answer", "phrase secret answer", "secret", "no"])
+    bench = spark.createDataFrame([(1, "secret answer phrase"), (2, "secret"), (3, "is here")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained_items(docs, bench).collect()}
+    assert found == {(0, 1), (0, 2), (0, 3), (1, 2), (2, 2), (3, 2)}
+
+
+def test_no_size_of_item_is_missed(spark):
+    """Recall against exact containment, by the partition of the item's size: 1 in each."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 12, 17, 20, 33, 40, 70, 130, 300] * 3)]
+    texts = []
+    for k, t in items:  # up to a fifth of the shingles lost, at places of all kinds
+        w = t.split()
+        for _ in range(rng.randint(0, max(0, (len(w) - 4) // 25))):
+            w[rng.randrange(len(w))] = "zzz"
+        texts.append(" ".join([*(word() for _ in range(200)), *w, *(word() for _ in range(2000 if k % 5 == 0 else 20))]))
+    want = brute_leaks(list(enumerate(texts)), items)
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained_items(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == set(want) and {len(items[i][1].split()) for _, i in want} == {len(t.split()) for _, t in items}
 
 
 # the pipeline
@@ -585,6 +813,25 @@ def test_stages_keep_the_columns(spark):
         assert step(spark, docs, SF).columns == docs.columns
 
 
+def test_filters_take_clashing_names_and_odd_rows(spark, odd, none):
+    """Every stage of the pipeline on nulls, repeated rows, an empty table, and columns named like its own."""
+    clashing = odd.withColumns({"gone": F.lit(1), "leak": F.lit(2), "digest": F.lit("d"), "keep": F.lit("k"), "nth": F.lit(3)})
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        kept = step(spark, clashing, SF)
+        assert kept.columns == clashing.columns and kept.count() > 0, name
+        assert {(r.gone, r.leak, r.digest, r.keep, r.nth) for r in kept.collect()} == {(1, 2, "d", "k", 3)}
+        assert step(spark, none, SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, SF).count() > 0 and corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_staged_tables_are_dropped(spark):
+    from evidentia.llm import common
+
+    before = common.drop_staged(spark)
+    common.stage(spark.range(3).toDF("x"), "x")
+    assert before >= 0 and common.drop_staged(spark) == 1 and common.drop_staged(spark) == 0
+
+
 def test_sha_of_texts(spark):
     got = {r.doc_id: r.text_sha256 for r in exact_dedup.query(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").limit(20).collect():
