@@ -1,10 +1,11 @@
 """Removal of repeated passages by a suffix array with bucket-pointer refinement (operator 7).
 
 A byte goes if it lies in a stretch of LENGTH bytes that also starts in a document with a smaller doc_id. Suffixes are
-sorted as in Schuermann and Stoye's algorithm, no deeper than LENGTH bytes: initial buckets by the first eight bytes,
-refined by sorting on the bucket numbers of later offsets (8, 16, then 18 further on), each refinement reusing the
-numbers the one before has made. Suffixes that end in one bucket share LENGTH bytes, and the smallest doc_id of a
-bucket decides about them all.
+sorted as in Schuermann and Stoye's algorithm, until LENGTH bytes are told apart: initial buckets by the first eight
+bytes, then buckets of several suffixes are refined by sorting them on the bucket pointers of later offsets (8, 16 and
+32 further on). A pointer is a bucket's place in the order, so a refined bucket's pointers can be used at once by the
+buckets refined after it; buckets of one suffix are settled and not touched again. Suffixes that share LENGTH bytes lie
+side by side in the end, and the smallest doc_id among them decides about them all.
 
 Sorting all suffixes of a corpus would ship every byte many times, so three passes work on blocks of documents:
 
@@ -17,7 +18,10 @@ Sorting all suffixes of a corpus would ship every byte many times, so three pass
 3. Blocks mark the bytes, and give back spans and what is left.
 
 A hash only chooses candidates; what is removed is decided on bytes. Blocks are compressed and written once; exchanges
-carry packed blobs, never one row for a byte. Memory is bound by BLOCK, RANGE and the longest document.
+carry packed blobs, never one row for a byte. Blocks and ranges grow with the root of the input beyond some ten GB, so
+that a blob has BLOB bytes of text behind it and their number grows with the input only, up to MOST (some TB); beyond
+that blobs shrink towards single anchors. Memory is bound by these sizes and the longest document. A passage that all
+blocks have sends one stretch a block to one range.
 
 Defined results: a null text is empty; texts shorter than LENGTH bytes lose nothing; a null doc_id counts as larger than
 all others; rows with equal doc_id count as one document, so they do not remove each other's bytes; an empty table gives
@@ -40,8 +44,10 @@ from .common import stage, table, texts_of
 LENGTH, GRAM = 50, 24
 WINDOWS = LENGTH - GRAM + 1  # grams of a window
 WIDEST = LENGTH + WINDOWS - 1  # bytes the windows of one anchor cover at most
-#: Bytes of documents in a block, and bytes of documents for which there is one range of hashes.
-BLOCK, RANGE = 4 << 20, 3 << 20
+#: Bytes of documents in a block, and bytes of documents for which there is one range of hashes: at least, and at most.
+BLOCK, RANGE, MOST = 4 << 20, 3 << 20, 64 << 20
+#: Bytes of documents behind a blob that a block sends to a range.
+BLOB = 900
 _SLICE = 1 << 19
 #: Stretches whose suffixes are sorted at once, about; those of one anchor always are.
 PART = 10_000
@@ -193,23 +199,56 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
         yield held
 
 
-def sorted_buckets(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The number of the bucket of equal LENGTH bytes at each start, numbered in their order. buf has LENGTH bytes at each start."""
-    if not len(starts):
-        return starts
+def refined(buf: np.ndarray, depth: int = LENGTH, part: int = 1 << 18) -> np.ndarray:
+    """The starts of suffixes in the order of their first `depth` bytes, by bucket-pointer refinement.
+
+    Of all suffixes of at least eight bytes; those of twice `depth` bytes, of which the caller sees to it, are in order.
+    """
     n = len(buf) - 7
     code = np.zeros(n, np.uint64)
     for k in range(8):
         code = (code << np.uint64(8)) | buf[k : k + n].astype(np.uint64)
-    pointer = np.full(len(buf), 0, np.int64)  # bucket numbers by place, 8 bytes deep
-    pointer[:n] = np.unique(code, return_inverse=True)[1]
-    for depth, offset in ((8, 8), (16, 16)):
-        last = len(buf) - depth - offset + 1
-        two = pointer[:last] * (int(pointer.max()) + 1) + pointer[offset : offset + last]
-        pointer = np.zeros(len(buf), np.int64)
-        pointer[:last] = np.unique(two, return_inverse=True)[1]
-    # 32 bytes deep; 18 further on makes LENGTH
-    return np.unique(pointer[starts] * (int(pointer.max()) + 1) + pointer[starts + LENGTH - 32], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    pointer = np.full(n + depth, -1, np.int64)  # of each suffix its bucket's place; what lies behind the end comes first
+
+    def place(which: np.ndarray, new: np.ndarray) -> None:
+        """Buckets of order[which] begin where new says so."""
+        pointer[order[which]] = which[np.maximum.accumulate(np.where(new, np.arange(len(which)), 0))]
+
+    codes = code[order]
+    place(np.arange(n), np.r_[True, codes[1:] != codes[:-1]] if n else np.zeros(0, bool))
+    known = 8
+    while known < depth:
+        bucket = pointer[order]
+        same = bucket[1:] == bucket[:-1]
+        open_ = np.flatnonzero(np.r_[same, False] | np.r_[False, same])  # buckets of several suffixes
+        ends = np.flatnonzero(np.diff(bucket[open_], append=-1)) + 1
+        cuts = ends[np.flatnonzero(np.diff(ends // part, append=-1))]
+        for which in np.split(open_, cuts[:-1]):  # whole buckets; later ones already see the pointers of earlier ones
+            if not len(which):
+                continue
+            starts = order[which]
+            own, later = pointer[starts], pointer[starts + known]
+            by = np.lexsort((later, own))
+            order[which] = starts[by]
+            own, later = own[by], later[by]
+            place(which, np.r_[True, (own[1:] != own[:-1]) | (later[1:] != later[:-1])])
+        known *= 2
+    return order
+
+
+def sorted_buckets(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number of the bucket of equal LENGTH bytes at each start, numbered in their order. buf has LENGTH bytes at each start."""
+    if not len(starts):
+        return starts
+    rank = np.empty(len(buf) - 7, np.int64)
+    rank[refined(buf)] = np.arange(len(rank))
+    by = np.argsort(rank[starts], kind="stable")
+    rows = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[starts[by]]
+    new = (rows[1:] != rows[:-1]).any(axis=1)  # what is sorted is compared once more, byte by byte
+    bucket = np.empty(len(starts), np.int64)
+    bucket[by] = np.r_[0, np.cumsum(new)]
+    return bucket
 
 
 def earlier(rows: np.ndarray, hash_: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -251,7 +290,13 @@ def earlier(rows: np.ndarray, hash_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mask.astype(np.uint32)
 
 
-def exchange(blocks: DataFrame, answers: DataFrame | None, send: Callable, reply: Callable, ranges: int) -> DataFrame:
+def sizes_for(total: int) -> tuple[int, int]:
+    """Bytes of a block and of a range for an input of so many bytes."""
+    root = int((BLOB * total) ** 0.5) + 1
+    return tuple(min(MOST, max(least, root)) for least in (BLOCK, RANGE))
+
+
+def exchange(blocks: DataFrame, answers: DataFrame | None, send: Callable, reply: Callable, ranges: int, tasks: int) -> DataFrame:
     """block, answers: blocks send blobs to ranges of hashes, which reply to each. answers: what blocks know so far."""
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,15 +310,15 @@ def exchange(blocks: DataFrame, answers: DataFrame | None, send: Callable, reply
             blobs = reply([g["blob"] for g in group])
             yield _rows([(g["block"], g["range"], b) for g, b in zip(group, blobs, strict=True)], ["block", "range", "blob"])
 
-    rows = blocks if answers is None else told(blocks, answers)
+    rows = blocks if answers is None else told(blocks, answers, tasks)
     sent = rows.mapInArrow(sending, "range int, block long, blob binary")
-    replies = sent.repartition("range").sortWithinPartitions("range", "block").mapInArrow(replying, "block long, range int, blob binary")
+    replies = sent.repartition(tasks, "range").sortWithinPartitions("range", "block").mapInArrow(replying, "block long, range int, blob binary")
     return stage(replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "blob"))).alias("answers")), "answers")
 
 
-def told(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with their answers; a block without anchors has none."""
-    return blocks.join(answers.hint("shuffle_hash"), "block", "left")
+def told(blocks: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """Blocks with their answers; a block without anchors has none. Both sides are dealt alike, to tasks whose number grows with the blocks."""
+    return blocks.repartition(tasks, "block").join(answers.repartition(tasks, "block").hint("shuffle_hash"), "block", "left")
 
 
 def _answered(row: dict, name: str, dtype, n: int) -> np.ndarray:
@@ -328,12 +373,15 @@ def removed(block: Block, row: dict) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, block: int = BLOCK, range_: int = RANGE) -> DataFrame:
+def without_repeats(docs: DataFrame, block: int | None = None, range_: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end in bytes; maximal runs that go), kept (binary: what is left) of every document."""
+    total = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block, range_ = block or sizes_for(total)[0], range_ or sizes_for(total)[1]
     blocks = stage(blocks_of(docs, block), "blocks")
-    ranges = int(max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // range_))
-    known = exchange(blocks, None, send_hashes, reply_known, ranges)
-    masks = exchange(blocks, known, send_stretches, reply_earlier, ranges).withColumnRenamed("answers", "masks")
+    ranges = int(max(1, total // range_))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 8)
+    known = exchange(blocks, None, send_hashes, reply_known, ranges, tasks)
+    masks = exchange(blocks, known, send_stretches, reply_earlier, ranges, tasks).withColumnRenamed("answers", "masks")
 
     def marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +399,7 @@ def without_repeats(docs: DataFrame, block: int = BLOCK, range_: int = RANGE) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
 
     both = known.join(masks, "block", "left")  # blobs of bits and masks, small beside the blocks
-    return told(blocks, both).mapInArrow(marking, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return told(blocks, both, tasks).mapInArrow(marking, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -448,7 +448,8 @@ def test_isotonic_is_the_least_squares_fit():
         m, k = n + 2 / 15, ones + 1 / 15
         mean = lambda i, j: k[i : j + 1].sum() / m[i : j + 1].sum()
         want = [max(min(mean(i, j) for j in range(at, 15)) for i in range(at + 1)) for at in range(15)]
-        assert np.allclose(np.array(want)[np.flatnonzero(np.diff(want, prepend=-1) > 1e-9)], p)
+        distinct = lambda v: np.array(v)[np.flatnonzero(np.diff(v, prepend=-1) > 1e-9)]
+        assert np.allclose(distinct(want), distinct(p))
     p = quality.isotonic(np.array([0.0, 1.0]), np.array([1000, 1]), np.array([900, 1]))[1]
     assert (np.diff(p) >= 0).all()
 
@@ -637,6 +638,26 @@ def test_buckets_are_those_of_equal_bytes():
     assert [order[g] for g in strings] == bucket.tolist()
 
 
+def test_refinement_sorts_suffixes():
+    """Order and buckets after refinement against sorted(), on text with long repeats."""
+    rng = np.random.default_rng(13)
+    for size, alphabet in ((300, 2), (800, 3), (60, 1)):
+        buf = rng.integers(97, 97 + alphabet, size).astype(np.uint8)
+        buf[size // 2 : size // 2 + size // 4] = buf[: size // 4]
+        padded = np.r_[buf, np.zeros(80, np.uint8)]
+        whole, order = padded.tobytes(), repeats.refined(padded, 50, part=97)
+        cut = [whole[s : s + 50] for s in order.tolist() if s < size]
+        assert cut == sorted(whole[s : s + 50] for s in range(size)) and sorted(order.tolist()) == list(range(size + 73))
+
+
+def test_sizes_grow_with_the_root():
+    """The blobs between blocks and ranges grow with the input and not with its square, as far as MOST lets them."""
+    for total in (1 << 29, 1 << 35, 1 << 40, 1 << 42):
+        block, range_ = repeats.sizes_for(total)
+        blobs = (total / block) * (total / range_)
+        assert repeats.BLOCK <= block <= repeats.MOST and blobs <= 1.01 * max((total / repeats.BLOCK) * (total / repeats.RANGE) if total < 1 << 34 else 0, total / repeats.BLOB)
+
+
 # 9 SimHash
 
 
