@@ -3,34 +3,31 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A string, closed or cut off, or a bracket outside of strings; brackets with nothing between them.
+_TOKEN, _PAIR = re.compile(r'"(?:[^"\\]|\\.)*+"?|[{}\[\]]', re.S), re.compile(r"\{\}|\[\]")
+
 
 def closed(text: str) -> str | None:
     """A cut-off document up to the last bracket that closed, with those still open closed after it.
 
-    Nothing but brackets is added, so a value that was cut in its middle goes as a whole. None if no bracket ever
-    closed, or if nothing is open.
+    Pairs of brackets are taken out from the inside until none is left; what remains must be opening ones, which are
+    then closed in turn. None if no bracket ever closed, if nothing is open, or if the brackets do not match.
     """
-    need: list[str] = []
-    quoted = skip = False
-    end, open_then = 0, ""
-    for at, ch in enumerate(text, 1):
-        if quoted:
-            quoted, skip = (skip or ch != '"'), (not skip and ch == "\\")
-        elif ch == '"':
-            quoted = True
-        elif ch in "{[":
-            need.append("}" if ch == "{" else "]")
-        elif ch in "}]":
-            if not need:
-                return None
-            need.pop()
-            end, open_then = at, "".join(reversed(need))
-    return text[:end] + open_then if end and open_then else None
+    brackets = [m for m in _TOKEN.finditer(text) if m.group() in "{}[]"]
+    while brackets and brackets[-1].group() in "{[":
+        brackets.pop()
+    left, before = "".join(m.group() for m in brackets), None
+    while left != before:
+        left, before = _PAIR.sub("", left), left
+    if not left or set(left) & set("}]"):
+        return None
+    return text[: brackets[-1].end()] + left[::-1].translate(str.maketrans("{[", "}]"))
 
 
 def object_in(text: str | None) -> str | None:
@@ -38,8 +35,7 @@ def object_in(text: str | None) -> str | None:
     start = (text or "").find("{")
     if start < 0:
         return None
-    whole = text[start : text.rfind("}") + 1]
-    for attempt in (whole, closed(text[start:])):
+    for attempt in (text[start : text.rfind("}") + 1], closed(text[start:])):
         try:
             if attempt and isinstance(found := json.loads(attempt), dict):
                 return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
@@ -49,12 +45,13 @@ def object_in(text: str | None) -> str | None:
 
 
 def tolerant_object(text: Column) -> Column:
-    """object_in over a column, in Arrow batches."""
+    """The JSON object in each text. What the engine reads stays there; only the rest goes to Python, in Arrow batches."""
 
     def objects(texts: pd.Series) -> pd.Series:
         return texts.map(object_in)
 
-    return F.pandas_udf(objects, "string")(text)
+    whole = F.get_json_object(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "$")
+    return F.coalesce(whole, F.pandas_udf(objects, "string")(F.when(whole.isNull() & F.contains(text, F.lit("{")), text)))
 
 
 def enveloped(doc: Column, field: str) -> tuple[Column, Column]:

@@ -15,14 +15,19 @@ def cited(claims: DataFrame, pages: DataFrame, claim: str, value: str, keys: lis
     first `block` words do, so both sides meet on those (shorter values on their first word), and only pairs that share
     them are compared as a whole. Texts take no part in the first exchange, only their runs of words that begin a claim.
     """
-    c = claims.select(claim, T.words(F.col(value)).alias("_v")).where("_v != ''").withColumn("_w", F.split("_v", " "))
-    c = c.withColumn("_key", F.concat_ws(" ", F.slice("_w", F.lit(1), F.when(F.size("_w") >= block, block).otherwise(1)))).drop("_w")
+    c = claims.select(claim, T.words(F.col(value)).alias("_v")).where("_v != ''").withColumn("_w", F.split("_v", " ")).withColumn("_long", F.size("_w") >= block)
+    c = c.withColumn("_key", F.concat_ws(" ", F.slice("_w", F.lit(1), F.when(F.col("_long"), block).otherwise(1)))).drop("_w")
     words = pages.select(*keys, F.split(T.words(F.col(page_text)), " ").alias("_w"))
     runs = words.where(F.size("_w") >= block).select(*keys, F.explode(F.arrays_zip(*(F.slice("_w", k + 1, F.size("_w") - (block - 1)).alias(f"w{k}") for k in range(block)))).alias("s"))
     runs = runs.select(*keys, F.concat_ws(" ", *(F.col(f"s.w{k}") for k in range(block))).alias("_key"))
-    singles = words.select(*keys, F.explode("_w").alias("_key"))
-    begun = runs.union(singles).join(c.select(claim, "_key"), "_key").select(*keys, claim).distinct()
-    texts = pages.select(*keys, F.concat(F.lit(" "), T.words(F.col(page_text)), F.lit(" ")).alias("_t"))
+    begun = runs.join(c.where("_long").select(claim, "_key"), "_key").select(*keys, claim)
+    short = c.where("not _long").select(claim, "_key")
+    if not short.isEmpty():  # single words are frequent: they are only looked at where a claim begins with them
+        singles = words.select(*keys, F.explode(F.array_distinct("_w")).alias("_key"))
+        begun = begun.union(singles.join(short, "_key").select(*keys, claim))
+    begun = begun.distinct()
+    # only pages with a candidate send their text
+    texts = pages.join(begun.select(*keys).distinct(), keys, "left_semi").select(*keys, F.concat(F.lit(" "), T.words(F.col(page_text)), F.lit(" ")).alias("_t"))
     found = begun.join(c.select(claim, "_v"), claim).join(texts, keys)
     return found.where(F.contains("_t", F.concat(F.lit(" "), F.col("_v"), F.lit(" ")))).select(*keys, claim)
 

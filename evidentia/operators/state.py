@@ -6,36 +6,47 @@ held as a whole, whatever its length.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, tuple], tuple[Any, tuple]], columns: list[str], out: str) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, tuple], tuple[Any, tuple]], columns: list[str], out: str, needed: int = 1) -> DataFrame:
     """keys, order columns and what step gives for each row: step(state, values of columns) -> (state, outputs); state begins as None.
 
-    out: schema of the outputs, as "name type, ...".
+    out: schema of the outputs, as "name type, ...". A null is a key of its own; a row with a null among the first
+    `needed` columns (the time, as a rule) changes no state, and its outputs are null.
     """
     head = list(dict.fromkeys([*keys, *order]))
     need = list(dict.fromkeys([*head, *columns]))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in head)
-    names = [x.split()[0] for x in out.split(",")]
+    outputs = StructType.fromDDL(out)
+    schema = StructType([df.schema[c] for c in head] + outputs.fields)
+    arrow, nothing = to_arrow_schema(schema), (None,) * len(outputs)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for frame in frames:
-            found = []
-            for k, values in zip(frame[keys].itertuples(index=False, name=None), frame[columns].itertuples(index=False, name=None), strict=True):
+        for batch in batches:
+            found, values = [], [batch.column(c).to_pylist() for c in (*keys, *columns)]
+            for row in zip(*values, strict=True):
+                k, given = tuple("nan" if x != x else x for x in row[: len(keys)]), row[len(keys) :]
                 if k != key:
                     key, state = k, None
-                state, row = step(state, values)
-                found.append(row)
-            yield pd.concat([frame[head].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+                if None in given[:needed]:
+                    found.append(nothing)
+                    continue
+                state, made = step(state, given)
+                found.append(made)
+            made = zip(*found, strict=True) if found else [()] * len(outputs)
+            kept = [batch.column(c) for c in head]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, arrow.field(len(head) + i).type) for i, x in enumerate(made))], schema=pa.schema([pa.field(f.name, k.type) for f, k in zip(arrow, kept, strict=False)] + [arrow.field(len(head) + i) for i in range(len(outputs))]))
 
-    return df.select(need).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{kinds}, {out}")
+    return df.select(need).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
 def fixed_window(events: DataFrame, key: str, at: str, order: list[str], limit: int, window: int) -> DataFrame:
@@ -69,6 +80,28 @@ def ttl_cache(requests: DataFrame, key: str, at: str, order: list[str], found: s
     return fold(requests, [key], order, step, [at, found], "outcome string")
 
 
+def lru_cache(requests: DataFrame, cache: str, key: str, at: str, order: list[str], capacity: int = 500, ttl: int | None = None) -> DataFrame:
+    """outcome (hit or fetch) and `evicted` (how many entries went) of each request to a cache of `capacity` entries.
+
+    One state for each value of `cache`: what was used last stays longest, and a read counts as a use. With a time to
+    live an entry older than it is fetched anew.
+    """
+
+    def step(state, values):
+        now, wanted = values
+        state = OrderedDict() if state is None else state
+        live = wanted in state and (ttl is None or state[wanted] + ttl > now)
+        if not live:
+            state[wanted] = now
+        state.move_to_end(wanted)
+        gone = max(0, len(state) - capacity)
+        for _ in range(gone):
+            state.popitem(last=False)
+        return state, ("hit" if live else "fetch", gone)
+
+    return fold(requests, [cache], order, step, [at, key], "outcome string, evicted long", 2)
+
+
 def circuit_breaker(calls: DataFrame, key: str, at: str, order: list[str], blocked: str, threshold: int = 3, cooldown: int = 600) -> DataFrame:
     """state of each call: skipped (the breaker is open), blocked, opened (the block that opens it) or ok. Success clears the count."""
 

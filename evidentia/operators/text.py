@@ -72,7 +72,10 @@ def span_union(spans: DataFrame, key: str, start: str = "start", end: str = "end
 
 
 def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None = None, reach: int = REACH) -> DataFrame:
-    """key, regions, citable: spans around every match of a pattern, and the text without them."""
+    """key, regions, citable: spans around every match of a pattern, and the text without them.
+
+    Nearly all texts are clean and stay in the engine: what may match, by the same patterns without word ends, is cut in Python.
+    """
     compiled = [re.compile(p, re.I) for p in patterns or INJECTIONS]
     kind = texts.schema[key].dataType.simpleString()
 
@@ -96,7 +99,9 @@ def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None
             found = [cut(x) for x in f[text]]
             yield pd.DataFrame({key: f[key], "regions": [x[0] for x in found], "citable": [x[1] for x in found]})
 
-    return texts.select(key, text).mapInPandas(work, f"{key} {kind}, regions int, citable string")
+    likely = F.coalesce(F.col(text).rlike("(?iu)" + "|".join(f"(?:{p})" for p in (patterns or INJECTIONS)).replace(r"\b", "")), F.lit(False))
+    clean = texts.where(~likely).select(key, F.lit(0).alias("regions"), F.coalesce(F.col(text), F.lit("")).alias("citable"))
+    return texts.where(likely).select(key, text).mapInPandas(work, f"{key} {kind}, regions int, citable string").unionByName(clean)
 
 
 #: Labels of pin figures, which a wrong shift does not produce; white space, which a shift leaves as it is.

@@ -12,15 +12,31 @@ from .registry import Registry, Tables
 REGISTRY = Registry()
 query = REGISTRY.query
 
-#: Lines of datasheets made of keys: each form, each trap. The lone SQL of package_variants reads one form of them.
-_TEXT = """case p_partkey % 8 when 0 then 'Offered in a ' || cast(4 + 2 * (p_size % 20) as string) || '-Lead TSSOP for customers' when 1 then 'see SOIC (' || cast(p_size as string) || ') and CMTI(1)'
- when 2 then 'the LQFP-' || cast(p_size * 2 as string) || ' option' when 3 then 'a Ceramic SO' || cast(p_size as string) || ' or SOT23' when 4 then cast(p_size * 10 as string) || ' CQFP reel, 55 BGA'
- when 5 then 'DO0 DO1 DO2 registers' when 6 then 'moved to (5) places' else '' end"""
+#: Lines made of keys, for either engine: each form, each trap.
+_TEXT = """case p_partkey % 9 when 0 then 'Comes as ' || cast(4 + 2 * (p_size % 20) as string) || '-lead HTSSOP, or ' || cast(4 + 2 * (p_size % 20) as string) || ' pin HTSSOP' when 1 then 'MSOP (' || cast(p_size as string) || '), rev(2)'
+ when 2 then 'one PQFP-' || cast(p_size * 2 as string) || 'X of many' when 3 then 'SO' || cast(p_size as string) || ', hermetic SO' || cast(p_size as string) || ' or TO92' when 4 then cast(p_size * 10 as string) || ' CDIP tubes, 33 LGA'
+ when 5 then 'SC1 SC2 SC3 channels' when 6 then 'going to 8 pins TSSOP to 9' when 7 then 'SOD-' || cast(p_size as string) || ' and ' || cast(p_size as string) || ' ld EP-VQFN' else '' end"""
+_FORM_ROWS = " UNION ALL ".join(
+    f"SELECT k, t, {n} AS form, '{f}' AS f, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms FROM lines"
+    for n, (f, p) in enumerate(ops.FORMS.items())
+)
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+VARIANTS_SQL = rf"""WITH lines AS (SELECT p_partkey AS k, {_TEXT} AS t FROM part), f0 AS ({_FORM_ROWS}),
+f1 AS (SELECT k, t, form, f, m, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS place FROM f0),
+f2 AS (SELECT k, t, form, f, CASE WHEN c THEN substr(m, 2) ELSE m END AS m, place + CASE WHEN c THEN 1 ELSE 0 END AS place FROM (SELECT *, f = 'alone' AND NOT regexp_matches(m, '^[0-9]') AS c FROM f1)),
+f3 AS (SELECT *, regexp_extract(m, '{ops.FIRST}', 1) || regexp_extract(m, '{ops.LAST}', 1) AS printed, try_cast(regexp_extract(regexp_replace(m, '{ops.FIRST}', ''), '([0-9]{{1,3}})', 1) AS INTEGER) AS number FROM f2),
+f4 AS (SELECT *, upper(printed) AS family, CASE WHEN upper(printed) NOT IN ({_IN(ops.OUTLINE_NUMBERED)}) THEN number END AS leads FROM f3),
+f5 AS (SELECT k, form, f, family, leads, place, regexp_replace(m, '\s+', ' ', 'g') AS name, regexp_extract(substr(t, greatest(1, place + 1 - {ops.FRONT})::BIGINT, least(place, {ops.FRONT})::BIGINT), '{ops.MATERIAL}', 1) AS material FROM f4
+ WHERE (family NOT IN ({_IN(ops.CAPITALS_ONLY)}) OR printed = family) AND NOT (f = 'keyword' AND regexp_matches(regexp_extract(m, '{ops.BETWEEN}', 1), '{ops.IS_FAMILY}'))
+ AND CASE WHEN leads IS NULL THEN f <> 'alone' ELSE leads BETWEEN CASE WHEN f = 'glued' THEN {ops.LEAST_GLUED} ELSE 2 END AND {ops.MOST_LEADS} AND (f <> 'alone' OR (leads % 2 = 0 AND leads BETWEEN 4 AND 400)) END),
+f6 AS (SELECT *, row_number() OVER (e ORDER BY material = '', form, place) AS r, bool_or(f = 'glued' AND leads IS NULL) OVER (e) AS glued FROM f5 WINDOW e AS (PARTITION BY k, family, coalesce(leads::VARCHAR, upper(name)))),
+f7 AS (SELECT *, sum(glued::INTEGER) OVER (PARTITION BY k, family) AS many FROM f6 WHERE r = 1)
+SELECT k AS p_partkey, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS nth, CASE WHEN material = '' THEN name ELSE material || ' ' || name END AS designator, family, leads::BIGINT AS leads, place::BIGINT AS place FROM f7 WHERE NOT glued OR many < 2"""
 
 
-@query()
+@query(VARIANTS_SQL)
 def package_variants(t: Tables) -> DataFrame:
-    """Packages that made-up lines name; five ways of printing with offsets are beyond SQL, so the tests check lines one by one."""
+    """Packages that made-up lines name."""
     return ops.package_variants(t.part.selectExpr("p_partkey", f"{_TEXT} as text"), "p_partkey", "text")
 
 

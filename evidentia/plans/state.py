@@ -60,3 +60,13 @@ def single_flight(t: Tables) -> DataFrame:
 def latest_nonnull(t: Tables) -> DataFrame:
     rows = events(t).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
     return ops.latest_nonnull(rows, ["user_id", "event_type"], ["s", "event_id"], "value")
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s, event_id) AS i FROM ({_EV})), p AS (SELECT *, lag(i) OVER (PARTITION BY event_type, user_id ORDER BY i) AS before, row_number() OVER (PARTITION BY event_type, user_id ORDER BY i) AS nth FROM e),
+d AS (SELECT a.event_id, count(DISTINCT b.user_id) AS between_ FROM p a JOIN p b ON a.event_type = b.event_type AND b.i > a.before AND b.i < a.i GROUP BY a.event_id),
+h AS (SELECT p.event_id, p.event_type, p.user_id, p.i, before IS NOT NULL AND coalesce(between_, 0) < 60 AS hit FROM p LEFT JOIN d USING (event_id))
+SELECT event_id, event_type, CASE WHEN hit THEN 'hit' ELSE 'fetch' END AS outcome, CASE WHEN NOT hit AND sum((NOT hit)::INTEGER) OVER (PARTITION BY event_type ORDER BY i) > 60 THEN 1 ELSE 0 END::BIGINT AS evicted FROM h""")
+def lru_cache(t: Tables) -> DataFrame:
+    """A cache of sixty users for each type of event: a request hits if fewer than sixty others came since its last."""
+    rows = ops.lru_cache(events(t).withColumnRenamed("user_id", "user"), "event_type", "user", "s", ["s", "event_id"], 60)
+    return rows.select("event_id", "event_type", "outcome", "evicted")

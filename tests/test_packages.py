@@ -2,8 +2,6 @@
 
 import json
 
-import pytest
-
 from evidentia.functions import json as J
 from evidentia.operators import packages
 
@@ -23,11 +21,6 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("text", CASES)
-def test_designators(text):
-    assert [v[:3] for v in packages.variants_in(text)] == CASES[text]
-
-
 def test_variants_over_rows(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(CASES)] + [(99, None)], "id long, body string")
     found = {}
