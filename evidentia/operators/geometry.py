@@ -109,32 +109,42 @@ def nearest_pad(pads_: DataFrame, markers: DataFrame, key: str) -> DataFrame:
 def violations(parts: DataFrame, pads_: DataFrame, key: str) -> DataFrame:
     """key, kind, n: how often a footprint breaks each invariant; kinds that it keeps have no row.
 
-    parts: n (pins), half_width, half_height (courtyard), mx, my (pin-1 marker).
+    parts: n (pins), half_width, half_height (courtyard), mx, my (pin-1 marker), and, where they are there, exposed (a
+    land more) and pins (numbers in the pin table). pads_: number, x, y, w, h, and, where they are there, drill, plated
+    and paste (array of x, y, w, h). A part's lands are put into one row once, bounded by its pins, and judged there.
     """
-    wanted = parts.select(key, F.explode(F.sequence(F.lit(1), c("n"))).alias("number"))
-    placed = pads_.groupBy(key, "number").agg(F.count(F.lit(1)).alias("lands"))
-    lands = wanted.withColumn("_w", F.lit(1)).join(placed, [key, "number"], "full_outer")
-    counts = lands.where(c("_w").isNotNull() & (F.coalesce("lands", F.lit(0)) != 1)).select(key, F.lit("land-count").alias("kind"))
-    stray = lands.where(c("_w").isNull()).select(key, F.lit("stray-land").alias("kind"))
-    touch = overlapping(pads_, key).select(key, F.lit("overlap").alias("kind"))
-    rows = pads_.join(parts.select(key, "half_width", "half_height", "mx", "my"), key)
-    outside = (F.abs("x") + c("w") / 2 > c("half_width") + TOUCHING) | (F.abs("y") + c("h") / 2 > c("half_height") + TOUCHING)
-    court = rows.where(outside).select(key, F.lit("courtyard").alias("kind"))
-    bad = _any_not_finite(["x", "y", "w", "h"])
-    finite = rows.where(bad).select(key, F.lit("non-finite").alias("kind"))
-    d2 = (c("x") - c("mx")) * (c("x") - c("mx")) + (c("y") - c("my")) * (c("y") - c("my"))
-    one = rows.groupBy(key).agg(F.min(F.when(c("number") == 1, F.sqrt(d2))).alias("_one"), F.min(F.when(c("number") != 1, F.sqrt(d2))).alias("_other"))
-    first = one.where(c("_one").isNull()).select(key, F.lit("no-pin-1").alias("kind"))
-    marker = one.where(c("_one") > c("_other") + TOUCHING).select(key, F.lit("marker").alias("kind"))
-    found = counts.union(stray).union(touch).union(court).union(finite).union(first).union(marker)
-    return found.groupBy(key, "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _any_not_finite(names: list[str]) -> Column:
-    out = F.lit(False)
-    for n in names:
-        out = out | c(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf"))
-    return out
+    has = lambda df, n, empty: c(n) if n in df.columns else F.lit(None).cast(empty)
+    box = "array<struct<x:double,y:double,w:double,h:double>>"
+    land = F.struct("number", "x", "y", "w", "h", has(pads_, "drill", "double").alias("drill"), F.coalesce(has(pads_, "plated", "boolean"), F.lit(False)).alias("plated"), F.coalesce(has(pads_, "paste", box), F.array().cast(box)).alias("paste"))
+    lands = pads_.groupBy(key).agg(F.array_sort(F.collect_list(land)).alias("_p"))
+    columns = [c(n) for n in ("n", "half_width", "half_height", "mx", "my")]
+    exposed, table = F.coalesce(has(parts, "exposed", "boolean"), F.lit(False)).alias("_e"), F.coalesce(has(parts, "pins", "array<string>"), F.array().cast("array<string>")).alias("_t")
+    rows = parts.select(key, *columns, exposed, table).join(lands, key, "left").withColumn("_p", F.coalesce("_p", F.array()))
+    p, count = c("_p"), lambda test: F.size(F.filter("_p", test))
+    wanted = F.sequence(F.lit(1), c("n") + c("_e").cast("int"))
+    numbers = F.transform(p, lambda a: a["number"].cast("int"))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    distance = lambda a: F.sqrt((a["x"] - c("mx")) * (a["x"] - c("mx")) + (a["y"] - c("my")) * (a["y"] - c("my")))
+    rest = lambda i: F.slice(p, i + 2, F.greatest(F.size(p), F.lit(1)))
+    pairs = F.aggregate(F.transform(p, lambda a, i: F.size(F.filter(rest(i), lambda b: G.overlaps({x: a[x] for x in "xywh"}, {x: b[x] for x in "xywh"}, TOUCHING)))), F.lit(0), lambda s, n: s + n)
+    past = lambda a: F.size(F.filter(a["paste"], lambda q: (F.abs(q["x"] - a["x"]) + q["w"] / 2 > a["w"] / 2 + TOUCHING) | (F.abs(q["y"] - a["y"]) + q["h"] / 2 > a["h"] / 2 + TOUCHING)))
+    one = F.array_min(F.transform(F.filter(p, lambda a: a["number"] == 1), distance))
+    other = F.array_min(F.transform(F.filter(p, lambda a: a["number"] != 1), distance))
+    kinds = {
+        "land-count": F.size(F.filter(wanted, lambda i: F.size(F.filter(numbers, lambda k: k == i)) != 1)),
+        "stray-land": F.size(F.array_except(numbers, wanted)),
+        "unplaced-pin": F.size(F.filter("_t", lambda x: x.rlike("^[0-9]+$") & ~F.array_contains(numbers, x.try_cast("int")))),
+        "overlap": pairs,
+        "courtyard": count(lambda a: (F.abs(a["x"]) + a["w"] / 2 > c("half_width") + TOUCHING) | (F.abs(a["y"]) + a["h"] / 2 > c("half_height") + TOUCHING)),
+        "paste-on-hole": count(lambda a: a["plated"] & (F.size(a["paste"]) > 0)),
+        "paste-past-copper": F.aggregate(F.transform(p, past), F.lit(0), lambda s, n: s + n),
+        "no-pin-1": one.isNull().cast("int"),
+        "marker": F.coalesce(one > other + TOUCHING, F.lit(False)).cast("int"),
+        "non-finite": count(lambda a: ~(finite(a["x"]) & finite(a["y"]) & finite(a["w"]) & finite(a["h"]))),
+        "no-drill": count(lambda a: a["plated"] & ~F.coalesce(a["drill"] > 0, F.lit(False))),
+    }
+    listed = F.array(*(F.struct(F.lit(k).alias("kind"), e.cast("long").alias("n")) for k, e in kinds.items()))
+    return rows.select(key, F.explode(listed).alias("_v")).select(key, "_v.kind", "_v.n").where("n > 0")
 
 
 def paste_grid(parts: DataFrame, key: str, length: str, width: str) -> DataFrame:

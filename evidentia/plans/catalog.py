@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import baseline, entity, evaluation, evidence, geometry, identity, packages, records, retrieval, state, text
+from . import baseline, entity, evaluation, evidence, footprint, geometry, identity, packages, records, retrieval, state, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (geometry, retrieval, text, evidence, state, evaluation, entity, packages, records, identity, baseline):
+for _module in (geometry, retrieval, text, evidence, state, evaluation, entity, packages, records, identity, footprint, baseline):
     QUERIES |= _module.REGISTRY.queries
     SQL |= _module.REGISTRY.sql
