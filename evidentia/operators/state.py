@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -135,3 +135,44 @@ def latest_nonnull(rows: DataFrame, keys: list[str], order: list[str], value: st
     """The last value that isn't null of each key, by order: an aggregate with partial results, no sort of a key's rows."""
     last = F.max_by(F.col(value), F.struct(*order))
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(last.alias(value))
+
+
+def client_key(forwarded: Column, real: Column) -> Column:
+    """Whose allowance a request uses: the first address a proxy forwarded, else the one it names, else one shared by all unknown."""
+    first, own = F.trim(F.substring_index(forwarded, ",", 1)), F.trim(real)
+    return F.coalesce(F.when(first != "", first), F.when(own != "", own), F.lit("unknown"))
+
+
+def cache_key(part: Column, maker: Column) -> Column:
+    from ..functions.text import normalised_part
+
+    return F.concat_ws("|", normalised_part(part), F.lower(F.trim(F.coalesce(maker, F.lit("")))))
+
+
+def retry_after_ms(message: Column, fallback: int = 60_000, most: int = 120_000) -> Column:
+    """How long a service asks to wait ("retry in 5.2s"), with two seconds to spare, else the fallback; at most `most`."""
+    stated = F.regexp_extract(message, r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)\s*s", 1).try_cast("double")
+    return F.least(F.coalesce(F.ceil(F.round(stated * 1000, 3)) + 2000, F.lit(fallback)), F.lit(most)).cast("long")
+
+
+def backoff_ms(attempt: Column, kind: Column, attempts: int = 3, base: int = 2000) -> Column:
+    """The wait before the next attempt, doubling; null where there is none: enough were made, or a failure that comes again."""
+    return F.when((attempt < attempts) & (kind == "transient"), (base * F.pow(F.lit(2.0), attempt - 1)).cast("long"))
+
+
+def model_budget_ms(route: Column, elapsed: Column, ceiling: Column, margin: int = 3000, least: int = 5000) -> tuple[Column, Column]:
+    """What is left of a route's time for a model, and whether that is worth a call."""
+    left = route - margin - elapsed
+    left = F.when(ceiling > 0, F.least(ceiling, left)).otherwise(left)
+    return left, left >= least
+
+
+def evictions(first_seen: DataFrame, key: str, at: str, expires: str, now: int, most: int = 10_000) -> DataFrame:
+    """key, why: which keys of a full store go: the expired, and, if too many are left, the oldest."""
+    rows = first_seen.withColumn("_dead", F.col(expires) <= now)
+    live = rows.where("not _dead")
+    over = F.greatest(F.lit(0), F.count(F.lit(1)) - most)
+    surplus = live.agg(over.alias("_over"))  # one row
+    oldest = live.orderBy(at, key).withColumn("_one", F.lit(1))
+    ranked = oldest.select(key, F.row_number().over(Window.partitionBy("_one").orderBy(at, key)).alias("_n")).join(F.broadcast(surplus)).where("_n <= _over")
+    return rows.where("_dead").select(key, F.lit("expired").alias("why")).unionByName(ranked.select(key, F.lit("oldest").alias("why")))

@@ -70,3 +70,33 @@ def lru_cache(t: Tables) -> DataFrame:
     """A cache of sixty users for each type of event: a request hits if fewer than sixty others came since its last."""
     rows = ops.lru_cache(events(t).withColumnRenamed("user_id", "user"), "event_type", "user", "s", ["s", "event_id"], 60)
     return rows.select("event_id", "event_type", "outcome", "evicted")
+
+
+_CLIENT = "case event_id % 5 when 0 then '10.0.0.' || cast(user_id as string) || ', 10.9.9.9' when 1 then ' ' when 2 then null when 3 then ',x' else '1.2.3.4' end"
+
+
+@query(f"""SELECT event_id, coalesce(nullif(trim(string_split(f, ',')[1]), ''), CASE WHEN event_id % 2 = 0 THEN '7.7.7.7' END, 'unknown') AS client, upper('tps' || user_id) || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'ti' END AS cache_key,
+least(coalesce(CASE WHEN event_id % 2 = 0 THEN (event_id % 90) * 1000 + 500 + 2000 END, 60000), 80000)::BIGINT AS wait_ms, CASE WHEN event_id % 4 + 1 < 3 AND event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 2000 ELSE 4000 END END::BIGINT AS backoff_ms
+FROM (SELECT *, {_CLIENT.replace('as string', 'as varchar')} AS f FROM events)""")
+def request_keys(t: Tables) -> DataFrame:
+    """Of each request: whose it is, what it asks the cache for, how long it waits after a refusal and after a failure."""
+    e = t.events
+    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Quota. Please Retry in "), (F.col("event_id") % 90).cast("string"), F.lit(".5s."))).otherwise("no idea")
+    client = ops.client_key(F.expr(_CLIENT), F.when(F.col("event_id") % 2 == 0, " 7.7.7.7 "))
+    key = ops.cache_key(F.concat(F.lit(" tps"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 3 != 0, " TI "))
+    kind = F.when(F.col("event_type") == "error", "transient").otherwise("permanent")
+    return e.select("event_id", client.alias("client"), key.alias("cache_key"), ops.retry_after_ms(message, most=80_000).alias("wait_ms"), ops.backoff_ms(F.col("event_id") % 4 + 1, kind).alias("backoff_ms"))
+
+
+@query("SELECT event_id, left_ms, left_ms >= 5000 AS worth FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(8000, 27000 - event_id % 40000) ELSE 27000 - event_id % 40000 END AS left_ms FROM events)")
+def model_budgets(t: Tables) -> DataFrame:
+    left, worth = ops.model_budget_ms(F.lit(30_000).cast("long"), F.col("event_id") % 40_000, F.when(F.col("event_id") % 3 == 0, F.lit(8000).cast("long")))
+    return t.events.select("event_id", left.alias("left_ms"), worth.alias("worth"))
+
+
+@query("""WITH k AS (SELECT user_id, min(event_id) AS at_, max(event_id) AS last_ FROM events GROUP BY user_id), s AS (SELECT *, last_ % 7 = 0 AS dead FROM k), l AS (SELECT user_id, row_number() OVER (ORDER BY at_, user_id) AS n, count(*) OVER () AS c FROM s WHERE NOT dead)
+SELECT user_id, 'expired' AS why FROM s WHERE dead UNION ALL SELECT user_id, 'oldest' FROM l WHERE n <= greatest(0, c - 20)""")
+def store_evictions(t: Tables) -> DataFrame:
+    """Which users a store of twenty keys lets go."""
+    keys = t.events.groupBy("user_id").agg(F.min("event_id").alias("at"), F.when(F.max("event_id") % 7 == 0, 0).otherwise(2).alias("until"))
+    return ops.evictions(keys, "user_id", "at", "until", 1, 20)
