@@ -124,10 +124,10 @@ def printed_page(pages: DataFrame, wanted: DataFrame, key: str, page: str, text:
 
 def neutralised(text: Column) -> Column:
     """Text from outside, unable to pass for the frame around it: invisible characters go first, then fences and page marks, then triple angles break."""
-    out = F.regexp_replace(text, "[‪-‮⁦-⁩​-‏﻿]", "")
+    out = F.regexp_replace(text, "[\u202a-\u202e\u2066-\u2069\u200b-\u200f\ufeff]", "")
     out = F.regexp_replace(out, r"(?i)<<<\s*(BEGIN|END)_UNTRUSTED_DATASHEET\s*>>>", "(removed)")
     out = F.regexp_replace(out, r"(?i)\[\[\s*PAGE\s+[0-9]+\s*\]\]", "(removed)")
-    return F.regexp_replace(F.regexp_replace(out, "<<<", "<​<<"), ">>>", ">​>>")
+    return F.regexp_replace(F.regexp_replace(out, "<(?=<<)", "<\u200b"), ">(?=>>)", ">\u200b")
 
 
 def safe_part(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _box() -> str:
+def box_template() -> str:
     """The template of a closed box: %1$s to %6$s stand for the least and greatest x, y and z, %7$s for its name."""
     number, lines = count(10), []
 
@@ -67,7 +67,7 @@ def step_solids(parts: DataFrame, key: str, name: str, length: str, width: str,
     known = parts.where((F.col(length) > 0) & (F.col(width) > 0) & (F.col(height) > 0))
     half = [(-F.col(s) / 2, F.col(s) / 2) for s in (length, width)] + [(F.lit(0.0), F.col(height).cast("double"))]
     numbers = [step_number(v) for pair in half for v in pair]
-    return known.select(key, F.format_string(_box(), *numbers, step_string(F.col(name))).alias("body"))
+    return known.select(key, F.format_string(box_template(), *numbers, step_string(F.col(name))).alias("body"))
 
 
 #: The kinds of pins as the schematic format spells them; any other kind is unspecified.

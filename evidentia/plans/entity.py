@@ -13,7 +13,7 @@ query = REGISTRY.query
 
 #: Mentions and packages by arithmetic on keys; codes, names and lead counts repeat, so some mentions are ambiguous.
 _MENTIONS = "SELECT p_partkey as m, case when p_partkey % 3 = 0 then 'C' || cast(p_partkey % 700 as string) end as code, 'FAM' || cast(p_partkey % 90 as string) || '-' || cast(p_size as string) as name, 'FAM' || cast(p_partkey % 90 as string) as family, p_size as leads FROM part"
-_PACKAGES = "SELECT p_partkey as pkg, 'C' || cast(p_partkey % 650 as string) as code, 'fam' || cast(p_partkey % 90 as string) || ' ' || cast(p_size as string) as name, 'FAM' || cast(p_partkey % 90 as string) as family, p_size as leads FROM part WHERE p_partkey % 2 = 0"
+_PACKAGES = "SELECT p_partkey as pkg, 'C' || cast(p_partkey % 650 as string) as code, 'fam' || cast(p_partkey % 90 as string) || ' ' || cast(p_size as string) as name, 'FAM' || cast(p_partkey % 90 as string) as family, p_size as leads FROM part"
 _TIERS = ["code", "regexp_replace(upper(name), '[^A-Z0-9]', '', 'g')", "family || ':' || leads"]
 
 
@@ -33,8 +33,8 @@ def designator_ladder(t: Tables) -> DataFrame:
     return ops.ladder(_from(t, _MENTIONS), _from(t, _PACKAGES), "m", "pkg", [(F.col("code"), F.col("code")), (fold, fold), (pair, pair)], {0})
 
 
-_FIRST = "SELECT p_partkey % 50 as doc, p_partkey as entry, case when p_partkey % 4 <> 0 then 'O' || cast(p_partkey % 400 as string) end as outline, 'F' || cast(p_partkey % 60 as string) as family, p_size as leads, case when p_partkey % 3 = 0 then p_retailprice end as pitch FROM part WHERE p_partkey % 2 = 0"
-_SECOND = "SELECT p_partkey % 50 as doc, p_partkey + 1000000 as entry, case when p_partkey % 5 <> 0 then 'O' || cast(p_partkey % 420 as string) end as outline, 'F' || cast(p_partkey % 60 as string) as family, p_size as leads, p_retailprice + 1 as pitch FROM part WHERE p_partkey % 3 <> 1"
+_FIRST = "SELECT p_partkey % 50 as doc, p_partkey as entry, case when p_partkey % 4 <> 0 then 'O' || cast(p_partkey % 400 as string) end as outline, 'F' || cast(p_partkey % 60 as string) as family, p_size as leads, case when p_partkey % 3 = 0 then p_retailprice end as pitch FROM part"
+_SECOND = "SELECT p_partkey % 50 as doc, p_partkey + 1000000 as entry, case when p_partkey % 5 <> 0 then 'O' || cast(p_partkey % 420 as string) end as outline, 'F' || cast(p_partkey % 60 as string) as family, p_size as leads, p_retailprice + 1 as pitch FROM part"
 
 
 @query(f"""WITH a AS ({_FIRST}), b AS ({_SECOND}), p AS (SELECT DISTINCT a.doc, a.entry AS ae, b.entry AS be FROM a JOIN b ON a.doc = b.doc AND (a.outline = b.outline OR a.family = b.family)
@@ -46,7 +46,7 @@ def entry_merge(t: Tables) -> DataFrame:
     return ops.merge_entries(_from(t, _FIRST), _from(t, _SECOND), "doc", ["outline", "family"], ["outline", "leads"], ["outline", "pitch"])
 
 
-_CAPTIONS = "SELECT p_partkey % 80 as doc, p_partkey as caption_id, 'x' || cast(p_partkey % 37 as string) || ' / X' || cast(p_size % 11 as string) || ' or x' || cast(p_partkey % 13 as string) as caption, p_size % 6 as leads FROM part WHERE p_partkey % 5 = 0"
+_CAPTIONS = "SELECT p_partkey % 80 as doc, p_partkey as caption_id, case when p_partkey % 5 = 0 then 'x' || cast(p_partkey % 37 as string) || ' / X' || cast(p_size % 11 as string) || ' or x' || cast(p_partkey % 13 as string) end as caption, p_size % 6 as leads FROM part"
 _ENTRIES = "SELECT p_partkey % 80 as doc, p_partkey as entry, 'X' || cast(p_partkey % 37 as string) as code, p_size % 6 as leads FROM part"
 
 

@@ -114,12 +114,13 @@ def shared_error_kind(t: Tables) -> DataFrame:
     return ops.shared_kind(t.events.select("user_id", F.when(F.col("event_type").isin("error", "signup"), F.col("event_type")).alias("kind")), ["user_id"], "kind")
 
 
-@query("""SELECT user_id, CASE WHEN coalesce(n, 0) > 0 THEN lu ELSE coalesce(usd, 0) END AS usd, CASE WHEN coalesce(n, 0) > 0 THEN n ELSE coalesce(calls, 0) END AS calls, coalesce(n, 0) > 0 AS from_ledger FROM (SELECT user_id, count(*) * 0.25e0 AS usd, count(*) AS calls FROM events WHERE event_type <> 'error' GROUP BY user_id)
-FULL OUTER JOIN (SELECT user_id, count(*) * 0.5e0 AS lu, sum(event_id % 2)::BIGINT AS n FROM events WHERE event_id % 5 = 0 GROUP BY user_id) USING (user_id)""")
+@query("""SELECT user_id, CASE WHEN coalesce(n, 0) > 0 THEN lu ELSE coalesce(usd, 0) END AS usd, CASE WHEN coalesce(n, 0) > 0 THEN n ELSE coalesce(calls, 0) END AS calls, coalesce(n, 0) > 0 AS from_ledger FROM (SELECT user_id, count(*) * 0.25e0 AS usd, count(*) AS calls FROM events GROUP BY user_id)
+FULL OUTER JOIN (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 0.5e0 ELSE 0.0e0 END) AS lu, sum(CASE WHEN event_type = 'error' THEN event_id % 2 ELSE 0 END)::BIGINT AS n FROM events GROUP BY user_id) USING (user_id)""")
 def charged_spend(t: Tables) -> DataFrame:
     """What each user was charged: by the ledger, where it has attempts, else by the cache."""
-    cached = t.events.where("event_type <> 'error'").groupBy("user_id").agg((F.count(F.lit(1)) * 0.25).alias("usd"), F.count(F.lit(1)).alias("calls"))
-    ledger = t.events.where("event_id % 5 = 0").select("user_id", F.lit(0.5).alias("usd"), (F.col("event_id") % 2).alias("attempts"))
+    cached = t.events.groupBy("user_id").agg((F.count(F.lit(1)) * 0.25).alias("usd"), F.count(F.lit(1)).alias("calls"))
+    failed = F.col("event_type") == "error"
+    ledger = t.events.select("user_id", F.when(failed, 0.5).otherwise(0.0).alias("usd"), F.when(failed, F.col("event_id") % 2).otherwise(0).alias("attempts"))
     return ops.charged(cached, ledger, ["user_id"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import geometry as ops
+from ..operators import sinks
 from .registry import Registry, Tables
 
 REGISTRY = Registry()
@@ -215,26 +216,34 @@ def geometry_violations(t: Tables) -> DataFrame:
     return ops.violations(_markers(t), pads, "p_partkey")
 
 
-@query()
+@query(rf"""SELECT p_partkey, '(footprint "' || regexp_replace(p_name, '(["\\])', '\\\1', 'g') || '"' || chr(10) || '  (layer "F.Cu")' || chr(10) || string_agg(printf('  (pad "%d" smd rect (at %.3f %.3f) (size %.3f %.3f) (layers "F.Cu" "F.Paste" "F.Mask"))', number, x, y, w, h), chr(10) ORDER BY number) || chr(10) || ')' AS body
+FROM ({DUAL_SQL}) JOIN (SELECT p_partkey, p_name FROM part) USING (p_partkey) GROUP BY p_partkey, p_name""")
 def footprint_text(t: Tables) -> DataFrame:
-    """Footprints as text, one for each part: decimal rendering has no equal in SQL, so the tests read it back."""
+    """Footprints as text, one for each part."""
     parts = placed(t).join(t.part.select("p_partkey", "p_name"), "p_partkey")
     return ops.footprint_text(parts, ops.pads(placed(t), "p_partkey", "dual"), "p_partkey", "p_name")
 
 
-@query()
-def step_solids(t: Tables) -> DataFrame:
-    """Box bodies as STEP text; decimal rendering has no equal in SQL, so the tests check the shells."""
-    from ..operators import sinks
+_STEP_NUMBERS = ["-l / 2", "l / 2", "-w / 2", "w / 2", "0.0e0", "1.2e0"]
+_STEP_SQL = "'" + sinks.box_template().replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+for _k, _v in enumerate(_STEP_NUMBERS, 1):
+    _STEP_SQL = f"replace({_STEP_SQL}, '%{_k}$s', regexp_replace(printf('%.6f', {_v}), '0+$', ''))"
+
 
+@query(f"SELECT p_partkey, replace({_STEP_SQL}, '%7$s', 'part ' || p_partkey) AS body FROM (SELECT p_partkey, body_length AS l, body_width AS w FROM ({RECORDS_SQL})) WHERE l > 0 AND w > 0")
+def step_solids(t: Tables) -> DataFrame:
+    """Box bodies as STEP text; the tests check that the shells close."""
     return sinks.step_solids(records(t).withColumn("height", F.lit(1.2)).withColumn("name", F.concat(F.lit("part "), "p_partkey")), "p_partkey", "name", "body_length", "body_width", "height")
 
 
-@query()
+_SYMBOL_KINDS = "CASE number % 4 WHEN 0 THEN 'input' WHEN 1 THEN 'output' WHEN 2 THEN 'power_in' ELSE 'unspecified' END"
+
+
+@query(rf"""SELECT p_partkey, '(symbol "' || regexp_replace(p_name, '(["\\])', '\\\1', 'g') || '"' || chr(10) || string_agg(printf('    (pin %s line (at %.2f %.2f %d) (length 2.54) (name "%s") (number "%d"))', {_SYMBOL_KINDS}, CASE WHEN number <= s THEN -10.16e0 ELSE 10.16e0 END,
+ ((s - 1) / 2 - CASE WHEN number <= s THEN number - 1 ELSE n - number END) * 2.54e0, CASE WHEN number <= s THEN 0 ELSE 180 END, 'P' || number, number), chr(10) ORDER BY number) || chr(10) || ')' AS body
+FROM (SELECT p_partkey, pin_count AS n, (pin_count + 1) // 2 AS s, unnest(range(1, pin_count + 1)) AS number FROM ({RECORDS_SQL})) JOIN (SELECT p_partkey, p_name FROM part) USING (p_partkey) GROUP BY p_partkey, p_name""")
 def symbol_text(t: Tables) -> DataFrame:
     """Schematic symbols as text, likewise."""
-    from ..operators import sinks
-
     pins = records(t).select("p_partkey", F.explode(F.sequence(F.lit(1), "pin_count")).alias("number"))
     kinds = F.element_at(F.array(*map(F.lit, ["input", "output", "power", "odd"])), (F.col("number") % 4 + 1).cast("int"))
     pins = pins.select("p_partkey", F.col("number").cast("long").alias("number"), F.concat(F.lit("P"), "number").alias("pin_name"), kinds.alias("kind"))

@@ -92,10 +92,10 @@ def devices_named(t: Tables) -> DataFrame:
 _FOOTED = "SELECT p_partkey % 50 as doc, p_partkey as page, 'text page ' || cast(p_size as string) || ' of 60 end' as body FROM part"
 
 
-@query("""SELECT doc, printed, min(page) AS page FROM (SELECT p_partkey % 50 AS doc, p_partkey AS page, p_size AS printed FROM part) WHERE printed % 2 = 1 GROUP BY doc, printed HAVING count(*) = 1""")
+@query("""SELECT doc, printed, min(page) AS page FROM (SELECT p_partkey % 50 AS doc, p_partkey AS page, p_size AS printed FROM part) GROUP BY doc, printed HAVING count(*) = 1""")
 def printed_pages(t: Tables) -> DataFrame:
     """Pages by the number in their footer, where just one page of a document prints it."""
-    wanted = t.part.selectExpr("p_partkey % 50 as doc", "p_size as printed").where("printed % 2 = 1").distinct()
+    wanted = t.part.selectExpr("p_partkey % 50 as doc", "p_size as printed").distinct()
     return ops.printed_page(_derive(t, _FOOTED, "part"), wanted, "doc", "page", "body", "printed")
 
 

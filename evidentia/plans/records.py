@@ -61,7 +61,7 @@ def record_blank(t: Tables) -> DataFrame:
     return rows.select("p_partkey", c("part_number.value").alias("part_number"), c("part_number.method").alias("method"), unknown.cast("long").alias("unknown"))
 
 
-_PACKAGE_DIMS = "SELECT p_partkey, 'pk' || cast(w as string) as package, case f when 1 then 'pitch' when 2 then 'body_width' else 'body_length' end as field, case when (p_partkey + w * f) % 5 = 0 then null else 0.1e0 * (p_size + w * f) end as value, case when (p_partkey + 2 * w + f) % 3 = 0 then null else cast(p_partkey % 40 + w as int) end as citation FROM part CROSS JOIN (VALUES (1), (2)) AS a(w) CROSS JOIN (VALUES (1), (2), (3)) AS b(f) WHERE p_size % 4 >= w"
+_PACKAGE_DIMS = "SELECT p_partkey, 'pk' || cast(w as string) as package, case f when 1 then 'pitch' when 2 then 'body_width' else 'body_length' end as field, case when (p_partkey + w * f) % 5 = 0 then null else 0.1e0 * (p_size + w * f) end as value, case when (p_partkey + 2 * w + f) % 3 = 0 or p_size % 4 < w then null else cast(p_partkey % 40 + w as int) end as citation FROM part CROSS JOIN (VALUES (1), (2)) AS a(w) CROSS JOIN (VALUES (1), (2), (3)) AS b(f)"
 
 
 @query(f"""SELECT p_partkey, package, max(value) FILTER (field = 'pitch' AND citation IS NOT NULL) AS pitch, max(value) FILTER (field = 'body_width' AND citation IS NOT NULL) AS body_width, max(value) FILTER (field = 'body_length' AND citation IS NOT NULL) AS body_length
@@ -77,8 +77,8 @@ FROM (SELECT *, {_TABLE} AND {{0}} AS take FROM ({RECORDS_SQL}))"""
 
 
 def _tables(t: Tables) -> DataFrame:
-    found = t.part.where(_TABLE)
-    return found.select("p_partkey", F.transform(F.sequence(F.lit(1), (6 + c("p_size") % 7).cast("int")), lambda i: i.cast("string")).alias("pins"), (c("p_size") % 3 == 0).alias("exposed_pad"), F.expr("case when p_partkey % 4 <> 0 then cast(p_partkey % 9 as int) end").alias("citation"))
+    pins = F.transform(F.sequence(F.lit(1), (6 + c("p_size") % 7).cast("int")), lambda i: i.cast("string"))
+    return t.part.select("p_partkey", F.when(F.expr(_TABLE), pins).alias("pins"), (c("p_size") % 3 == 0).alias("exposed_pad"), F.expr("case when p_partkey % 4 <> 0 then cast(p_partkey % 9 as int) end").alias("citation"))
 
 
 @query(_GRAFT_SQL.format("true"))
@@ -104,7 +104,7 @@ def pin_edit(t: Tables) -> DataFrame:
 @query(f"""SELECT k, f, CASE WHEN yes THEN 1.0e0 ELSE confidence END AS confidence, CASE WHEN yes THEN 'user-confirmed' ELSE method END AS method, citation FROM (SELECT *, (k + f) % 6 = 0 AND value IS NOT NULL AS yes FROM ({MERGED_SQL}))""")
 def user_confirmed(t: Tables) -> DataFrame:
     rows = merged(t)
-    marks = rows.where("(k + f) % 6 = 0").select("k", "f")
+    marks = rows.select("k", "f", ((c("k") + c("f")) % 6 == 0).alias("clicked")).where("clicked")
     return ops.confirmed(rows, marks, ["k", "f"]).select("k", "f", "confidence", "method", "citation")
 
 
