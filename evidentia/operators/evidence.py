@@ -75,3 +75,30 @@ def stated_maximum(text: Column, pattern: str, most: float) -> Column:
     """The one plausible number that a text states, or null where it states none or several."""
     found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("double")), lambda x: (x > 0) & (x <= most)))
     return F.when(F.size(found) == 1, found[0])
+
+
+def located(claims: DataFrame, sent: DataFrame, tampered: DataFrame, printed: DataFrame, keys: list[str], quoted: str, page: str) -> DataFrame:
+    """claims with citation, tier and confidence: the page that shows a claim, by the first rule that holds.
+
+    text: the claimed page's text quotes it; rendered: the page was shown to the model as an image, and nobody tampered
+    with its text; printed: the number is the one printed in the footer of a single page that was; pinout: a pin table
+    belongs to the document's sole pinout page. sent and tampered: keys, page; printed: keys, printed, page.
+    """
+    flag = lambda df, name: df.select(*keys, F.col(page).alias(f"_p_{name}"), F.lit(True).alias(f"_{name}")).distinct()
+    on = lambda col_, name: [*(F.col(f"c.{k}") == F.col(f"{name}.{k}") for k in keys), F.col(col_) == F.col(f"_p_{name}")]
+    numbers = printed.select(*keys, F.col("printed").alias("_printed"), F.col(page).alias("_real"))
+    rows = claims.alias("c").join(flag(sent, "sent").alias("sent"), on(f"c.{page}", "sent"), "left").join(flag(tampered, "bad").alias("bad"), on(f"c.{page}", "bad"), "left")
+    rows = rows.join(numbers.alias("n"), [*(F.col(f"c.{k}") == F.col(f"n.{k}") for k in keys), F.col(f"c.{page}") == F.col("_printed")], "left")
+    rows = rows.select("c.*", "_sent", "_bad", "_real")
+    shown = sent.select(*keys, F.col(page).alias("_real"), F.lit(True).alias("_shown")).distinct()
+    rows = rows.join(shown, [*keys, "_real"], "left")
+    clean = F.col("_bad").isNull()
+    tier = (
+        F.when(F.coalesce(F.col(quoted), F.lit(False)) & clean, "text")
+        .when(F.col("_sent") & clean, "rendered")
+        .when(F.col("_shown"), "printed")
+        .when((F.col("field") == "pins") & F.col("sole_page").isNotNull(), "pinout")
+    )
+    citation = F.when(tier.isin("text", "rendered"), F.col(page)).when(tier == "printed", F.col("_real")).when(tier == "pinout", F.col("sole_page"))
+    confidence = F.when(tier == "text", 0.5).when(tier.isNotNull(), 0.4)
+    return rows.withColumns({"tier": tier, "citation": citation, "confidence": confidence}).drop("_sent", "_bad", "_real", "_shown")

@@ -197,3 +197,14 @@ def dims_named(dims: Column, names: dict[str, str]) -> Column:
     full = F.create_map(*(F.lit(x) for short, name in names.items() for x in (short, name)), *(F.lit(x) for name in dict.fromkeys(names.values()) if name not in names for x in (name, name)))
     named = F.transform(F.map_entries(dims), lambda e: F.struct(F.try_element_at(full, e["key"]).alias("key"), e["value"].alias("value")))
     return F.map_from_entries(F.filter(named, lambda e: e["key"].isNotNull()))
+
+
+def options_named(tables: DataFrame, key: str, package: str, outline: str) -> DataFrame:
+    """tables with `option`: the package's name, and its outline in brackets where two tables of a record would read alike."""
+    from pyspark.sql import Window
+
+    from ..functions.text import alnum_fold
+
+    alike = F.count(F.lit(1)).over(Window.partitionBy(key, alnum_fold(F.col(package))))
+    marked = F.concat(F.col(package), F.lit(" ["), F.col(outline), F.lit("]"))
+    return tables.withColumn("option", F.when((alike > 1) & F.col(outline).isNotNull(), marked).otherwise(F.col(package)))

@@ -99,3 +99,59 @@ def scrubbed(events: DataFrame, forbidden: list[str], part: str | None = None, p
     """Log lines as JSON: forbidden columns never, the part number only where it is allowed."""
     gone = {f.lower() for f in forbidden} | ({part.lower()} if part and not parts_allowed else set())
     return events.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in events.columns if c.lower() not in gone))).alias("line"))
+
+
+def footprint_file(parts: DataFrame, pads: DataFrame, silk: DataFrame, key: str, name: str) -> DataFrame:
+    """key, body: a whole footprint: courtyard, outline of the body, silkscreen, pads, solid; lines in a fixed order, so equal parts give equal bytes.
+
+    parts: half_width, half_height (courtyard), body_width, body_length; silk: key, x, start, end.
+    """
+    xy = lambda fmt, *v: F.format_string(fmt, *v)
+    box = lambda layer, w, h: xy(f'  (fp_rect (start %.3f %.3f) (end %.3f %.3f) (layer "{layer}"))', -w, -h, w, h)
+    pad = F.when(F.col("drill").isNull(), xy('  (pad "%d" smd rect (at %.3f %.3f) (size %.3f %.3f) (layers "F.Cu" "F.Paste" "F.Mask"))', "number", "x", "y", "w", "h")).otherwise(
+        xy('  (pad "%d" thru_hole circle (at %.3f %.3f) (size %.3f %.3f) (drill %.3f) (layers "*.Cu" "*.Mask"))', "number", "x", "y", "w", "h", F.coalesce("drill", F.lit(0.0)))
+    )
+    listed = lambda rows, order, line, out: rows.select(key, F.struct(*order, line.alias("line")).alias("_r")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["line"]), "\n").alias(out))
+    pads_ = listed(pads, ["number"], pad, "_pads")
+    lines = listed(silk, ["x", "start"], xy('  (fp_line (start %.3f %.3f) (end %.3f %.3f) (layer "F.SilkS"))', "x", "start", "x", "end"), "_silk")
+    quoted = F.regexp_replace(name, r'(["\\])', r"\\$1")
+    rows = parts.join(pads_, key).join(lines, key, "left")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit('(footprint "'), quoted, F.lit('"')), F.lit('  (layer "F.Cu")'), box("F.CrtYd", F.col("half_width"), F.col("half_height")), box("F.Fab", F.col("body_width") / 2, F.col("body_length") / 2),
+        F.col("_silk"), F.col("_pads"), F.concat(F.lit('  (model "'), quoted, F.lit('.step"))')),
+    )
+    return rows.select(key, body.alias("body"))
+
+
+def bundle(files: DataFrame, key: str, path: str, body: str) -> DataFrame:
+    """key, manifest: what an export consists of, as JSON: each file with its bytes and hash, in the order of their paths. No time stands in it."""
+    one = F.struct(F.col(path).alias("path"), F.octet_length(body).alias("bytes"), F.sha2(body, 256).alias("sha256"))
+    listed = files.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("files"))
+    return listed.select(key, F.to_json(F.struct(F.lit(1).alias("version"), "files")).alias("manifest"))
+
+
+def le32(value: Column) -> Column:
+    """A whole number as four bytes, the least first, in hex."""
+    h = F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+
+
+def short_string(value: Column) -> Column:
+    """A string of at most 255 bytes with its length before it, in hex; null if it is longer."""
+    raw = F.hex(F.encode(value, "UTF-8"))
+    return F.when(F.length(raw) <= 510, F.concat(F.lpad(F.hex((F.length(raw) / 2).cast("long")), 2, "0"), raw))
+
+
+def pad_records(pads: DataFrame, key: str) -> DataFrame:
+    """key, hex: the lands of a part as binary records one after another: a length, then layer, place and size in file units, and the name.
+
+    A land whose coordinates do not fit makes the whole null: a cut-off number would be another land.
+    """
+    from .footprint import altium_units
+
+    parts = [F.lit("01"), *(le32(altium_units(F.col(n))) for n in "xywh"), short_string(F.col("number").cast("string"))]
+    body = F.concat(*parts)
+    record = F.concat(le32((F.length(body) / 2).cast("long")), body)
+    sound = F.count_if(record.isNull()) == 0
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))), lambda x: x["r"]), "")
+    return pads.groupBy(key).agg(F.when(sound, listed).alias("hex"))

@@ -87,3 +87,18 @@ def untraceable_gate(t: Tables) -> DataFrame:
 def stated_maximum(t: Tables) -> DataFrame:
     """Texts that state one plausible number of a form, and only one."""
     return t.documents.select("doc_id", ops.stated_maximum(F.col("text"), "([0-9]{1,3}[.][0-9]{1,3})[.]", 200.0).alias("stated")).where("stated is not null")
+
+
+_LADDER = "SELECT o_orderkey as k, case f when 1 then 'pins' when 2 then 'pitch' else 'span' end as field, cast(1 + (o_custkey * f) % 9 as int) as page, case when (o_custkey + f) % 7 = 0 then null else (o_custkey + f) % 4 = 0 end as quoted, case when o_custkey % 3 = 0 then cast(2 as int) end as sole_page FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS v(f)"
+_SENT = "SELECT o_orderkey as k, cast(p as int) as page FROM orders CROSS JOIN (VALUES (1), (3), (4), (8)) AS v(p)"
+_BAD = "SELECT o_orderkey as k, cast(case when o_custkey % 2 = 0 then 3 else 7 end as int) as page FROM orders"
+_FEET = "SELECT o_orderkey as k, cast(p as int) as printed, cast(p + 2 as int) as page FROM orders CROSS JOIN (VALUES (2), (5), (6)) AS v(p)"
+
+
+@query(f"""WITH c AS (SELECT l.*, s.page IS NOT NULL AS sent, b.page IS NULL AS clean, n.page AS real_, r.page IS NOT NULL AS shown FROM ({_LADDER}) l LEFT JOIN ({_SENT}) s ON s.k = l.k AND s.page = l.page LEFT JOIN ({_BAD}) b ON b.k = l.k AND b.page = l.page
+LEFT JOIN ({_FEET}) n ON n.k = l.k AND n.printed = l.page LEFT JOIN ({_SENT}) r ON r.k = l.k AND r.page = n.page), t AS (SELECT *, CASE WHEN coalesce(quoted, false) AND clean THEN 'text' WHEN sent AND clean THEN 'rendered' WHEN shown THEN 'printed' WHEN field = 'pins' AND sole_page IS NOT NULL THEN 'pinout' END AS tier FROM c)
+SELECT k, field, tier, CASE WHEN tier IN ('text', 'rendered') THEN page WHEN tier = 'printed' THEN real_ WHEN tier = 'pinout' THEN sole_page END AS citation, CASE WHEN tier = 'text' THEN 0.5e0 WHEN tier IS NOT NULL THEN 0.4e0 END AS confidence FROM t""")
+def citation_ladder(t: Tables) -> DataFrame:
+    """Where three claims of every order can be shown: quoted, rendered, by the printed page number, or on the pinout page."""
+    made = [t.spark.sql(q.replace("FROM orders", "FROM {o}"), o=t.orders) for q in (_LADDER, _SENT, _BAD, _FEET)]
+    return ops.located(*made, ["k"], "quoted", "page").select("k", "field", "tier", "citation", "confidence")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import footprint as ops
 from ..operators import geometry as pads_ops
+from ..operators import sinks
+from . import geometry as geometry_plans
+from .geometry import REGISTRY as GEOMETRY
 from .geometry import _PLACED_SQL, DUAL_SQL, RECORDS_SQL, _long, land_sql, placed, records
 from .registry import Registry, Tables
 
@@ -176,3 +179,41 @@ def paste_and_hole_rules(t: Tables) -> DataFrame:
     paste = F.array(F.struct(moved.alias("x"), F.lit(0.0).alias("y"), F.lit(0.8).alias("w"), F.lit(0.8).alias("h")))
     lands = lands.select("p_partkey", "number", (c("number") * 2.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"), (c("p_partkey") % 3 == 0).alias("plated"), F.when(c("p_partkey") % 6 != 0, 0.5).alias("drill"), paste.alias("paste"))
     return pads_ops.violations(parts, lands, "p_partkey")
+
+
+_BOX = "printf('  (fp_rect (start %.3f %.3f) (end %.3f %.3f) (layer \"{0}\"))', -{1}, -{2}, {1}, {2})"
+_SILK_SQL = REGISTRY.sql["silk_segments"]
+_NAME = r"""regexp_replace(p_name, '(["\\])', '\\\1', 'g')"""
+
+
+@query(rf"""WITH s AS ({_SILK_SQL}), l AS (SELECT p_partkey, string_agg(printf('  (fp_line (start %.3f %.3f) (end %.3f %.3f) (layer "F.SilkS"))', x, start, x, "end"), chr(10) ORDER BY x, start) AS silk FROM (SELECT *, CASE WHEN edge = 1 THEN -1.9e0 ELSE 1.9e0 END AS x FROM s) GROUP BY p_partkey),
+p AS (SELECT p_partkey, string_agg(printf('  (pad "%d" smd rect (at %.3f %.3f) (size %.3f %.3f) (layers "F.Cu" "F.Paste" "F.Mask"))', number, x, y, w, h), chr(10) ORDER BY number) AS pads FROM ({DUAL_SQL}) GROUP BY p_partkey)
+SELECT p_partkey, '(footprint "' || {_NAME} || '"' || chr(10) || '  (layer "F.Cu")' || chr(10) || {_BOX.format('F.CrtYd', 'half_width', 'half_height')} || chr(10) || {_BOX.format('F.Fab', '1.5e0', '2.0e0')} || chr(10) || coalesce(silk || chr(10), '') || pads || chr(10) || '  (model "' || {_NAME} || '.step"))' AS body
+FROM ({_PLACED_SQL}) JOIN p USING (p_partkey) LEFT JOIN l USING (p_partkey) JOIN (SELECT p_partkey, p_name FROM part) USING (p_partkey)""".replace("AS cross,", 'AS "cross",'))
+def footprint_files(t: Tables) -> DataFrame:
+    """Whole footprint files."""
+    parts = placed(t).join(t.part.select("p_partkey", "p_name"), "p_partkey").withColumn("body_width", F.lit(3.0)).withColumn("body_length", F.lit(4.0))
+    lines = silk_segments(t).withColumn("x", F.when(c("edge") == 1, -1.9).otherwise(1.9))
+    pads = pads_ops.pads(placed(t), "p_partkey", "dual").withColumn("drill", F.lit(None).cast("double"))
+    return sinks.footprint_file(parts, pads, lines, "p_partkey", "p_name")
+
+
+_BODY_SQL, _SYMBOL_SQL = (GEOMETRY.sql[n] for n in ("footprint_text", "symbol_text"))
+
+
+@query(f"""WITH f AS (SELECT p_partkey, 'footprint.kicad_mod' AS path, body FROM ({_BODY_SQL}) UNION ALL SELECT p_partkey, 'symbol.kicad_sym', body FROM ({_SYMBOL_SQL}))
+SELECT p_partkey, '{{"version":1,"files":[' || string_agg('{{"path":"' || path || '","bytes":' || octet_length(body::BLOB) || ',"sha256":"' || sha256(body) || '"}}', ',' ORDER BY path) || ']}}' AS manifest FROM f GROUP BY p_partkey""")
+def export_bundles(t: Tables) -> DataFrame:
+    """Manifests of the files of every part that has any."""
+    files = geometry_plans.footprint_text(t).select("p_partkey", F.lit("footprint.kicad_mod").alias("path"), "body")
+    files = files.union(geometry_plans.symbol_text(t).select("p_partkey", F.lit("symbol.kicad_sym").alias("path"), "body"))
+    return sinks.bundle(files, "p_partkey", "path", "body")
+
+
+_LE = "(SELECT substr(hx, 7, 2) || substr(hx, 5, 2) || substr(hx, 3, 2) || substr(hx, 1, 2) FROM (SELECT printf('%08X', (round({0} / 0.0254e0 * 10000))::BIGINT & 4294967295) AS hx))"
+
+
+@query(f"""SELECT p_partkey, string_agg(printf('%02X', 18 + length(number::VARCHAR)) || '000000' || '01' || {_LE.format('x')} || {_LE.format('y')} || {_LE.format('w')} || {_LE.format('h')} || printf('%02X', length(number::VARCHAR)) || hex(number::VARCHAR), '' ORDER BY number) AS hex FROM ({DUAL_SQL}) GROUP BY p_partkey""")
+def altium_pad_records(t: Tables) -> DataFrame:
+    """Lands as binary records, in hex."""
+    return sinks.pad_records(pads_ops.pads(placed(t), "p_partkey", "dual"), "p_partkey")

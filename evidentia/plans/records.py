@@ -190,3 +190,24 @@ def readout(t: Tables) -> DataFrame:
     review = rows.select("k").distinct().join(loose.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("to_review"))
     cited = ops.cited_only(rows).groupBy("k").agg(F.count(F.lit(1)).alias("cited"))
     return ops.readout(t.orders.select(c("o_orderkey").alias("k"), c("o_orderpriority").alias("title")), [review, cited], "k")
+
+
+_OFFERED = "SELECT p_partkey, 'SO' || cast(p_size % 3 as string) || case when p_partkey % 4 = 0 then '' else ' (' || cast(w as string) || ')' end as package, case when (p_partkey + w) % 5 = 0 then null else 'D' || cast(w as string) end as outline, case when (p_partkey * w) % 7 = 0 then 0 else p_size % 20 end as rows_ FROM part CROSS JOIN (VALUES (1), (2), (3)) AS v(w)"
+
+
+@query(f"""WITH o AS (SELECT *, regexp_replace(upper(package), '[^A-Z0-9]', '', 'g') AS key_, count(*) OVER (PARTITION BY p_partkey, regexp_replace(upper(package), '[^A-Z0-9]', '', 'g')) AS n FROM ({_OFFERED.replace('as string', 'as varchar')}))
+SELECT p_partkey, CASE WHEN n > 1 AND outline IS NOT NULL THEN package || ' [' || outline || ']' ELSE package END AS option, CASE WHEN rows_ = 0 THEN 'needs-input' WHEN rows_ % 2 = 1 THEN 'unsupported' ELSE 'ships' END AS status, count(*) AS tables_ FROM o GROUP BY ALL""")
+def options_from_tables(t: Tables) -> DataFrame:
+    """Packages to choose from, one for each pin table; names that collide carry their outline."""
+    rows = t.spark.sql(_OFFERED.replace("FROM part", "FROM {p}"), p=t.part)
+    options = ops.options_named(rows, "p_partkey", "package", "outline")
+    status = F.when(c("rows_") == 0, "needs-input").when(c("rows_") % 2 == 1, "unsupported").otherwise("ships")
+    return options.groupBy("p_partkey", "option", status.alias("status")).agg(F.count(F.lit(1)).alias("tables_"))
+
+
+@query("SELECT c_custkey, coalesce(sum(o_totalprice > 100000)::BIGINT, 0) AS attempts, count(o_orderkey) AS calls FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey".replace("sum(o_totalprice > 100000)", "sum((o_totalprice > 100000)::INTEGER)"))
+def ledger_totals(t: Tables) -> DataFrame:
+    """Totals of a ledger, zero where it has no line."""
+    sums = t.orders.groupBy("o_custkey").agg(F.count_if(c("o_totalprice") > 100_000).alias("a"), F.count(F.lit(1)).alias("n"))
+    rows = t.customer.select("c_custkey").join(sums, c("c_custkey") == c("o_custkey"), "left")
+    return rows.select("c_custkey", F.coalesce("a", F.lit(0)).alias("attempts"), F.coalesce("n", F.lit(0)).alias("calls"))
