@@ -47,6 +47,16 @@ def shingled(rows: DataFrame, key: str, lengths: list[int] | None = None, words:
     return rows.select(key, F.explode(F.concat(*map(of, lengths)) if len(lengths) > 1 else of(lengths[0])).alias("s"))
 
 
+def shingle_strings(words: Column, lengths: list[int]) -> Column:
+    """array of the shingles of these lengths, as strings."""
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k, F.lit(n)), " "))
+
+    return F.concat(*map(of, lengths)) if len(lengths) > 1 else of(lengths[0])
+
+
 def _hash(words: int) -> Column:
     return F.xxhash64(*(F.col(f"s.w{k}") for k in range(words)))
 
@@ -83,12 +93,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, s
     hits = shingled(texts, "doc_id", lengths, words).select("doc_id", _hash(words).alias("hash")).join(sketch, "hash")
     per_pair = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("found"), F.first("hits").alias("hits"))
     candidates = stage(per_pair.where("found >= hits").select("doc_id", "item_id"), "candidates")
-    # every shingle of the candidates, as a string
+    # every shingle of the candidates, as a string: within the row of the document, so that no shingle is a key that many share
     chosen = candidates.select(F.col("doc_id").alias("id")).distinct()
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    same = shingled(texts, "doc_id", lengths, words).select("doc_id", _string(words).alias("shingle")).join(items, "shingle")
-    pairs = candidates.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
-    same = same.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
+    texts = stage(texts.select(F.col("doc_id").alias("d"), _words("text").alias("w")), "candidate-words")  # words once, not once a shingle
+    held = texts.select("d", shingle_strings(F.col("w"), lengths).alias("in_doc"))
+    whole = items.groupBy(F.col("item_id").alias("i")).agg(F.collect_list("shingle").alias("in_item"), F.max("n").alias("n"), F.max("need").alias("need"))
+    pairs = candidates.join(stage(whole, "whole-items"), F.col("item_id").eqNullSafe(F.col("i"))).join(held, F.col("doc_id").eqNullSafe(F.col("d")))
+    same = pairs.select("doc_id", "item_id", "n", "need", F.explode(F.array_intersect("in_doc", "in_item")).alias("shingle"))
     verified = same.groupBy("doc_id", "item_id").agg(
         F.count_distinct("shingle").alias("matched"), F.max("n").alias("item_shingles"), F.max("need").alias("need")
     )
