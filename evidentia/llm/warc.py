@@ -48,6 +48,7 @@ _RAW = re.compile(r"<(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*+>|\Z)|<!
 _CODE = re.compile(r"(<(script|style)\b[^>]*>).*?(?:</\2\s*+>|\Z)", re.I | re.S)
 #: Elements that go with all that is in them, if they end.
 _WHOLE = ("noscript", "template", "svg", "head", "iframe")
+_WHOLE_BEGIN, _WHOLE_END = (re.compile(rf"<{slash}({'|'.join(_WHOLE)})\b", re.I) for slash in ("", "/"))
 _WHOLES = re.compile(rf"<({'|'.join(_WHOLE)})\b[^>]*>.*?</\1\s*+>", re.I | re.S)
 _HEAD_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title\s*+>|\Z)", re.I | re.S)
 _META = re.compile(r"<meta\b[^>]*>", re.I)
@@ -58,7 +59,6 @@ _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I
 )
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_BLANKS, _LINES = re.compile(r"(?: [^\S\n]|[^\S\n ])[^\S\n]*"), re.compile(r" *\n[\n ]*")  # the first passes single spaces over
 
 
 def digest(block: bytes) -> str:
@@ -75,14 +75,12 @@ def closed_tags(page: str) -> str:
 def plain_text(page: str) -> str:
     """The text of a page: no scripts, styles, comments or head; block elements end lines; entities resolved once, after the tags."""
     page = _RAW.sub(" ", closed_tags(page))
-    small = page.lower() if page.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), page)  # as long as page
-    for name in _WHOLE:  # after the last end tag of an element its beginnings are tags like others
-        k = small.rfind("</" + name)
-        if "<" + name in small[max(k, 0) :]:
-            page = page[: max(k, 0)] + re.sub(rf"<(?={name}\b)", "<x", page[max(k, 0) :], flags=re.I)
-            small = page.lower() if page.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), page)
-    text = _TAG.sub("", _BREAK.sub("\n", _BLANKS.sub(" ", _WHOLES.sub(" ", page).replace("\n", " "))))
-    return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(text))).strip()
+    ends = {m[1].lower(): m.start() for m in _WHOLE_END.finditer(page)}  # the last of each element
+    if any(m.start() > ends.get(m[1].lower(), -1) for m in _WHOLE_BEGIN.finditer(page)):  # beginnings without an end are tags like others
+        page = _WHOLE_BEGIN.sub(lambda m: m[0] if m.start() < ends.get(m[1].lower(), -1) else "<x" + m[0][1:], page)
+    text = _TAG.sub("", _BREAK.sub("\n", " ".join(_WHOLES.sub(" ", page).split())))
+    lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
+    return "\n".join(filter(None, lines))
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -241,13 +239,14 @@ def _mapped(df: DataFrame, work, rows: int = 256, size: int = 8 << 20) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                for r in work(batch.slice(k, 1).to_pylist()[0]):
-                    made.append(r)
-                    held += len(r[6])
-                    if len(made) >= rows or held > size:
-                        yield _batch(made)
-                        made, held = [], 0
+            for at in range(0, batch.num_rows, 32):
+                for row in batch.slice(at, 32).to_pylist():
+                    for r in work(row):
+                        made.append(r)
+                        held += len(r[6])
+                        if len(made) >= rows or held > size:
+                            yield _batch(made)
+                            made, held = [], 0
         yield _batch(made)
 
     return df.mapInArrow(run, RECORD)
@@ -326,7 +325,7 @@ def parse_bytes(data: bytes) -> Iterator[tuple]:
 
 def parse(files: DataFrame) -> DataFrame:
     """Records of WARC files: rows with their bytes in `content`, as spark.read.format("binaryFile") gives them, one file at a time."""
-    return _mapped(files.select("content"), lambda r: parse_bytes(r["content"] or b""))
+    return _mapped(files.select("content"), lambda r: parse_bytes(r["content"] or b""), rows=64)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
