@@ -48,7 +48,7 @@ def tolerant_object(text: Column) -> Column:
     """The JSON object in each text. What the engine reads stays there; only the rest goes to Python, in Arrow batches."""
 
     def objects(texts: pd.Series) -> pd.Series:
-        return texts.map(object_in)
+        return pd.Series([object_in(x) if isinstance(x, str) else None for x in texts], texts.index, object)
 
     whole = F.get_json_object(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "$")
     return F.coalesce(whole, F.pandas_udf(objects, "string")(F.when(whole.isNull() & F.contains(text, F.lit("{")), text)))

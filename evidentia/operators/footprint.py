@@ -41,9 +41,14 @@ def _pattern(level: str) -> Column:
     return G.land_pattern(*((c(f"lead_{n}.low"), c(f"lead_{n}.high")) for n in ("span", "contact", "width")), level)
 
 
+def with_pattern(rows: DataFrame, name: str, level: str) -> DataFrame:
+    """rows with the land pattern of their seated leads at a density, as a column."""
+    return rows.withColumn(name, _pattern(level))
+
+
 def in_band() -> Column:
-    """Does the printed land reach, toe to toe, what the standard gives for the lead between its least and most density; null without a lead."""
-    most, least, reach = _pattern("A"), _pattern("C"), c("land_span") + c("land_length")
+    """Does the printed land reach, toe to toe, what the standard gives for the lead between its least and most density (_least, _most); null without a lead."""
+    most, least, reach = c("_most"), c("_least"), c("land_span") + c("land_length")
     return F.when(most.isNotNull() & least.isNotNull(), (reach >= least["z"] - BAND) & (reach <= most["z"] + BAND))
 
 
@@ -69,7 +74,8 @@ def disagreements(printed: Column, values: dict[str, Column], tolerance: float =
 def judged(records: DataFrame, formed_span: str, formed_contact: str) -> DataFrame:
     """records with the seated lead, in_band and printed (see printed_gate)."""
     rows = records.withColumns(drawn_lead(c(formed_span), c(formed_contact)))
-    return rows.withColumn("in_band", in_band()).withColumn("printed", printed_gate())
+    rows = rows.withColumns({"_most": _pattern("A"), "_least": _pattern("C")})
+    return rows.withColumn("in_band", in_band()).drop("_most", "_least").withColumn("printed", printed_gate())
 
 
 def chosen(rows: DataFrame, key: str, level: str = "B") -> DataFrame:
@@ -79,7 +85,8 @@ def chosen(rows: DataFrame, key: str, level: str = "B") -> DataFrame:
     printed comes first, what is computed from the drawing second if no printed number contradicts it; what neither
     gives is asked for.
     """
-    land = _pattern(level)
+    rows = rows.withColumn("_land", _pattern(level))
+    land = c("_land")  # a column of its own: it is looked at many times
     layout = F.coalesce((c("pitch") > 0) & c("lead_sides").isin(1, 2, 4), F.lit(False))
     against = disagreements(c("printed_mm"), {"land length": land["pad_length"], "land width": land["x"], "span": land["pad_centre"] * 2})
     contradicted = (F.size(F.coalesce("printed_mm", F.array().cast("array<double>"))) > 0) & (F.size(against) > 0)

@@ -85,9 +85,9 @@ def footprint_choice(t: Tables) -> DataFrame:
 @query(f"""SELECT p_partkey, concat_ws(',', CASE WHEN {_FAR.format('(zB - gB) / 2')} THEN 'length' END, CASE WHEN {_FAR.format('xB')} THEN 'width' END) AS far FROM (SELECT *, [1.5e0, 0.4e0] AS mm FROM ({_LEVELS}) WHERE zB IS NOT NULL)""")
 def land_disagreement(t: Tables) -> DataFrame:
     """Computed lands against two numbers on a page."""
-    land = ops._pattern("B")
-    far = ops.disagreements(F.array(F.lit(1.5), F.lit(0.4)), {"length": land["pad_length"], "width": land["x"]})
-    return _rows(t).where(land.isNotNull()).select("p_partkey", F.array_join(far, ",").alias("far"))
+    rows = ops.with_pattern(_rows(t), "land", "B")
+    far = ops.disagreements(F.array(F.lit(1.5), F.lit(0.4)), {"length": c("land.pad_length"), "width": c("land.x")})
+    return rows.where("land is not null").select("p_partkey", F.array_join(far, ",").alias("far"))
 
 
 _VACANT = "SELECT p_partkey, cast(5 + 2 * (p_size % 4) as int) as n, 0.5e0 as pitch, 2.0e0 as centre, cast(1 + p_partkey % (3 + p_size % 4) as int) as vacant FROM part"

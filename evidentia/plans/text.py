@@ -112,20 +112,36 @@ _KNOWN = "THE|AND|ING|TION|THAT|WITH|DER|DIE|UND|UNG|ICH|EIN|LES|DES|QUE|MENT|EA
 _ACCENTED, _BARE = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY"
 
 
-@query()
+_VISIBLE = "".join(chr(x) for x in range(33, 127))
+_CODED = {k: "".join(chr(ord(x) - k) for x in _VISIBLE) for k in range(16, 33)}
+#: Characters that a shift would make white space, which could not be undone.
+_LOST = {k: "".join(f"\\x{{{x + k:x}}}" for x in (*range(9, 14), 32) if x + k > 32) for k in _CODED}
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_BLANK = "[\\t-\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_SHIFTS = ", ".join(
+    f"({by}, {_quoted(src)}, {_quoted(''.join(chr(ord(x) + by) for x in src))})" for by in range(1, 65) for src in ["".join(chr(x) for x in range(max(33 - by, 1), 127 - by) if x not in (*range(9, 14), 32))]
+)
+_hits = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{w}', ''))) // {len(w)}" for w in _KNOWN)
+_letters = lambda x: f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+SHIFT_SQL = f"""WITH p AS (SELECT doc_id, translate(upper(replace(text, 'ß', 'ss')), '{_ACCENTED}', '{_BARE}') AS plain, (coalesce(doc_id, 0) % 17 + 17) % 17 + 16 AS by_ FROM documents),
+c AS (SELECT doc_id, CASE {' '.join(f"WHEN by_ = {k} AND NOT regexp_matches(plain, '[{_LOST[k]}]') THEN translate(plain, {_quoted(_VISIBLE)}, {_quoted(_CODED[k])})" for k in _CODED)} ELSE plain END AS t FROM p),
+v AS (SELECT doc_id, t, regexp_replace(t, '{_BLANK}', '', 'g') AS vis FROM c), e AS (SELECT * FROM v WHERE length(vis) > 0 AND {_letters('vis')} / length(vis) < 0.4e0),
+d AS (SELECT doc_id, t, length(vis) AS n, by_, translate(t, src, dst) AS d FROM e, (VALUES {_SHIFTS}) AS s(by_, src, dst) WHERE translate(vis, src, '') = ''),
+h AS (SELECT doc_id, t, by_, d, {_hits('d')} AS hits FROM d WHERE {_letters('d')} / n >= 0.6e0), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, by_) = 1)
+SELECT c.doc_id, b.by_::INTEGER AS shift, b.d AS decoded FROM c LEFT JOIN (SELECT * FROM b WHERE hits >= 3 AND hits >= {_hits('t')} + 2) b ON b.doc_id = c.doc_id"""
+
+
+@query(SHIFT_SQL)
 def shift_decoded(t: Tables) -> DataFrame:
     """Whole texts of all documents under a shifted alphabet, read again; the tests compare with the plain texts.
 
     Texts are in capitals without accents, as in a font of a figure, and shifted by 16 to 32, from letters to other
     characters. One with a character that would become white space stays as it is, as its shift could not be undone.
     """
-    plain = F.translate(F.upper("text"), _ACCENTED, _BARE)
+    plain = F.translate(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), _ACCENTED, _BARE)
     coded, by = F.col("plain"), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(17)) + 16
-    for k in range(16, 33):
-        source = "".join(chr(c) for c in range(33, 127))
-        lost = "".join(f"\\x{{{c + k:x}}}" for c in (*range(9, 14), 32) if c + k > 32)
-        moved = F.translate("plain", source, "".join(chr(ord(c) - k) for c in source))
-        coded = F.when((by == k) & ~F.col("plain").rlike(f"[{lost}]"), moved).otherwise(coded)
+    for k in _CODED:
+        coded = F.when((by == k) & ~F.col("plain").rlike(f"[{_LOST[k]}]"), F.translate("plain", _VISIBLE, _CODED[k])).otherwise(coded)
     texts = t.documents.select("doc_id", plain.alias("plain")).select("doc_id", coded.alias("text"))
     return ops.shift_decoded(texts, "doc_id", "text", _KNOWN, low=ops.LOW, encoded_below=ops.ENCODED_BELOW, any_case=False)
 
