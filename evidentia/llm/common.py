@@ -58,11 +58,11 @@ def free_name(df: DataFrame, stem: str) -> str:
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text as the operators read them: a null text counts as empty; other columns go, save those named.
 
-    Texts are long rows: unless the session says otherwise, Python gets four thousand at once and not ten thousand.
+    Texts are long rows: unless the session says otherwise, Python gets them by the thousand and not by ten thousand.
     """
     conf = docs.sparkSession.conf
     if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, "4096")
+        conf.set(_BATCH, "1024")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more
     )
@@ -80,5 +80,17 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 2 <<
             at = end
 
 
+def joined(batches: Iterator[pa.RecordBatch], many: int = 2) -> Iterator[pa.RecordBatch]:
+    """So many batches as one, for work that repeats itself less over more rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if len(held) == many:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, table, texts_of
+from .common import joined, small, stage, table, texts_of
 from .tokens import word_tokenizer
 
 WINDOW = 4096
@@ -57,7 +57,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, places, tokenizer = TaskContext.get().partitionId(), {}, word_tokenizer(tokenizer_path)
         end = np.array([end_id], tokenizer.kind).tobytes()
-        for rows in small(batches, 4096, 10 << 20):  # the more at once, the fewer words are looked at again
+        for rows in small(joined(batches), 2048, 5 << 20):  # the more at once, the fewer words are looked at again
             ids = [x + end for x in tokenizer.encode_batch(rows.column("text"))]
             counts = [len(x) // tokenizer.kind.itemsize for x in ids]
             sources, place = rows.column("queue").to_pylist(), []
