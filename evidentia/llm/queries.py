@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import decontamination, exact_dedup, packing, quality, repeats, simhash, surrogates, token_counts, toxicity, warc
+from . import alignment, collocations, decontamination, exact_dedup, licenses, packing, quality, repeats, simhash, surrogates, token_counts, toxicity, warc
 
 MODULES = {
     "op1_packing": packing,
@@ -13,6 +13,9 @@ MODULES = {
     "op8_quality": quality,
     "op9_simhash": simhash,
     "op10_decontamination": decontamination,
+    "op11_licenses": licenses,
+    "op12_collocations": collocations,
+    "op13_alignment": alignment,
 }
 
 QUERIES = {name: module.query for name, module in MODULES.items()}
