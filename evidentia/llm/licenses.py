@@ -105,8 +105,9 @@ def places(templates: list[Template], k: int, similarity: float) -> list[tuple]:
     """(template, label, exact, size, slack, run, j, gram): every run of words of every template."""
     out = []
     for number, t in enumerate(templates):
-        w, run = t.words, min(k, len(t.words))
-        out += [(number, t.label, t.exact, len(w), t.slack(similarity), run, j, " ".join(w[j : j + run])) for j in range(len(w) - run + 1) if run]
+        w, slack = t.words, t.slack(similarity)
+        run = min(k, len(w))
+        out += [(number, t.label, t.exact, len(w), slack, run, j, " ".join(w[j : j + run])) for j in range(len(w) - run + 1) if run]
     return out
 
 

@@ -54,11 +54,12 @@ def scanned(text, templates=licenses.TEMPLATES, k=licenses.WORDS, similarity=lic
     w = words_of(text)
     base, every, score = [], set(), Fraction(0)
     for t in templates:
-        size, run = len(t.words), min(k, len(t.words))
+        tw = t.words
+        size, run = len(tw), min(k, len(tw))
         own = defaultdict(set)
         for at in range(-size, len(w)):
             for j in range(size - run + 1):
-                if 0 <= at + j and w[at + j : at + j + run] == t.words[j : j + run]:
+                if 0 <= at + j and w[at + j : at + j + run] == tw[j : j + run]:
                     own[at] |= set(range(j, j + run))
         for at in own:
             near = set().union(*(js for x, js in own.items() if abs(x - at) <= t.slack(similarity)))
