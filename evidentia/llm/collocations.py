@@ -34,7 +34,7 @@ LEAST, LONGEST, TOP, COVERS = 30, 4, 2000, 80
 #: Scores are shares of this.
 SCALE = 2_000_000
 #: Bits of the broadcast bitmap (16 MB), two for each frequent phrase; and bytes of text counted at once.
-BITS, STRETCH = 1 << 27, 4 << 20
+BITS, STRETCH = 1 << 27, 2 << 20
 UNKNOWN = "und"
 
 #: What ends a piece and what ends a word: fixed values.
@@ -52,6 +52,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def hashed(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash of each (lang, phrase), the one that Stretch.rolling() gives to its places."""
+    for batch in batches:
+        words = pc.split_pattern(batch.column("phrase"), " ")
+        size = pc.list_value_length(words).to_numpy()
+        first, seed, plain = np.r_[0, np.cumsum(size)], hashed(batch.column("lang")), hashed(words.flatten())
+        out = np.zeros(batch.num_rows, np.uint64)
+        for j in range(size.max(initial=0)):  # the word at j of all phrases that have so many
+            here = size > j
+            out[here] = out[here] * _ODD + (seed[here] + plain[first[:-1][here] + j] * _ODD)
+        yield pa.RecordBatch.from_arrays([pa.array(mixed(out).view(np.int64))], ["hash"])
+
+
 class Stretch:
     """The words of some texts: a code for each occurrence, and where the next word belongs to the same piece."""
 
@@ -77,10 +94,7 @@ class Stretch:
         self.codes = key.indices.to_numpy().astype(np.int64)
         of_lang, of_word = np.divmod(key.dictionary.to_numpy(), max(1, len(words.dictionary)))
         self.langs, self.words = tongue.dictionary.take(pa.array(of_lang)), words.dictionary.take(pa.array(of_word))
-        digest = xxhash.xxh3_64_intdigest
-        seed = [digest(x.encode()) for x in tongue.dictionary.to_pylist()]
-        plain = [digest(w) for w in words.dictionary.to_pylist()]
-        self.hashes = np.array(plain, np.uint64)[of_word] * _ODD + np.array(seed, np.uint64)[of_lang] if len(of_word) else np.zeros(0, np.uint64)
+        self.hashes = hashed(tongue.dictionary)[of_lang] + hashed(words.dictionary)[of_word] * _ODD if len(of_word) else np.zeros(0, np.uint64)
 
     def rolling(self, k: int) -> np.ndarray:
         """The hash of the k words from each word on, wherever pieces end."""
@@ -92,7 +106,7 @@ class Stretch:
         return mixed(out)
 
     def phrases(self, k: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-        """lang, phrase, n, hash: the phrases of k words, each with its number of places, if both of its parts may be frequent."""
+        """lang, phrase, n: the phrases of k words, each with its number of places, if both of its parts may be frequent."""
         n = max(0, len(self.codes) - k + 1)
         here = np.ones(n, bool)
         for j in range(k - 1):
@@ -117,22 +131,16 @@ class Stretch:
             columns.insert(0, code)
             if tables and tables[-1][0] == j:
                 key = tables.pop()[1][key]
-        h = self.hashes[columns[0]].copy()
-        for code in columns[1:]:
-            h = h * _ODD + self.hashes[code]
         words = [self.words.take(pa.array(c)) for c in columns]
         phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if k > 1 else words[0]
-        return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(columns[0])), phrase.cast(pa.binary()), counts, pa.array(mixed(h).view(np.int64))], ["lang", "phrase", "n", "hash"]
-        )
+        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(columns[0])), phrase.cast(pa.binary()), counts], ["lang", "phrase", "n"])
 
     def totals(self) -> pa.RecordBatch:
         """The number of words of each language, as rows without a phrase."""
         n = np.bincount(self.codes, minlength=len(self.words))
         names = pa.table({"lang": self.langs, "n": n}).group_by("lang").aggregate([("n", "sum")])
-        m = names.num_rows
-        columns = [names.column("lang").combine_chunks(), pa.nulls(m, pa.binary()), names.column("n_sum").combine_chunks().cast(pa.int64()), pa.array(np.zeros(m, np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "hash"])
+        columns = [names.column("lang").combine_chunks(), pa.nulls(names.num_rows, pa.binary()), names.column("n_sum").combine_chunks().cast(pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
 
 def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +156,9 @@ def probed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of a level's hashes. The driver gets at most bits / 64 rows, however many phrases are frequent."""
+    """The bitmap of the hashes of a level's phrases. The driver gets at most bits / 64 rows, however many phrases are frequent."""
     low, high = F.col("hash").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(bits - 1))
-    place = frequent.select(F.explode(F.array(low, high)).alias("p"))
+    place = frequent.select("lang", "phrase").mapInArrow(phrase_hashes, "hash long").select(F.explode(F.array(low, high)).alias("p"))
     slots = place.groupBy(F.shiftright("p", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("set")).toArrow()
     words = np.zeros(bits // 64, "<i8")
     words[slots.column("slot").to_numpy()] = slots.column("set").to_numpy()
@@ -158,7 +166,7 @@ def bitmap_of(frequent: DataFrame, bits: int) -> np.ndarray:
 
 
 def level(docs: DataFrame, k: int, least: int, before: DataFrame | None, bits: int) -> DataFrame:
-    """lang, phrase, f, hash: the phrases of k words that occur `least` times; of the first level also the sums of all words, without a phrase."""
+    """lang, phrase, f: the phrases of k words that occur `least` times; of the first level also the sums of all words, without a phrase."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(before.where("phrase is not null"), bits)) if before is not None else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +178,7 @@ def level(docs: DataFrame, k: int, least: int, before: DataFrame | None, bits: i
                 yield some.totals()
 
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    found = rows.mapInArrow(work, "lang string, phrase binary, n long, hash long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("hash").alias("hash"))
+    found = rows.mapInArrow(work, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     return stage(found.where((F.col("f") >= least) | F.col("phrase").isNull()).withColumn("phrase", F.col("phrase").cast("string")), f"phrases-{k}")
 
 

@@ -173,28 +173,37 @@ def test_codes_are_numbered_anew_when_they_outgrow_a_long(monkeypatch):
     rng = random.Random(2)
     text = prose(rng, 4000, [f"w{k}" for k in range(70)])
     whole = collocations.Stretch(pa.array([text]), pa.array(["en"]))
-    want = sorted(zip(*(whole.phrases(4, None).column(c).to_pylist() for c in ("phrase", "n", "hash")), strict=True))
+    want = sorted(zip(*(whole.phrases(4, None).column(c).to_pylist() for c in ("phrase", "n")), strict=True))
     filler = " ".join(f"z{k}" for k in range(120_000))  # so many words that four codes don't fit
     large = collocations.Stretch(pa.array([text, filler]), pa.array(["en", "en"]))
     batch = large.phrases(4, None)
-    got = sorted(x for x in zip(*(batch.column(c).to_pylist() for c in ("phrase", "n", "hash")), strict=True) if x[0].startswith(b"w"))
+    got = sorted(x for x in zip(*(batch.column(c).to_pylist() for c in ("phrase", "n")), strict=True) if x[0].startswith(b"w"))
     assert got == want and len(large.words) ** 4 > 1 << 62
 
 
 def test_collocation_scores_are_exact(spark):
     """Counts whose products pass 64 bits."""
     big = 6_000_000_000_000
-    one = spark.createDataFrame([("en", "a", big, 0), ("en", "b", big + 1, 0)], "lang string, phrase string, f long, hash long")
-    two = spark.createDataFrame([("en", "a b", big - 7, 0)], "lang string, phrase string, f long, hash long")
+    one = spark.createDataFrame([("en", "a", big), ("en", "b", big + 1)], "lang string, phrase string, f long")
+    two = spark.createDataFrame([("en", "a b", big - 7)], "lang string, phrase string, f long")
     r = collocations.scored([one, two]).first()
     assert r.score == 2_000_000 * (big - 7) // (2 * big + 1) and (r.l, r.r) == (big, big + 1)
 
 
-def test_no_frequent_hash_is_missed(spark):
-    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    df = spark.createDataFrame([(int(x),) for x in h], "hash long")
-    bitmap = collocations.bitmap_of(df, 1 << 20)
-    assert collocations.probed(bitmap, h.view(np.uint64)).all()
+def test_no_frequent_phrase_is_missed(spark):
+    """Places of a text look up the hashes that the level's table was written with."""
+    rng = random.Random(1)
+    text = prose(rng, 3000, [f"wörd{k}" for k in range(90)]).lower()
+    some = collocations.Stretch(pa.array([text, "x y z"]), pa.array(["en", "de"]))
+    for k in (1, 2, 3):
+        phrases = some.phrases(k, None)
+        rows = [(la, p.decode()) for la, p in zip(*(phrases.column(c).to_pylist() for c in ("lang", "phrase")), strict=True)]
+        bitmap = collocations.bitmap_of(spark.createDataFrame(rows[::2] + rows[1::2], "lang string, phrase string").repartition(3), 1 << 20)
+        whole = some.rolling(k)
+        inside = np.ones(len(whole), bool)
+        for j in range(k - 1):
+            inside &= some.follows[j : len(whole) + j]
+        assert collocations.probed(bitmap, whole)[inside].all() and inside.any()
     assert collocations.probed(bitmap, np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)).mean() < 0.01
 
 
