@@ -11,7 +11,7 @@ c = F.col
 #: Headings and marks of drawings, how far around a heading to look, and what makes a page a drawing.
 LAND_HEADING, LAND_TITLE, DRAWING_HEADING = "LAND PATTERN EXAMPLE", "EXAMPLE BOARD LAYOUT", r"PACKAGE\s+OUTLINE|MECHANICAL\s+DATA|OUTLINE\s+DIMENSIONS|PACKAGE\s+DRAWING"
 CALLOUT = r"(?:([0-9]{1,3})X\s*)?\(([0-9]{1,3}(?:\.[0-9]{1,3})?)\)"
-BEHIND, AHEAD, CODE_REACH = 1200, 80, 40
+BEHIND, AHEAD, CAPTION, CODE_REACH = 1200, 80, 60, 40
 LEAST_VALUES, LEAST_COLUMNS, COLUMN, ALTERNATES = 8, 0.3, 6, 4
 FRONT_PAGES, MOST_DESIGNATORS, MOST_PAGES = 3, 8, 16
 
@@ -33,11 +33,9 @@ def land_patterns(docs: DataFrame, key: str, text: str, family: str) -> DataFram
     The callouts stand between the last title before the heading and the heading; a title that names another family is
     another package's drawing.
     """
-    whole = F.upper(text)
-    rows = docs.where(F.contains(whole, F.lit(LAND_HEADING))).select(key, c(text).alias("_t"), F.upper(F.substring_index(F.trim(family), " ", 1)).alias("_f"), F.explode(occurrences(whole, LAND_HEADING)).alias("o"))
-    rows = rows.withColumn("place", c("o.place"))
-    window = F.expr(f"substring(_t, greatest(0, place - {BEHIND}) + 1, place - greatest(0, place - {BEHIND}) + {AHEAD})")
-    rows = rows.withColumn("_w", window).withColumn("_w", F.when(F.contains(F.upper("_w"), F.lit(LAND_TITLE)), F.concat(F.lit(LAND_TITLE), F.expr(f"right(_w, length(substring_index(upper(_w), '{LAND_TITLE}', -1)))"))).otherwise(c("_w")))
+    headings = F.explode(occurrences(c(text), f"(?i){LAND_HEADING}", BEHIND, AHEAD)).alias("o")
+    rows = docs.where(F.contains(F.upper(text), F.lit(LAND_HEADING))).select(key, F.upper(F.substring_index(F.trim(family), " ", 1)).alias("_f"), headings)
+    rows = rows.select(key, "_f", "o.place", c("o.near").alias("_w")).withColumn("_w", F.when(F.contains(F.upper("_w"), F.lit(LAND_TITLE)), F.concat(F.lit(LAND_TITLE), F.expr(f"right(_w, length(substring_index(upper(_w), '{LAND_TITLE}', -1)))"))).otherwise(c("_w")))
     header = F.upper(F.regexp_extract("_w", rf"(?i)^{LAND_TITLE}\s*\n\s*\S+\s+([A-Z0-9-]+)", 1))
     named = F.when(c("_f").isNull(), True).when(header != "", header == c("_f")).otherwise(F.rlike(F.upper("_w"), F.concat(F.lit(r"\b"), c("_f"), F.lit(r"\b"))))
     pairs = F.arrays_zip(F.regexp_extract_all("_w", F.lit(CALLOUT), F.lit(1)).alias("n"), F.regexp_extract_all("_w", F.lit(CALLOUT), F.lit(2)).alias("v"))
@@ -49,9 +47,9 @@ def land_patterns(docs: DataFrame, key: str, text: str, family: str) -> DataFram
 
 def unreadable_footprints(docs: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """key, place: the first figure that shows the family's footprint in a form no reader knows; lines of a table of contents are no figures."""
-    rows = docs.select(key, c(text).alias("_t"), F.upper(F.substring_index(F.trim(family), " ", 1)).alias("_f"), F.explode(occurrences(F.lower(text), r"\bfootprint example\b")).alias("o"))
-    rows = rows.withColumn("place", c("o.place"))
-    after, caption = F.expr(f"substring(_t, place + 1, {AHEAD})"), F.expr("substring(_t, greatest(0, place - 60) + 1, least(place, 60))")
+    figures = F.explode(occurrences(c(text), r"(?i)\bfootprint example\b", CAPTION, AHEAD)).alias("o")
+    rows = docs.select(key, F.upper(F.substring_index(F.trim(family), " ", 1)).alias("_f"), figures).select(key, "_f", "o.place", "o.near")
+    after, caption = F.expr(f"substring(near, least(place, {CAPTION}) + 1)"), F.expr(f"left(near, least(place, {CAPTION}))")
     bare = lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")
     found = rows.where(~after.rlike(r"\.{4,}|(?:\.\s){4,}") & (c("_f").isNull() | F.contains(bare(caption), bare("_f"))))
     return found.groupBy(key).agg(F.min("place").cast("long").alias("place"))

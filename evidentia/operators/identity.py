@@ -103,7 +103,7 @@ def declared_leads(counts: Column) -> Column:
 
 def devices_named(label: Column) -> Column:
     """Part numbers in a label: two letters or more, then a digit, five letters and digits in all; package families are no parts."""
-    bare = F.regexp_replace(F.coalesce(label, F.lit("")), rf"(?i){FAMILY}", " ")
+    bare = F.regexp_replace(F.coalesce(label, F.lit("")), rf"(?i)\b(?:{FAMILY})\b", " ")
     tokens = F.transform(F.split(bare, "[^A-Za-z0-9-]+"), lambda x: F.regexp_replace(x, "^-+|-+$", ""))
     devices = F.filter(tokens, lambda x: x.rlike("^[A-Za-z]{2,}[0-9]") & (F.length(T.alnum_fold(x)) >= 5))
     return F.transform(devices, T.alnum_fold)

@@ -104,9 +104,12 @@ def confirmed(rows: DataFrame, confirmations: DataFrame, keys: list[str]) -> Dat
 
 
 def settings(raw: Column) -> dict[str, Column]:
-    """Settings in a JSON text: densities and sources that exist, numbers (not texts) within bounds; all else is dropped."""
-    word = lambda n: F.regexp_extract(raw, rf'"{n}"\s*:\s*"([^"]*)"', 1)
-    number = lambda n: F.regexp_extract(raw, rf'"{n}"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,}}]', 1).try_cast("double")
+    """Settings in a JSON text, of its outermost object only: densities and sources that exist, numbers (not texts) within bounds; all else is dropped."""
+    tree = F.try_parse_json(raw)
+    member = lambda n: F.try_variant_get(tree, f"$.{n}", "variant")
+    kind = lambda n: F.schema_of_variant(member(n))
+    word = lambda n: F.when(kind(n) == "STRING", F.try_variant_get(tree, f"$.{n}", "string"))
+    number = lambda n: F.when(kind(n).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(tree, f"$.{n}", "double"))
     density, source = word("densityLevel"), word("footprintSource")
     span, contact = number("formedLeadSpanMm"), number("formedLeadContactMm")
     return {

@@ -6,7 +6,7 @@ held as a whole, whatever its length.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -119,16 +119,100 @@ def circuit_breaker(calls: DataFrame, key: str, at: str, order: list[str], block
     return fold(calls, [key], order, step, [at, blocked], "state string")
 
 
-def pacer(sent: DataFrame, key: str, at: str, limit: int, window: int = 60, margin: float = 0.25) -> DataFrame:
-    """delay in seconds before the next request, seen at each request: zero while fewer than limit lie in the last window seconds."""
-    recent = Window.partitionBy(key).orderBy(at).rangeBetween(-(window - 1), 0)
-    live, oldest = F.count(F.lit(1)).over(recent), F.min(at).over(recent)
-    return sent.withColumn("live", live).withColumn("delay", F.when(F.col("live") < limit, 0.0).otherwise(window - (F.col(at) - oldest) + F.lit(margin)))
+def pacer(requests: DataFrame, key: str, at: str, order: list[str], limit: int, window: int = 60_000, margin: int = 250) -> DataFrame:
+    """sent and waited of each request: when it goes out so that no `window` holds more than `limit` of a key's. All times in milliseconds.
 
+    A request goes out when the one before it has, or when it is made, whichever is later. If `limit` went out within
+    the window before that, it waits until the oldest of them is out of the window, and `margin` more. So a wait moves
+    all later requests; the state is the times of the last `limit` sent.
+    """
+
+    def step(state, values):
+        (made,) = values
+        sent = state or deque(maxlen=limit)
+        now = max(made, sent[-1]) if sent else made
+        if len(sent) == limit and now - sent[0] < window:
+            now = sent[0] + window + margin
+        sent.append(now)
+        return sent, (now, now - made)
+
+    return fold(requests, [key], order, step, [at], "sent long, waited long")
+
+
+def single_flight(requests: DataFrame, keys: list[str], at: str, order: list[str], takes: str, request: str) -> DataFrame:
+    """leader and until of each request: who fetches for it, and when that fetch is done.
+
+    A request that comes while one for its keys is in flight shares its answer; else it leads, and is in flight for
+    what it takes. What a request would take counts only if it leads; a failed flight ends like any other, so no key
+    stays wedged.
+    """
+    kind = requests.schema[request].dataType.simpleString()
+
+    def step(state, values):
+        now, lasts, me = values
+        if state is None or state[1] <= now:
+            state = (me, now + (lasts or 0))
+        return state, state
+
+    return fold(requests, keys, order, step, [at, takes, request], f"leader {kind}, until long")
+
+
+def resolution_store(requests: DataFrame, cache: str, key: str, at: str, order: list[str], found: str, capacity: int = 500, hit_ttl: int = 3600, miss_ttl: int = 300) -> DataFrame:
+    """outcome (hit, known_miss or fetch), evicted and held of each request to a store of answers: times to live, tombstones and recency in one.
+
+    A live entry answers, be it a find or a known miss, and a read makes it the most recent; one past its time goes
+    when it is asked for. A fetch stores what it finds (column `found`) for its time to live, and then the least
+    recent entries go until `capacity` are left, live or not.
+    """
+
+    def step(state, values):
+        now, wanted, exists = values
+        state = OrderedDict() if state is None else state
+        entry = state.pop(wanted, None)
+        live = entry is not None and entry[0] > now
+        state[wanted] = entry if live else (now + (hit_ttl if exists else miss_ttl), bool(exists))
+        gone = max(0, len(state) - capacity)
+        for _ in range(gone):
+            state.popitem(last=False)
+        outcome = ("hit" if entry[1] else "known_miss") if live else "fetch"
+        return state, (outcome, gone, len(state))
+
+    return fold(requests, [cache], order, step, [at, key, found], "outcome string, evicted long, held long", 2)
 
-def single_flight(requests: DataFrame, key: list[str], at: str, bucket: int) -> DataFrame:
-    """One row for each key and bucket of `bucket` seconds: who leads, and how many requests share the answer."""
-    return requests.groupBy(*key, F.floor(F.col(at) / bucket).alias("flight")).agg(F.min(at).alias("led_at"), F.count(F.lit(1)).alias("requests"))
+
+def searched(requests: DataFrame, client: str, at: str, order: list[str], answers: dict[str, str], threshold: int = 3, cooldown: int = 600) -> DataFrame:
+    """backend, blocked and route of each search: the first backend that answers, or whether none could.
+
+    answers: backend -> the column with what it would say now: `ok` (also without results), `blocked`, `error`, or
+    null where it isn't set up. Backends are asked in order. One that blocks `threshold` times in a row is left out for
+    `cooldown` seconds and counts as blocking meanwhile; an answer clears its count, a failed transport changes nothing.
+    All requests of a client share the breakers. blocked: nobody answered, and somebody refused or nobody could be asked,
+    so that nothing was learnt. route: what happened at each backend, in order.
+    """
+
+    def step(state, values):
+        now, given = values[0], values[1:]
+        state = dict(state or {})
+        route, refused, asked = [], False, False
+        for name, said in zip(answers, given, strict=True):
+            count, until = state.get(name, (0, None))
+            if said is None:
+                route.append("-")
+            elif until is not None and until > now:
+                route.append("open")
+                refused = True
+            else:
+                asked = True
+                route.append(said)
+                if said == "ok":
+                    state[name] = (0, None)
+                    return state, (name, False, ",".join(route))
+                if said == "blocked":
+                    refused = True
+                    state[name] = (0, now + cooldown) if count + 1 >= threshold else (count + 1, until)
+        return state, (None, refused or not asked, ",".join(route))
+
+    return fold(requests, [client], order, step, [at, *answers.values()], "backend string, blocked boolean, route string")
 
 
 def latest_nonnull(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -149,7 +233,7 @@ def cache_key(part: Column, maker: Column) -> Column:
     return F.concat_ws("|", normalised_part(part), F.lower(F.trim(F.coalesce(maker, F.lit("")))))
 
 
-def retry_after_ms(message: Column, fallback: int = 60_000, most: int = 120_000) -> Column:
+def retry_after_ms(message: Column, fallback: int = 45_000, most: int = 180_000) -> Column:
     """How long a service asks to wait ("retry in 5.2s"), with two seconds to spare, else the fallback; at most `most`."""
     stated = F.regexp_extract(message, r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)\s*s", 1).try_cast("double")
     return F.least(F.coalesce(F.ceil(F.round(stated * 1000, 3)) + 2000, F.lit(fallback)), F.lit(most)).cast("long")
@@ -167,12 +251,29 @@ def model_budget_ms(route: Column, elapsed: Column, ceiling: Column, margin: int
     return left, left >= least
 
 
-def evictions(first_seen: DataFrame, key: str, at: str, expires: str, now: int, most: int = 10_000) -> DataFrame:
-    """key, why: which keys of a full store go: the expired, and, if too many are left, the oldest."""
-    rows = first_seen.withColumn("_dead", F.col(expires) <= now)
-    live = rows.where("not _dead")
-    over = F.greatest(F.lit(0), F.count(F.lit(1)) - most)
-    surplus = live.agg(over.alias("_over"))  # one row
-    oldest = live.orderBy(at, key).withColumn("_one", F.lit(1))
-    ranked = oldest.select(key, F.row_number().over(Window.partitionBy("_one").orderBy(at, key)).alias("_n")).join(F.broadcast(surplus)).where("_n <= _over")
-    return rows.where("_dead").select(key, F.lit("expired").alias("why")).unionByName(ranked.select(key, F.lit("oldest").alias("why")))
+def evictions(first_seen: DataFrame, key: str, at: str, expires: str, now: int, most: int = 10_000, buckets: int = 1024) -> DataFrame:
+    """key, why: which keys a full store lets go before it takes another: none below `most`; else the expired, and the oldest until one place is free.
+
+    at: a number. Who is oldest is found by counting: keys are dealt to `buckets` of equal width of `at`, whole buckets
+    go, and only the one in which the limit falls is put in order.
+    """
+    rows = first_seen.select(key, at, (F.col(expires) <= now).alias("_dead"))
+    held = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_dead")).alias("live"), F.min(at).alias("low"), F.max(at).alias("high")).first()
+    dead, none = rows.where("_dead").select(key, F.lit("expired").alias("why")), rows.where("false").select(key, F.lit("").alias("why"))
+    if held.n < most:
+        return none
+    over = held.live - (most - 1)
+    if over <= 0 or not held.live:
+        return dead
+    place = F.least(F.floor((F.col(at) - held.low) * buckets / ((held.high - held.low) or 1)), F.lit(buckets - 1)).cast("int")
+    live = rows.where("not _dead").withColumn("_place", place)
+    left, last = over, None
+    for place, n in sorted(live.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()):  # `buckets` rows at most
+        if n >= left:
+            last = place
+            break
+        left -= n
+    nth = F.row_number().over(Window.partitionBy("_place").orderBy(at, key))
+    cut = live.where(F.col("_place") == last).withColumn("_n", nth).where(F.col("_n") <= left)
+    oldest = live.where(F.col("_place") < last).select(key).union(cut.select(key))
+    return dead.union(oldest.select(key, F.lit("oldest").alias("why")))

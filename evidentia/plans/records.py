@@ -108,13 +108,13 @@ def user_confirmed(t: Tables) -> DataFrame:
     return ops.confirmed(rows, marks, ["k", "f"]).select("k", "f", "confidence", "method", "citation")
 
 
-_SETTINGS = """case event_id % 6 when 0 then '{"densityLevel": "A", "formedLeadSpanMm": ' || cast(event_id % 260 as string) || ', "formedLeadContactMm": 1.5}' when 1 then '{"densityLevel": "X", "footprintSource": "standard-always"}'
+_SETTINGS = """case event_id % 8 when 6 then '{"other": {"densityLevel": "A", "formedLeadSpanMm": 3.0}, "footprintSource": "standard-always"}' when 7 then '{"formedLeadSpanMm": 1e1, "formedLeadContactMm": "2", "densityLevel": ["A"]}' when 0 then '{"densityLevel": "A", "formedLeadSpanMm": ' || cast(event_id % 260 as string) || ', "formedLeadContactMm": 1.5}' when 1 then '{"densityLevel": "X", "footprintSource": "standard-always"}'
  when 2 then '{"formedLeadSpanMm": "12", "formedLeadContactMm": 7}' when 3 then '{"footprintSource": "mine", "formedLeadSpanMm": -4, "formedLeadContactMm": 0.25 }' when 4 then '' else '{"densityLevel": "C", "extra": 1, "formedLeadSpanMm": 10.25, "formedLeadContactMm": 2}' end"""
-_WORD = "regexp_extract(raw, '\"{0}\"\\s*:\\s*\"([^\"]*)\"', 1)"
-_NUMBER = "try_cast(nullif(regexp_extract(raw, '\"{0}\"\\s*:\\s*(-?[0-9]+(?:\\.[0-9]+)?)\\s*[,}}]', 1), '') AS DOUBLE)"
+_WORD = "CASE WHEN json_type(raw, '$.{0}') = 'VARCHAR' THEN raw ->> '$.{0}' END"
+_NUMBER = "CASE WHEN json_type(raw, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (raw ->> '$.{0}')::DOUBLE END"
 
 
-@query(f"""WITH r AS (SELECT event_id, {_SETTINGS.replace('as string', 'as varchar')} AS raw FROM events), p AS (SELECT event_id, {_WORD.format('densityLevel')} AS d, {_WORD.format('footprintSource')} AS s, {_NUMBER.format('formedLeadSpanMm')} AS span, {_NUMBER.format('formedLeadContactMm')} AS contact FROM r),
+@query(f"""WITH r AS (SELECT event_id, CASE WHEN json_valid(x) THEN x::JSON END AS raw FROM (SELECT event_id, {_SETTINGS.replace('as string', 'as varchar')} AS x FROM events)), p AS (SELECT event_id, {_WORD.format('densityLevel')} AS d, {_WORD.format('footprintSource')} AS s, {_NUMBER.format('formedLeadSpanMm')} AS span, {_NUMBER.format('formedLeadContactMm')} AS contact FROM r),
 q AS (SELECT event_id, CASE WHEN d IN ('A', 'B', 'C') THEN d ELSE 'B' END AS density, CASE WHEN s IN ('datasheet-first', 'standard-always') THEN s ELSE 'datasheet-first' END AS source, CASE WHEN span > 0 AND span <= 200 THEN span END AS span, CASE WHEN contact > 0 AND contact <= 5 THEN contact END AS contact FROM p)
 SELECT *, concat_ws(',', CASE WHEN span IS NULL THEN 'formedLeadSpanMm' END, CASE WHEN contact IS NULL THEN 'formedLeadContactMm' END) AS missing, span IS NOT NULL AND contact IS NOT NULL AS complete FROM q""")
 def settings_parsed(t: Tables) -> DataFrame:

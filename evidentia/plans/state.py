@@ -45,15 +45,79 @@ def circuit_breaker(t: Tables) -> DataFrame:
     return ops.circuit_breaker(rows, "user_id", "s", ["s", "event_id"], "bad", 2, 86400).select("event_id", "user_id", "state")
 
 
-@query(f"""SELECT event_id, user_id, live, CASE WHEN live < 2 THEN 0.0e0 ELSE 3600 - (s - oldest) + 0.25e0 END AS delay FROM (SELECT event_id, user_id, s,
-count(*) OVER w AS live, min(s) OVER w AS oldest FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW))""")
+@query(_fold_sql(_EV, "[s * 1000] AS sent", "CASE WHEN len(f.sent) = 3 AND greatest(e.s * 1000, f.sent[-1]) - f.sent[1] < 50000000 THEN list_append(f.sent[2:], f.sent[1] + 50000250) ELSE list_append(CASE WHEN len(f.sent) = 3 THEN f.sent[2:] ELSE f.sent END, greatest(e.s * 1000, f.sent[-1])) END",
+                 "sent[-1] AS sent, sent[-1] - s * 1000 AS waited"))
 def sliding_pacer(t: Tables) -> DataFrame:
-    return ops.pacer(events(t), "user_id", "s", 2, 3600).select("event_id", "user_id", "live", "delay")
+    """A user's requests, three in any 50,000 seconds at most: each wait moves what comes later."""
+    rows = events(t).withColumn("ms", F.col("s") * 1000)
+    return ops.pacer(rows, "user_id", "ms", ["ms", "event_id"], 3, 50_000_000).select("event_id", "user_id", "sent", "waited")
 
 
-@query(f"SELECT user_id, event_type, s // 3600 AS flight, min(s) AS led_at, count(*) AS requests FROM ({_EV}) GROUP BY ALL")
+@query(_fold_sql(_EV, "event_id AS leader, s + (coalesce(value, 0) * 200)::BIGINT AS until", "CASE WHEN f.until <= e.s THEN e.event_id ELSE f.leader END, CASE WHEN f.until <= e.s THEN e.s + (coalesce(e.value, 0) * 200)::BIGINT ELSE f.until END",
+                 "leader, until", "event_type"))
 def single_flight(t: Tables) -> DataFrame:
-    return ops.single_flight(events(t), ["user_id", "event_type"], "s", 3600)
+    """Who fetches for whom, of requests by type of event, each in flight for two hundred seconds a unit of its value."""
+    rows = events(t).withColumn("takes", F.round(F.coalesce("value", F.lit(0.0)) * 200).cast("long"))
+    return ops.single_flight(rows, ["event_type"], "s", ["s", "event_id"], "takes", "event_id").select("event_id", "event_type", "leader", "until")
+
+
+_HELD = "list_filter(f.held, lambda x: x.u <> e.user_id)"
+_ENTRY = "list_filter(f.held, lambda x: x.u = e.user_id)[1]"
+_LIVE = f"coalesce({_ENTRY}.until > e.s, false)"
+_NEXT = f"list_append({_HELD}, CASE WHEN {_LIVE} THEN {_ENTRY} ELSE {{'u': e.user_id, 'until': e.s + CASE WHEN e.value >= 20 THEN 900000 ELSE 90000 END, 'found': coalesce(e.value >= 20, false)}} END)"
+
+
+@query(_fold_sql(_EV, "[{'u': user_id, 'until': s + CASE WHEN value >= 20 THEN 900000 ELSE 90000 END, 'found': coalesce(value >= 20, false)}] AS held, 'fetch' AS outcome, 0::BIGINT AS evicted",
+                 f"({_NEXT})[-40:], CASE WHEN NOT {_LIVE} THEN 'fetch' WHEN {_ENTRY}.found THEN 'hit' ELSE 'known_miss' END, greatest(0, len({_HELD}) + 1 - 40)::BIGINT", "outcome, evicted, len(held) AS held", "event_type"))
+def resolution_store(t: Tables) -> DataFrame:
+    """Lookups of users in a store of forty answers for each type of event: finds live for ten days, known misses for one."""
+    rows = events(t).withColumn("found", F.coalesce(F.col("value") >= 20, F.lit(False))).withColumnRenamed("user_id", "user")
+    found = ops.resolution_store(rows, "event_type", "user", "s", ["s", "event_id"], "found", 40, 900_000, 90_000)
+    return found.select("event_id", "event_type", "outcome", "evicted", "held")
+
+
+#: What three backends would say to each search: the second isn't set up for every client.
+_SAID = {
+    "first": "case when event_type = 'error' then 'blocked' when event_id % 5 = 0 then 'error' when event_id % 4 > 0 then 'blocked' else 'ok' end",
+    "second": "case when user_id % 3 = 0 then null when event_id % 3 = 0 then 'ok' else 'blocked' end",
+    "third": "case when event_id % 7 = 0 then 'ok' when event_id % 2 = 0 then 'error' else 'blocked' end",
+}
+
+
+def _search_sql() -> str:
+    """The route as nested cases: for each backend, whether it is reached, open and asked, and its breaker behind it."""
+    start, steps, reached, refused, asked = [], [], "true", [], []
+    route: list[str] = []
+    for k, name in enumerate(_SAID):
+        n, until = f"f.n{k}", f"coalesce(f.u{k}, 0)"
+        open_ = f"({until} > e.s)"
+        said = f"e.{name}"
+        here = f"({reached} AND {said} IS NOT NULL AND NOT {open_})"
+        steps += [
+            f"CASE WHEN {here} AND {said} = 'ok' THEN 0 WHEN {here} AND {said} = 'blocked' THEN CASE WHEN {n} + 1 >= 3 THEN 0 ELSE {n} + 1 END ELSE {n} END",
+            f"CASE WHEN {here} AND {said} = 'ok' THEN NULL WHEN {here} AND {said} = 'blocked' AND {n} + 1 >= 3 THEN e.s + 86400 ELSE f.u{k} END",
+        ]
+        start += [f"0 AS n{k}", f"NULL::BIGINT AS u{k}"]
+        route.append(f"CASE WHEN NOT {reached} THEN NULL WHEN {said} IS NULL THEN '-' WHEN {open_} THEN 'open' ELSE {said} END")
+        refused.append(f"coalesce({reached} AND {said} IS NOT NULL AND ({open_} OR {said} = 'blocked'), false)")
+        asked.append(f"coalesce({here}, false)")
+        reached = f"({reached} AND NOT coalesce({here} AND {said} = 'ok', false))"
+    backend = "CASE " + " ".join(f"WHEN {a} AND e.{name} = 'ok' THEN '{name}'" for a, name in zip(asked, _SAID, strict=True)) + " END"
+    blocked = f"({backend}) IS NULL AND (({' OR '.join(refused)}) OR NOT ({' OR '.join(asked)}))"
+    said = ", ".join(f"{x} AS {n}" for n, x in _SAID.items())
+    # a client begins with closed breakers: a row before its first
+    rows = f"SELECT event_id, user_id, s, {said} FROM ({_EV})"
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM ({rows})),
+f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, {", ".join(start)}, NULL::VARCHAR AS backend, false AS blocked, '' AS route FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, e.event_id, {", ".join(steps)}, {backend}, {blocked}, concat_ws(',', {", ".join(route)}) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, user_id, backend, blocked, route FROM f WHERE k > 0"""
+
+
+@query(_search_sql())
+def search_client(t: Tables) -> DataFrame:
+    """Searches of each user over three backends whose breakers they share, a day each."""
+    rows = events(t).select("*", *(F.expr(x).alias(n) for n, x in _SAID.items()))
+    return ops.searched(rows, "user_id", "s", ["s", "event_id"], {n: n for n in _SAID}, 3, 86_400).select("event_id", "user_id", "backend", "blocked", "route")
 
 
 @query(f"SELECT user_id, event_type, arg_max(value, (s, event_id)) AS value FROM ({_EV.replace('value,', 'CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value,')}) WHERE value IS NOT NULL GROUP BY ALL")
@@ -76,16 +140,16 @@ _CLIENT = "case event_id % 5 when 0 then '10.0.0.' || cast(user_id as string) ||
 
 
 @query(f"""SELECT event_id, coalesce(nullif(trim(string_split(f, ',')[1]), ''), CASE WHEN event_id % 2 = 0 THEN '7.7.7.7' END, 'unknown') AS client, upper('tps' || user_id) || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'ti' END AS cache_key,
-least(coalesce(CASE WHEN event_id % 2 = 0 THEN (event_id % 90) * 1000 + 500 + 2000 END, 60000), 80000)::BIGINT AS wait_ms, CASE WHEN event_id % 4 + 1 < 3 AND event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 2000 ELSE 4000 END END::BIGINT AS backoff_ms
+least(coalesce(CASE WHEN event_id % 2 = 0 THEN (event_id % 240) * 1000 + 500 + 2000 END, 45000), 180000)::BIGINT AS wait_ms, CASE WHEN event_id % 4 + 1 < 3 AND event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 2000 ELSE 4000 END END::BIGINT AS backoff_ms
 FROM (SELECT *, {_CLIENT.replace('as string', 'as varchar')} AS f FROM events)""")
 def request_keys(t: Tables) -> DataFrame:
     """Of each request: whose it is, what it asks the cache for, how long it waits after a refusal and after a failure."""
     e = t.events
-    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Quota. Please Retry in "), (F.col("event_id") % 90).cast("string"), F.lit(".5s."))).otherwise("no idea")
+    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Quota. Please Retry in "), (F.col("event_id") % 240).cast("string"), F.lit(".5s."))).otherwise("no idea")
     client = ops.client_key(F.expr(_CLIENT), F.when(F.col("event_id") % 2 == 0, " 7.7.7.7 "))
     key = ops.cache_key(F.concat(F.lit(" tps"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 3 != 0, " TI "))
     kind = F.when(F.col("event_type") == "error", "transient").otherwise("permanent")
-    return e.select("event_id", client.alias("client"), key.alias("cache_key"), ops.retry_after_ms(message, most=80_000).alias("wait_ms"), ops.backoff_ms(F.col("event_id") % 4 + 1, kind).alias("backoff_ms"))
+    return e.select("event_id", client.alias("client"), key.alias("cache_key"), ops.retry_after_ms(message).alias("wait_ms"), ops.backoff_ms(F.col("event_id") % 4 + 1, kind).alias("backoff_ms"))
 
 
 @query("SELECT event_id, left_ms, left_ms >= 5000 AS worth FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(8000, 27000 - event_id % 40000) ELSE 27000 - event_id % 40000 END AS left_ms FROM events)")
@@ -94,9 +158,9 @@ def model_budgets(t: Tables) -> DataFrame:
     return t.events.select("event_id", left.alias("left_ms"), worth.alias("worth"))
 
 
-@query("""WITH k AS (SELECT user_id, min(event_id) AS at_, max(event_id) AS last_ FROM events GROUP BY user_id), s AS (SELECT *, last_ % 7 = 0 AS dead FROM k), l AS (SELECT user_id, row_number() OVER (ORDER BY at_, user_id) AS n, count(*) OVER () AS c FROM s WHERE NOT dead)
-SELECT user_id, 'expired' AS why FROM s WHERE dead UNION ALL SELECT user_id, 'oldest' FROM l WHERE n <= greatest(0, c - 20)""")
+@query("""WITH k AS (SELECT user_id, min(event_id) AS at_, max(event_id) AS last_ FROM events GROUP BY user_id), s AS (SELECT *, last_ % 7 = 0 AS dead, count(*) OVER () AS held FROM k), l AS (SELECT user_id, row_number() OVER (ORDER BY at_, user_id) AS n, count(*) OVER () AS c FROM s WHERE NOT dead AND held >= 20)
+SELECT user_id, 'expired' AS why FROM s WHERE dead AND held >= 20 UNION ALL SELECT user_id, 'oldest' FROM l WHERE n <= greatest(0, c - 19)""")
 def store_evictions(t: Tables) -> DataFrame:
-    """Which users a store of twenty keys lets go."""
+    """Which users a full store of twenty keys lets go before it takes another."""
     keys = t.events.groupBy("user_id").agg(F.min("event_id").alias("at"), F.when(F.max("event_id") % 7 == 0, 0).otherwise(2).alias("until"))
     return ops.evictions(keys, "user_id", "at", "until", 1, 20)
