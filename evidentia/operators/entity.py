@@ -5,25 +5,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import package_code
+from .packages import FAMILY, outline_code, package_variants
 
-def ladder(left: DataFrame, right: DataFrame, key: str, target: str, tiers: list[tuple[Column, Column]], vetoes: set[int] = frozenset()) -> DataFrame:
-    """key, target, tier: the first tier at which exactly one target matches.
 
-    Each tier is a pair of match keys, one for either side, null where it doesn't apply: an equi-join each. A tier with
-    several targets decides nothing and is passed over; one in `vetoes` that has several ends the search without a match.
+#: Characters that may follow a drawing code's beginning; the length of the grams that containment is found by.
+SEPARATORS, GRAM = (" ", "_", "-", "."), 3
+
+
+def ends_of(rows: DataFrame, by: list[str], target: str) -> DataFrame:
+    """by, lo, hi: the smallest and the largest target of each name. They are equal where a name has one target, however many rows say so."""
+    return rows.groupBy(*by).agg(F.min(target).alias("lo"), F.max(target).alias("hi"))
+
+
+def by_name(left: DataFrame, right: DataFrame, by: list[str], key: str, target: str) -> DataFrame:
+    """key, lo, hi: what the rows of left, by equal names, name on the right. Targets are gathered by name first, so that no crowd of them is multiplied."""
+    named = left.dropna(subset=by).select(key, *by).distinct().join(ends_of(right.dropna(subset=by), by, target), by)
+    return named.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def settled(tiers: list[DataFrame], key: str, target: str, vetoes: set[int] = frozenset()) -> DataFrame:
+    """key, target, tier: the first tier (key, lo, hi) at which exactly one target matches.
+
+    A tier with several targets decides nothing and is passed over; one in `vetoes` that has several ends the search.
     """
     found = None
-    for t, (a, b) in enumerate(tiers):
-        hits = left.select(key, a.alias("_m")).where("_m is not null").join(right.select(target, b.alias("_m")).where("_m is not null"), "_m")
-        hits = hits.select(key, target).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(target).alias(target)).withColumn("tier", F.lit(t))
+    for t, hits in enumerate(tiers):
+        hits = hits.select(key, F.lit(t).alias("tier"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias(target))
         found = hits if found is None else found.unionByName(hits)
-    veto = F.min(F.when((F.col("n") > 1) & F.col("tier").isin(sorted(vetoes) or [-1]), F.col("tier")))
-    best = F.min(F.when(F.col("n") == 1, F.struct("tier", target)))
+    veto = F.min(F.when(F.col(target).isNull() & F.col("tier").isin(sorted(vetoes) or [-1]), F.col("tier")))
+    best = F.min(F.when(F.col(target).isNotNull(), F.struct("tier", target)))
     out = found.groupBy(key).agg(best.alias("b"), veto.alias("v"))
     clear = F.col("b").isNotNull() & (F.col("v").isNull() | (F.col("v") > F.col("b.tier")))
     return out.where(clear).select(key, F.col(f"b.{target}").alias(target), F.col("b.tier").alias("tier"))
 
 
+def ladder(left: DataFrame, right: DataFrame, key: str, target: str, tiers: list[tuple[Column, Column]], vetoes: set[int] = frozenset()) -> DataFrame:
+    """key, target, tier: the first tier at which exactly one target matches, each tier a pair of match keys, null where it doesn't apply."""
+    sides = [(left.select(key, a.alias("_m")), right.select(target, b.alias("_m"))) for a, b in tiers]
+    return settled([by_name(a, b, ["_m"], key, target) for a, b in sides], key, target, vetoes)
+
+
+def _inside(inner: DataFrame, outer: DataFrame, within: list[str]) -> DataFrame:
+    """within, inner, outer: distinct names (column `name`) that stand in others.
+
+    A name stands only in names that have all of its grams, so each is looked up by the one that the fewest have; what
+    is found there is compared as a whole. Names shorter than a gram are looked up by all their letters.
+    """
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - n + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+    whole = lambda n: F.filter(grams(n), lambda g: F.length(g) == n)
+    every = F.array_distinct(F.concat(*(whole(n) for n in range(1, GRAM + 1))))
+    index = outer.select(*within, F.col("name").alias("outer"), F.explode(every).alias("gram"))
+    size = F.least(F.length("name"), F.lit(GRAM))
+    own = F.filter(every, lambda g: F.length(g) == F.least(F.length("name"), F.lit(GRAM)))
+    asked = inner.where(size > 0).select(*within, F.col("name").alias("inner"), F.explode(own).alias("gram"))
+    often = index.groupBy(*within, "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(often, [*within, "gram"], "left").groupBy(*within, "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = rarest.where("r.n > 0").select(*within, "inner", F.col("r.gram").alias("gram"))
+    return rarest.join(index, [*within, "gram"]).where(F.contains("outer", "inner")).select(*within, "inner", "outer")
+
+
+def containing(left: DataFrame, right: DataFrame, within: list[str], key: str, target: str, name: str) -> DataFrame:
+    """key, lo, hi: what the rows of left name on the right, where one of two names contains the other. Joined by grams, never by all pairs."""
+    a, b = (df.dropna(subset=[*within, name]).where(F.length(name) > 0).withColumnRenamed(name, "name") for df in (left, right))
+    x, y = a.select(*within, "name").distinct(), b.select(*within, "name").distinct()
+    pairs = _inside(x, y, within).select(*within, F.col("inner").alias("name"), F.col("outer").alias("_of"))
+    pairs = pairs.union(_inside(y, x, within).select(*within, F.col("outer").alias("name"), F.col("inner").alias("_of"))).distinct()
+    ends = pairs.join(ends_of(b, [*within, "name"], target).withColumnRenamed("name", "_of"), [*within, "_of"])
+    ends = ends.groupBy(*within, "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return a.select(key, *within, "name").distinct().join(ends, [*within, "name"]).groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def code_heads(code: Column) -> Column:
+    """A drawing code and what stands before each of its separators."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: F.when((i == F.length(code)) | F.substring(code, i + 1, F.lit(1)).isin(*SEPARATORS), F.substring(code, F.lit(1), i)))
+    return F.array_compact(cuts)
+
+
+def pin_tables_named(mentions: DataFrame, tables: DataFrame, doc: str, key: str, target: str) -> DataFrame:
+    """key, target, tier: which table of pins of its document each designator names, if exactly one.
+
+    mentions: doc, key, designator. tables: doc, target, names (array: what a document prints for the package), outline,
+    pins (how many rows the table has; null without rows). The tiers: 0 a drawing code in square brackets at the end,
+    which several tables may not share; 1 an equal name, by letters and digits; 2 a name within the other; 3 the same
+    family and code in any order; 4 the lead count, if the designator declares one.
+    """
+    trimmed = F.trim("designator")
+    code = outline_code(F.regexp_extract(trimmed, r"\[([^\]]+)\]\s*$", 1))
+    bare = F.trim(F.regexp_replace(trimmed, r"\[[^\]]+\]\s*$", ""))
+    fold = lambda x: F.nullif(F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""), F.lit(""))
+    family = lambda x: F.nullif(F.upper(F.regexp_extract(x, rf"(?i)\b(?:{FAMILY})\b", 0)), F.lit(""))
+    asked = mentions.select(doc, key, code.alias("code"), bare.alias("label")).withColumn("name", fold("label"))
+    names = tables.select(doc, target, F.explode("names").alias("label")).withColumn("name", fold("label"))
+    outlines = tables.select(doc, target, outline_code(F.col("outline")).alias("code")).where("code is not null")
+    coded = asked.where("code is not null")
+    longer = by_name(coded.select(doc, key, F.explode(code_heads(F.col("code"))).alias("code")), outlines, [doc, "code"], key, target)
+    shorter = by_name(coded, outlines.select(doc, target, F.explode(code_heads(F.col("code"))).alias("code")), [doc, "code"], key, target)
+    drawings = longer.union(shorter).groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    said = lambda df: df.where("name is not null").withColumns({"family": family("label"), "code": package_code(F.col("label"))})
+    leads = package_variants(asked, key, "label").where("leads is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.first("leads").alias("pins")).where("n = 1")
+    counted = by_name(asked.join(leads, key), tables.select(doc, target, F.col("pins").cast("long").alias("pins")), [doc, "pins"], key, target)
+    return settled(
+        [drawings, by_name(asked, names, [doc, "name"], key, target), containing(asked, names, [doc], key, target, "name"), by_name(said(asked), said(names), [doc, "family", "code"], key, target), counted],
+        key, target, {0},
+    )
+
+
+def fragments(name: Column) -> Column:
+    """A label as the package names it lists, without the word package behind them."""
+    spelt = F.translate(F.coalesce(name, F.lit("")), "_", " ")
+    pieces = F.transform(F.split(spelt, r"[/;,]|\s+or\s+"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"(?i)\s+Packages?$", "")))
+    return F.filter(pieces, lambda x: x != "")
+
+
+def names_several(name: Column) -> Column:
+    """Is a label about a set of packages: two or more of its fragments name a family or are a bare code."""
+    named = F.filter(fragments(name), lambda x: x.rlike(rf"(?i)\b(?:{FAMILY})\b") | x.rlike("^[A-Z]{1,4}[0-9]{0,2}$"))
+    return F.size(named) > 1
+
+
+def drawing_name(first: Column, first_dims: Column, second: Column, second_dims: Column) -> Column:
+    """The name of whichever of two joined entries carries measurements (maps of dimensions), the second's if both do; else null."""
+    has = lambda dims: F.coalesce(F.size(dims), F.lit(0)) > 0
+    return F.when(has(second_dims), second).when(has(first_dims), first)
+
+
+def same_pin_names(left: Column, right: Column) -> Column:
+    """Do two pin tables (arrays of number and name) give the same numbers the same names, in the same order; missing tables never do."""
+    said = lambda pins: F.transform(pins, lambda p: F.concat(F.coalesce(p["number"], F.lit("")), F.lit("\x00"), F.coalesce(p["name"], F.lit(""))))
+    return F.coalesce(said(left) == said(right), F.lit(False))
+
+
 def merge_entries(first: DataFrame, second: DataFrame, key: str, agree: list[str], contradict: list[str], values: list[str]) -> DataFrame:
     """Entries of two passes as one list: a pair is one entity if they agree on a feature, contradict none, and neither has another partner.
 

@@ -68,19 +68,23 @@ def orderable_rows(t: Tables) -> DataFrame:
     return ops.orderable_rows(rows, "p_partkey", "text", "part", _ROW)
 
 
-_LABEL = "case p_partkey % 9 when 0 then 'SOIC (D)' when 1 then 'D (ABC' || cast(1000 + p_partkey as string) || ')' when 2 then 'RGT (VQFN, 16)' when 3 then 'SOIC_W (dw0016a)' when 4 then 'TSSOP' when 5 then 'PW0014A (ABC' || cast(1000 + p_size as string) || '-1)' when 6 then '16-lead SOT-23' when 7 then '' else null end"
+_LABEL = "case p_partkey % 9 when 0 then 'SOIC (D)' when 1 then 'D (ABC' || cast(1000 + p_partkey as string) || ')' when 2 then 'RGT (VQFN, 16)' when 3 then 'SOIC_W (dw0016a)' when 4 then 'TSSOP' when 5 then 'PW0014A (ABC' || cast(1000 + p_size as string) || '-1)' when 6 then '16-lead SOT-23' when 7 then 'ISO' || cast(7000 + p_size as string) || ' SC16IS750 TOP' || cast(220 + p_size as string) || ' in SO-16' else null end"
 _SPELT = "translate(coalesce(label, ''), '_', ' ')"
 _BRACKET = rf"nullif(upper(regexp_extract(sp, '\(([A-Za-z][A-Za-z0-9-]{{0,7}})\)', 1)), '')"
-_CODE_SQL = rf"""SELECT p_partkey, label, coalesce(nullif(upper(regexp_extract(trim(code), '^([A-Za-z]{{1,5}})[0-9]{{2,}}[A-Za-z]?$', 1)), ''), code) AS code FROM (SELECT p_partkey, label, CASE WHEN regexp_matches(string_split(sp, '(')[1], '(?i)\b(?:{FAMILY})\b') THEN {_BRACKET}
-ELSE coalesce(CASE WHEN lead_ <> '' AND NOT regexp_matches(lead_, '^(?:{FAMILY})$') THEN lead_ END, {_BRACKET}) END AS code FROM (SELECT *, upper(regexp_extract(sp, '^\s*([A-Za-z][A-Za-z0-9-]{{0,7}})\s*\(', 1)) AS lead_ FROM (SELECT p_partkey, label, {_SPELT} AS sp FROM (SELECT p_partkey, {_duck(_LABEL)} AS label FROM part))))"""
 
 
-@query(f"SELECT p_partkey, code FROM ({_CODE_SQL})")
+def code_sql(rows: str) -> str:
+    """id, label, code of the labels of rows (id, label)."""
+    return rf"""SELECT id, label, coalesce(nullif(upper(regexp_extract(trim(code), '^([A-Za-z]{{1,5}})[0-9]{{2,}}[A-Za-z]?$', 1)), ''), code) AS code FROM (SELECT id, label, CASE WHEN regexp_matches(string_split(sp, '(')[1], '(?i)\b(?:{FAMILY})\b') THEN {_BRACKET}
+ELSE coalesce(CASE WHEN lead_ <> '' AND NOT regexp_matches(lead_, '^(?:{FAMILY})$') THEN lead_ END, {_BRACKET}) END AS code FROM (SELECT *, upper(regexp_extract(sp, '^\s*([A-Za-z][A-Za-z0-9-]{{0,7}})\s*\(', 1)) AS lead_ FROM (SELECT id, label, {_SPELT} AS sp FROM ({rows}))))"""
+
+
+@query(f"SELECT id AS p_partkey, code FROM ({code_sql(f'SELECT p_partkey AS id, {_duck(_LABEL)} AS label FROM part')})")
 def package_codes(t: Tables) -> DataFrame:
     return t.part.selectExpr("p_partkey", f"{_LABEL} as label").select("p_partkey", ops.package_code(c("label")).alias("code"))
 
 
-_DEVICES_SQL = rf"""list_transform(list_filter(list_transform(string_split_regex(regexp_replace(coalesce(label, ''), '(?i){FAMILY}', ' ', 'g'), '[^A-Za-z0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')), lambda x: regexp_matches(x, '^[A-Za-z]{{2,}}[0-9]') AND length({_ALNUM.format('x')}) >= 5), lambda x: {_ALNUM.format('x')})"""
+_DEVICES_SQL = rf"""list_transform(list_filter(list_transform(string_split_regex(regexp_replace(coalesce(label, ''), '(?i)\b(?:{FAMILY})\b', ' ', 'g'), '[^A-Za-z0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')), lambda x: regexp_matches(x, '^[A-Za-z]{{2,}}[0-9]') AND length({_ALNUM.format('x')}) >= 5), lambda x: {_ALNUM.format('x')})"""
 
 
 @query(f"""SELECT p_partkey, array_to_string(d, ',') AS devices, len(d) = 0 OR len(list_filter(d, lambda x: contains(x, mine) OR contains(mine, x))) > 0 AS this_part FROM (SELECT p_partkey, {_DEVICES_SQL} AS d, 'ABC' || (1000 + p_partkey) || 'Q' AS mine FROM (SELECT p_partkey, {_duck(_LABEL)} AS label FROM part))""")

@@ -21,7 +21,11 @@ _FORM_ROWS = " UNION ALL ".join(
     for n, (f, p) in enumerate(ops.FORMS.items())
 )
 _IN = lambda names: ", ".join(f"'{n}'" for n in names)
-VARIANTS_SQL = rf"""WITH lines AS (SELECT p_partkey AS k, {_TEXT} AS t FROM part), f0 AS ({_FORM_ROWS}),
+
+
+def variants_sql(lines: str) -> str:
+    """p_partkey, nth, designator, family, leads, place of the lines (k, t)."""
+    return rf"""WITH lines AS ({lines}), f0 AS ({_FORM_ROWS}),
 f1 AS (SELECT k, t, form, f, m, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS place FROM f0),
 f2 AS (SELECT k, t, form, f, CASE WHEN c THEN substr(m, 2) ELSE m END AS m, place + CASE WHEN c THEN 1 ELSE 0 END AS place FROM (SELECT *, f = 'alone' AND NOT regexp_matches(m, '^[0-9]') AS c FROM f1)),
 f3 AS (SELECT *, regexp_extract(m, '{ops.FIRST}', 1) || regexp_extract(m, '{ops.LAST}', 1) AS printed, try_cast(regexp_extract(regexp_replace(m, '{ops.FIRST}', ''), '([0-9]{{1,3}})', 1) AS INTEGER) AS number FROM f2),
@@ -34,7 +38,7 @@ f7 AS (SELECT *, sum(glued::INTEGER) OVER (PARTITION BY k, family) AS many FROM
 SELECT k AS p_partkey, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS nth, CASE WHEN material = '' THEN name ELSE material || ' ' || name END AS designator, family, leads::BIGINT AS leads, place::BIGINT AS place FROM f7 WHERE NOT glued OR many < 2"""
 
 
-@query(VARIANTS_SQL)
+@query(variants_sql(f"SELECT p_partkey AS k, {_TEXT} AS t FROM part"))
 def package_variants(t: Tables) -> DataFrame:
     """Packages that made-up lines name."""
     return ops.package_variants(t.part.selectExpr("p_partkey", f"{_TEXT} as text"), "p_partkey", "text")

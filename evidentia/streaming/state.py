@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def fixed_window(events: DataFrame, key: str, at: str, event: str, limit: int, window: int) -> DataFrame:
+def fixed_window(events: DataFrame, key: str, at: str, event: str, limit: int, window: int, late: str = "0 seconds") -> DataFrame:
     """key, event, allowed, retry_after of a stream; the same decisions as operators.state.fixed_window over events in order.
 
-    State is one count and one end of a window for each key. It goes once a key has been silent for a window (by
-    processing time), so addresses that come once leave nothing behind.
+    at: seconds, a long. State is one count and one end of a window for each key. It goes once the watermark has passed
+    that end, so addresses that come once leave nothing behind, and a stream that is delayed or replayed forgets no
+    window that is still open: time is the events', never the clock's. What comes later than `late` is dropped.
     """
     kind = events.schema[key].dataType.simpleString()
     out = f"{key} {kind}, {event} {events.schema[event].dataType.simpleString()}, allowed boolean, retry_after long"
@@ -26,22 +27,21 @@ def fixed_window(events: DataFrame, key: str, at: str, event: str, limit: int, w
             return
         count, until = state.get if state.exists else (0, -1)
         for f in frames:
-            rows = []
-            for e, now in f[[event, at]].sort_values([at, event]).itertuples(index=False, name=None):
+            f = f.sort_values([at, event])
+            allowed, wait = [], []
+            for now in f[at].tolist():
                 if until <= now:
-                    count, until = 1, int(now) + window
-                    rows.append((k[0], e, True, 0))
-                elif count >= limit:
-                    rows.append((k[0], e, False, max(1, until - int(now))))
-                else:
-                    count += 1
-                    rows.append((k[0], e, True, 0))
-            yield pd.DataFrame(rows, columns=[key, event, "allowed", "retry_after"])
+                    count, until = 0, now + window
+                open_ = count < limit
+                count += open_
+                allowed.append(open_)
+                wait.append(0 if open_ else max(1, until - now))
+            yield pd.DataFrame({key: f[key], event: f[event], "allowed": allowed, "retry_after": wait})
         state.update((count, until))
-        state.setTimeoutDuration(window * 1000)
+        state.setTimeoutTimestamp(max(until * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select(key, event, at)
-    return rows.groupBy(key).applyInPandasWithState(work, out, "count long, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.where(F.col(at).isNotNull()).select(key, event, at, F.timestamp_seconds(F.col(at)).alias("_time")).withWatermark("_time", late)
+    return rows.groupBy(key).applyInPandasWithState(work, out, "count long, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, keys: list[str], width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
