@@ -71,16 +71,15 @@ def span_union(spans: DataFrame, key: str, start: str = "start", end: str = "end
     return rows.groupBy(key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
-def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None = None, reach: int = REACH) -> DataFrame:
-    """key, regions, citable: spans around every match of a pattern, and the text without them.
+def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None = None, reach: int = REACH, keep: bool = False) -> DataFrame:
+    """key, regions, citable: spans around every match of a pattern, and the text without them. keep: with the text itself.
 
-    Nearly all texts are clean and stay in the engine: what may match, by the same patterns without word ends, is cut in Python.
+    Nearly all texts are clean and stay in the engine: Python gets what may match, by the same patterns without word
+    ends, and nulls for all else, so that each text is searched once.
     """
     compiled = [re.compile(p, re.I) for p in patterns or INJECTIONS]
-    kind = texts.schema[key].dataType.simpleString()
 
-    def cut(value: str | None) -> tuple[int, str]:
-        value = value or ""
+    def cut(value: str) -> tuple[int, str]:
         spans = sorted((max(0, m.start() - reach), min(len(value), m.end() + reach)) for p in compiled for m in p.finditer(value))
         joined: list[list[int]] = []
         for a, b in spans:
@@ -94,14 +93,15 @@ def quarantine(texts: DataFrame, key: str, text: str, patterns: list[str] | None
             at = b
         return len(joined), "".join([*out, value[at:]])
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [cut(x) for x in f[text]]
-            yield pd.DataFrame({key: f[key], "regions": [x[0] for x in found], "citable": [x[1] for x in found]})
+    @F.pandas_udf("regions int, citable string")
+    def cut_out(likely: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if x is None else cut(x) for x in likely]
+        return pd.DataFrame({"regions": pd.array([n for n, _ in found], "Int32"), "citable": pd.array([t for _, t in found], "string")})
 
-    likely = F.coalesce(F.col(text).rlike("(?iu)" + "|".join(f"(?:{p})" for p in (patterns or INJECTIONS)).replace(r"\b", "")), F.lit(False))
-    clean = texts.where(~likely).select(key, F.lit(0).alias("regions"), F.coalesce(F.col(text), F.lit("")).alias("citable"))
-    return texts.where(likely).select(key, text).mapInPandas(work, f"{key} {kind}, regions int, citable string").unionByName(clean)
+    likely = F.col(text).rlike("(?iu)" + "|".join(f"(?:{p})" for p in (patterns or INJECTIONS)).replace(r"\b", ""))
+    rows = texts.select(key, text, cut_out(F.when(likely, F.col(text))).alias("_cut"))
+    regions, citable = F.coalesce("_cut.regions", F.lit(0)), F.coalesce("_cut.citable", text, F.lit(""))
+    return rows.select(key, *([text] if keep else []), regions.alias("regions"), citable.alias("citable"))
 
 
 #: Labels of pin figures, which a wrong shift does not produce; white space, which a shift leaves as it is.
