@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
 from .evidence import stated_maximum
 from .records import pad_row_taken_out, pin_table
 from .text import quarantine
@@ -36,15 +37,18 @@ def evidence_pages(pages: DataFrame, doc: str = "doc", page: str = "page", text:
     """doc, page, hay (squeezed citable text), clean, printed (numbers its footers print), height (the one it states), pinout, letters.
 
     What is addressed to a reader of documents is cut out before anything is compared, and such a page isn't clean.
+    Every rule of a merge looks at pages anew, so they are written once: texts are searched a single time, and a rule
+    reads the columns it needs.
     """
     rows = quarantine(pages.select(F.struct(doc, page).alias("_at"), c(text).alias("_text")), "_at", "_text", keep=True)
     clean = c("regions") == 0
     printed = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(PRINTED), F.lit(1)), lambda x: x.cast("int")))
-    return rows.select(
+    found = rows.select(
         c(f"_at.{doc}").alias("doc"), c(f"_at.{page}").alias("page"), squeezed(c("citable")).alias("hay"), clean.alias("clean"), printed.alias("printed"),
         F.when(clean, stated_maximum(c("_text"), STATED_HEIGHT, MOST_HEIGHT)).alias("height"), (clean & c("_text").rlike(PINOUT)).alias("pinout"),
         F.regexp_replace(F.upper("_text"), "[^A-Z0-9]", "").alias("letters"),
     )
+    return written(found, "evidence-pages")
 
 
 def distinctive(pins: Column) -> Column:

@@ -78,3 +78,45 @@ def first_hit(attempts: DataFrame, keys: list[str], rank: str, outcome: str, val
 def orphans(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows of left that right doesn't know."""
     return left.join(right.select(on).distinct(), on, "left_anti")
+
+
+#: Links that are followed from one page, and results of one search that are looked at.
+MOST_LINKS, MOST_RESULTS = 8, 12
+
+
+def _is_pdf(content_type: Column, url: Column) -> Column:
+    return F.coalesce(F.contains(F.lower(content_type), F.lit("pdf")), F.lit(False)) | F.coalesce(url.rlike(r"(?i)\.pdf(\?|#|$)"), F.lit(False))
+
+
+def inspected(candidates: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, url, pdf_url, source_url: what each candidate comes to, null where it is unusable.
+
+    responses: url, status, content_type, final_url, html, what was fetched before; an address that may not be fetched,
+    has no response or failed is unusable and ends nothing. A document stands for itself; of a page the first of its
+    MOST_LINKS document links that leads to a document counts.
+    """
+    fetched = responses.where(F.col("status").between(200, 299) & (T.url_verdict(F.col("url")) == "ok"))
+    fetched = fetched.select("url", F.coalesce("final_url", "url").alias("final_url"), "content_type", "html").withColumn("pdf", _is_pdf(F.col("content_type"), F.col("final_url")))
+    pages = fetched.where(~F.col("pdf") & F.contains(F.lower("content_type"), F.lit("html")))
+    out = document_links(links(pages.select("url", "final_url", "html").withColumnRenamed("url", "page"), "page", "final_url", "html"), "page", MOST_LINKS)
+    led = out.join(fetched.where("pdf").select("url", F.col("final_url").alias("_to")), "url").groupBy("page").agg(F.min_by("_to", "nth").alias("led_to"))
+    known = fetched.join(led.withColumnRenamed("page", "url"), "url", "left")
+    pdf = F.when(F.col("pdf"), F.col("final_url")).otherwise(F.col("led_to"))
+    known = known.select("url", pdf.alias("pdf_url"), F.when(F.col("pdf"), F.col("url")).when(F.col("led_to").isNotNull(), F.col("final_url")).alias("source_url"))
+    return candidates.select(*keys, "url").join(known, "url", "left").select(*keys, "url", "pdf_url", "source_url")
+
+
+def located(candidates: DataFrame, searches: DataFrame, key: str) -> DataFrame:
+    """key, pdf_url, source_url, search_blocked: the first usable candidate, those that need no search first, then the searches in order.
+
+    candidates: key, tier (0 without a search, else the search's number), rank, pdf_url, source_url; of a search the
+    first MOST_RESULTS are looked at. searches: key, tier, blocked. The first search that every backend refuses ends
+    the lookup: what comes after isn't tried, and a lookup that ends so hasn't shown that there is no document.
+    """
+    ended = searches.where("blocked").groupBy(key).agg(F.min("tier").alias("_ended"))
+    usable = candidates.where(F.col("pdf_url").isNotNull() & ((F.col("tier") == 0) | (F.col("rank") <= MOST_RESULTS)))
+    usable = usable.join(ended, key, "left").where(F.col("_ended").isNull() | (F.col("tier") < F.col("_ended")))
+    best = usable.groupBy(key).agg(F.min_by(F.struct("pdf_url", "source_url"), F.struct("tier", "rank")).alias("b"))
+    asked = candidates.select(key).union(searches.select(key)).distinct()
+    rows = asked.join(best, key, "left").join(ended, key, "left")
+    return rows.select(key, "b.pdf_url", "b.source_url", (F.col("b").isNull() & F.col("_ended").isNotNull()).alias("search_blocked"))

@@ -139,3 +139,38 @@ def resolver_fallback(t: Tables) -> DataFrame:
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def orphan_docs(t: Tables) -> DataFrame:
     return ops.orphans(t.documents.select("doc_id", "source"), t.labels, "doc_id")
+
+
+#: What was fetched, made of part keys: documents, pages with links, other things, failures; and documents behind links.
+_FETCHED = """SELECT 'https://h.test/' || cast(p_partkey as string) as url, case when p_partkey % 7 = 0 then 404 else 200 end as status, case p_partkey % 5 when 0 then 'Application/PDF' when 1 then 'text/html; charset=utf-8' when 2 then 'text/plain' when 3 then 'text/html' end as content_type,
+ case when p_partkey % 5 = 3 and p_partkey % 2 = 0 then 'https://h.test/' || cast(p_partkey as string) || '.PDF?v=1' when p_partkey % 11 > 0 then 'https://h.test/' || cast(p_partkey as string) end as final_url,
+ '<a href="/d/' || cast(p_partkey * 3 % 500 as string) || '.pdf">x</a> <a href="/about">y</a> <a href="https://h.test/d/' || cast(p_partkey * 7 % 500 as string) || '.pdf">z</a>' as html FROM part
+ UNION ALL SELECT 'https://h.test/d/' || cast(p_partkey as string) || '.pdf', case when p_partkey % 3 = 2 then 500 else 200 end, case when p_partkey % 3 = 0 then 'application/pdf' else 'text/html' end, case when p_partkey % 4 = 1 then 'https://h.test/login' end, '' FROM part"""
+_TRIED = "SELECT p_partkey as lookup, tier, rank, case when (p_partkey + rank) % 13 = 0 then 'http://10.0.0.1/x.pdf' else 'https://h.test/' || cast((p_partkey * 31 + tier * 97 + rank * 11) % 2500 as string) end as url FROM part CROSS JOIN (VALUES (0, 1), (1, 1), (1, 2), (1, 13), (2, 1), (2, 4)) AS v(tier, rank) WHERE (p_partkey + tier) % 5 > 0"
+_SEARCHES = "SELECT p_partkey as lookup, tier, (p_partkey + tier * 3) % 4 = 0 as blocked FROM part CROSS JOIN (VALUES (1), (2)) AS v(tier)"
+_VARCHAR = lambda sql: sql.replace("as string)", "as varchar)")
+_PDF = r"(coalesce(contains(lower(content_type), 'pdf'), false) OR regexp_matches(final_url, '(?i)\.pdf(\?|#|$)'))"
+INSPECTED_SQL = rf"""WITH f AS (SELECT url, coalesce(final_url, url) AS final_url, content_type, html FROM ({_VARCHAR(_FETCHED)}) WHERE status = 200), g AS (SELECT *, {_PDF} AS pdf FROM f),
+l AS (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw, unnest(range(0, len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS ord FROM g WHERE NOT pdf AND contains(content_type, 'html')),
+d AS (SELECT l.url, arg_min(g.final_url, ord) AS led FROM l JOIN g ON g.url = CASE WHEN starts_with(raw, '/') THEN 'https://h.test' || raw ELSE raw END AND g.pdf WHERE contains(raw, '.pdf') GROUP BY l.url),
+k AS (SELECT url, CASE WHEN pdf THEN final_url ELSE led END AS pdf_url, CASE WHEN pdf THEN url WHEN led IS NOT NULL THEN final_url END AS source_url FROM g LEFT JOIN d USING (url))
+SELECT lookup, tier, rank, c.url, pdf_url, source_url FROM ({_VARCHAR(_TRIED)}) c LEFT JOIN k ON k.url = c.url"""
+
+
+def _inspected(t: Tables) -> DataFrame:
+    made = lambda sql: t.spark.sql(sql.replace("FROM part", "FROM {p}"), p=t.part)
+    return ops.inspected(made(_TRIED), made(_FETCHED), ["lookup", "tier", "rank"])
+
+
+@query(INSPECTED_SQL)
+def candidates_inspected(t: Tables) -> DataFrame:
+    """What each candidate of a lookup leads to."""
+    return _inspected(t)
+
+
+@query(f"""WITH i AS ({INSPECTED_SQL}), s AS ({_SEARCHES}), e AS (SELECT lookup, min(tier) AS ended FROM s WHERE blocked GROUP BY lookup),
+b AS (SELECT lookup, arg_min(pdf_url, tier * 100 + rank) AS pdf_url, arg_min(source_url, tier * 100 + rank) AS source_url FROM i LEFT JOIN e USING (lookup) WHERE pdf_url IS NOT NULL AND (tier = 0 OR rank <= 12) AND (ended IS NULL OR tier < ended) GROUP BY lookup)
+SELECT p_partkey AS lookup, pdf_url, source_url, pdf_url IS NULL AND ended IS NOT NULL AS search_blocked FROM part LEFT JOIN b ON b.lookup = p_partkey LEFT JOIN e ON e.lookup = p_partkey""")
+def documents_located(t: Tables) -> DataFrame:
+    """Where each lookup finds its document, or whether it could not look."""
+    return ops.located(_inspected(t), t.spark.sql(_SEARCHES.replace("FROM part", "FROM {p}"), p=t.part), "lookup")
