@@ -158,9 +158,9 @@ def model_budgets(t: Tables) -> DataFrame:
     return t.events.select("event_id", left.alias("left_ms"), worth.alias("worth"))
 
 
-@query("""WITH k AS (SELECT user_id, min(event_id) AS at_, max(event_id) AS last_ FROM events GROUP BY user_id), s AS (SELECT *, last_ % 7 = 0 AS dead, count(*) OVER () AS held FROM k), l AS (SELECT user_id, row_number() OVER (ORDER BY at_, user_id) AS n, count(*) OVER () AS c FROM s WHERE NOT dead AND held >= 20)
-SELECT user_id, 'expired' AS why FROM s WHERE dead AND held >= 20 UNION ALL SELECT user_id, 'oldest' FROM l WHERE n <= greatest(0, c - 19)""")
+@query("""WITH k AS (SELECT user_id, min(event_id) AS at_, max(event_id) AS last_ FROM events GROUP BY user_id), s AS (SELECT *, last_ % 7 = 0 AS dead, count(*) OVER () AS held FROM k), l AS (SELECT user_id, row_number() OVER (ORDER BY at_, user_id) AS n, count(*) OVER () AS c FROM s WHERE NOT dead AND held >= 8)
+SELECT user_id, 'expired' AS why FROM s WHERE dead AND held >= 8 UNION ALL SELECT user_id, 'oldest' FROM l WHERE n <= greatest(0, c - 7)""")
 def store_evictions(t: Tables) -> DataFrame:
-    """Which users a full store of twenty keys lets go before it takes another."""
+    """Which users a full store of eight keys lets go before it takes another."""
     keys = t.events.groupBy("user_id").agg(F.min("event_id").alias("at"), F.when(F.max("event_id") % 7 == 0, 0).otherwise(2).alias("until"))
-    return ops.evictions(keys, "user_id", "at", "until", 1, 20)
+    return ops.evictions(keys, "user_id", "at", "until", 1, 8)
