@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,5 +94,14 @@ def joined(batches: Iterator[pa.RecordBatch], many: int = 2) -> Iterator[pa.Reco
         yield pa.concat_batches(held)
 
 
+def spare() -> None:
+    """Give back to the machine what earlier stages, whose workers are used again, hold without need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, small, stage, table, texts_of
+from .common import joined, small, spare, stage, table, texts_of
 from .tokens import word_tokenizer
 
 WINDOW = 4096
@@ -55,6 +55,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """part, source, place (tokens of that source earlier in the part), doc_id, n, ids (binary, uint16 or uint32 little-endian)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         part, places, tokenizer = TaskContext.get().partitionId(), {}, word_tokenizer(tokenizer_path)
         end = np.array([end_id], tokenizer.kind).tobytes()
         for rows in small(joined(batches), 2048, 5 << 20):  # the more at once, the fewer words are looked at again
