@@ -110,7 +110,7 @@ def test_shifted_text_is_read(spark):
     assert got[1].shift == -5 and got[1].decoded == plain and got[2].shift is None
 
 
-#: The figure of the reference's tests: ADJ/GND encodes to a control character.
+#: A figure's labels, of which ADJ/GND encodes to a control character.
 ADJ_GND = "$'-\x12*1'"
 
 
