@@ -59,6 +59,8 @@ _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I
 )
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
+#: A quoted value with a > and without a < in it (with one, the quote may be broken markup). In a text, where it is no value, the entity that takes the place of > is resolved again.
+_HELD = re.compile(r"=\s*+(?:\"[^\"<>]*+>[^\"<]*+\"|'[^'<>]*+>[^'<]*+')")
 
 
 def digest(block: bytes) -> str:
@@ -66,8 +68,8 @@ def digest(block: bytes) -> str:
 
 
 def closed_tags(page: str) -> str:
-    """page without comments, and without a < that no > follows: so each pattern for a tag ends, and reading is linear."""
-    page = _COMMENT.sub(" ", page)
+    """page without comments, without a < that no > follows and without a > in quoted values: so each pattern for a tag ends where the tag does, and reading is linear."""
+    page = _HELD.sub(lambda m: m[0].replace(">", "&gt;"), _COMMENT.sub(" ", page))
     k = page.rfind(">") + 1
     return page[:k] + page[k:].replace("<", "&lt;")
 
