@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,8 +95,15 @@ def joined(batches: Iterator[pa.RecordBatch], many: int = 2) -> Iterator[pa.Reco
         yield pa.concat_batches(held)
 
 
-def spare() -> None:
-    """Give back to the machine what earlier stages, whose workers are used again, hold without need."""
+#: Where workers remember tokenizers, and with them their words.
+_REMEMBERED = (("tokens", "word_tokenizer"), ("token_counts", "byte_tokenizer"), ("alignment", "aligner"))
+
+
+def spare(tokenizers: bool = False) -> None:
+    """Give back to the machine what earlier stages, whose workers are used again, hold without need; tokenizers too, if this stage has none."""
+    for module, name in _REMEMBERED if tokenizers else ():
+        if f"{__package__}.{module}" in sys.modules:
+            getattr(sys.modules[f"{__package__}.{module}"], name).cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
