@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import spare, stage, table, texts_of
 
 LENGTH, GRAM = 50, 24
 WINDOWS = LENGTH - GRAM + 1  # grams of a window
@@ -78,6 +78,12 @@ def hashes(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes one to one with these and spread evenly. Those of anchors, each the smallest of WINDOWS, crowd at the low end."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(29))
+
+
 def anchors(buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents one after another: hash and place of each anchor, its first and last window, its document's number."""
     ends = np.cumsum(sizes)
@@ -99,7 +105,7 @@ def anchors(buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if not len(window):
             continue
         new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-        found.append((h[place[new]], place[new] + at, window[new], window[np.r_[new[1:] - 1, len(window) - 1]], doc[new]))
+        found.append((mixed(h[place[new]]), place[new] + at, window[new], window[np.r_[new[1:] - 1, len(window) - 1]], doc[new]))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, *[np.int64] * 4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -300,12 +306,14 @@ def exchange(blocks: DataFrame, answers: DataFrame | None, send: Callable, reply
     """block, answers: blocks send blobs to ranges of hashes, which reply to each. answers: what blocks know so far."""
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare(tokenizers=True)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 yield _rows([(r, row["block"], blob) for r, blob in send(Block(row, ranges), row)], ["range", "block", "blob"])
 
     def replying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare(tokenizers=True)
         for group in by_group(batches, "range"):
             blobs = reply([g["blob"] for g in group])
             yield _rows([(g["block"], g["range"], b) for g, b in zip(group, blobs, strict=True)], ["block", "range", "blob"])
@@ -364,12 +372,14 @@ def removed(block: Block, row: dict) -> np.ndarray:
     mask = _answered(row, "masks", np.uint32, len(sent)).astype(np.int64)[which]
     first, size = block.first[chosen], (block.last - block.first)[chosen] + 1
     mask = np.where(block.id[chosen] > block.id[chosen][sent][which], (np.int64(1) << size) - 1, mask)  # an equal stretch is in this block
-    rep = np.repeat(np.arange(len(chosen)), size)
-    nth = np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size)
-    starts = (first[rep] + nth)[(mask[rep] >> nth) & 1 == 1]
     change = np.zeros(len(block.buf) + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
+    for at in range(0, len(chosen), PART):
+        part = slice(at, at + PART)
+        rep = np.repeat(np.arange(len(chosen))[part], size[part])
+        nth = np.arange(len(rep)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        starts = (first[rep] + nth)[(mask[rep] >> nth) & 1 == 1]
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -384,6 +394,7 @@ def without_repeats(docs: DataFrame, block: int | None = None, range_: int | Non
     masks = exchange(blocks, known, send_stretches, reply_earlier, ranges, tasks).withColumnRenamed("answers", "masks")
 
     def marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare(tokenizers=True)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]

@@ -650,6 +650,15 @@ def test_refinement_sorts_suffixes():
         assert cut == sorted(whole[s : s + 50] for s in range(size)) and sorted(order.tolist()) == list(range(size + 73))
 
 
+def test_ranges_get_even_shares():
+    """Anchors are smallest hashes of their windows, and yet no range has many times its share of them."""
+    buf = np.random.default_rng(5).integers(97, 123, 1 << 18).astype(np.uint8)
+    row = {"ids": np.arange(4).tobytes(), "sizes": np.full(4, 1 << 16).tobytes(), "body": repeats.zstandard.compress(buf.tobytes())}
+    block = repeats.Block(row, 20)
+    shares = [b - a for _, a, b in block.by_range(block.hash)]
+    assert len(shares) == 20 and max(shares) < 1.5 * len(block.hash) / 20
+
+
 def test_sizes_grow_with_the_root():
     """The blobs between blocks and ranges grow with the input and not with its square, as far as MOST lets them."""
     for total in (1 << 29, 1 << 35, 1 << 40, 1 << 42):
