@@ -51,6 +51,11 @@ TEMPERATURE = 0.7
 Phase = tuple[int, int, tuple[int, ...], tuple[int, ...], int]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to 4,096 rows and 10 MB: the more at once, the fewer words are looked at and encoded again."""
+    return small(joined(batches, 4), 4096, 10 << 20)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """part, source, place (tokens of that source earlier in the part), doc_id, n, ids (binary, uint16 or uint32 little-endian)."""
 
@@ -58,7 +63,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         spare()
         part, places, tokenizer = TaskContext.get().partitionId(), {}, word_tokenizer(tokenizer_path)
         end = np.array([end_id], tokenizer.kind).tobytes()
-        for rows in small(joined(batches), 2048, 5 << 20):  # the more at once, the fewer words are looked at again
+        for rows in gathered(batches):
             ids = [x + end for x in tokenizer.encode_batch(rows.column("text"))]
             counts = [len(x) // tokenizer.kind.itemsize for x in ids]
             sources, place = rows.column("queue").to_pylist(), []

@@ -117,6 +117,13 @@ def test_packing_odd_rows(spark, odd, none):
     assert packing.query(spark, SF, none).count() == 0
 
 
+def test_packing_encodes_many_texts_at_once():
+    batch = packing.pa.RecordBatch.from_arrays([packing.pa.array(["a word"] * 1024)], ["text"])
+    assert [b.num_rows for b in packing.gathered(iter([batch] * 9))] == [4096, 4096, 1024]
+    long = packing.pa.RecordBatch.from_arrays([packing.pa.array(["x" * (6 << 20)] * 3)], ["text"])
+    assert [b.num_rows for b in packing.gathered(iter([long]))] == [1, 1, 1]
+
+
 def test_packing_to_targets(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 150), "en", ("a", "b", None)[i % 3], 0) for i in range(90)]
