@@ -391,6 +391,35 @@ def brute_kneser_ney(texts, ys, every):
     return {w: np.log(t[w] / o[w]) for w in vocabulary}, {(u, w): np.log(t2(u, w) / o2(u, w)) for u in [*vocabulary, ""] for w in vocabulary}
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    staged, stage = {}, toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    n = 20_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, 'bad ', 'good ') || id % 7 as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    found = toxicity.toxicity(docs, labels)
+    known = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n))
+    fitted, counts = staged["fitted"].count(), staged["counts"]
+    assert fitted > known / 5 and counts.where("u is not null").selectExpr("sum(o + t)").first()[0] == 2 * (known - fitted)
+    assert counts.where("u is null").selectExpr("sum(o + t)").first()[0] == 2 * (known - fitted)
+    assert found.where("predicted != cast(doc_id % 2 = 0 as int)").count() == 0
+
+
+def test_vocabulary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "OWN", 3)
+    monkeypatch.setattr(toxicity, "OTHERS", 4)
+    words = toxicity.hashed([f"w{k}" for k in range(100)])
+    shared = spark.createDataFrame([(int(w), 100 - k) for k, w in enumerate(words.view(np.int64))], "w long, s long")
+    vocabulary, ids = toxicity.vocabulary_of(shared)
+    known = vocabulary.words(words)
+    assert (known[:3] == words[:3]).all() and len(set(known.tolist())) == 7
+    want = defaultdict(int)
+    for k, w in enumerate(known.view(np.int64).tolist()):
+        want[w] += 100 - k
+    assert {r.w: r.s for r in ids.collect()} == want
+    assert len(set(vocabulary.contexts(words).tolist())) <= toxicity.CONTEXTS
+
+
 def test_kneser_ney_equals_brute_force(spark):
     rng = random.Random(21)
     texts = [" ".join(rng.choice("abcdefgh") + rng.choice(["", "", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
