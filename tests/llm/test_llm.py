@@ -405,6 +405,14 @@ def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
     assert found.where("predicted != cast(doc_id % 2 = 0 as int)").count() == 0
 
 
+def test_labelled_texts_are_those_of_a_join(spark):
+    docs = spark.range(500).selectExpr("if(id % 50 = 7, null, id % 300) as doc_id", "'t' || id as text")
+    known = spark.range(0, 600, 3).selectExpr("id as doc_id", "1 as y", "id as h")
+    want = sorted(map(tuple, docs.join(known, "doc_id").select("doc_id", "y", "h", "text").collect()))
+    for bits in (64, toxicity.BITS):
+        assert sorted(map(tuple, toxicity.labelled_texts(docs, known, bits).collect())) == want and want
+
+
 def test_vocabulary_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "OWN", 3)
     monkeypatch.setattr(toxicity, "OTHERS", 4)
