@@ -60,9 +60,12 @@ def pads(parts: DataFrame, key: str, arrangement: str) -> DataFrame:
 
     dual: left column from top to bottom, right one upwards from the bottom. quad: left down, bottom to the right, right
     up, top to the left; sides take the pins in turn, the first ones one more. single: a row along x.
+
+    Parts are dealt out by their key before they become many rows: a table of a few MB would else be multiplied in one
+    task, and what gathers or joins lands by part finds them together.
     """
     n, p, k = c("n"), c("pitch"), c("__nth")
-    rows = parts.select("*", F.explode(F.sequence(F.lit(1), n)).alias("number")).withColumn("__nth", c("number") - 1)
+    rows = parts.repartition(key).select("*", F.explode(F.sequence(F.lit(1), n)).alias("number")).withColumn("__nth", c("number") - 1)
     if arrangement == "single":
         return rows.select(key, "number", ((k - (n - 1) / 2) * p).alias("x"), F.lit(0.0).alias("y"), c("pad_width").alias("w"), c("pad_length").alias("h"))
     if arrangement == "dual":
@@ -73,16 +76,15 @@ def pads(parts: DataFrame, key: str, arrangement: str) -> DataFrame:
         return rows.select(key, "number", x.alias("x"), (-(side - 1) * p / 2 + row * p).alias("y"), c("pad_length").alias("w"), c("pad_width").alias("h"))
     if arrangement != "quad":
         raise ValueError(arrangement)
-    base, more = F.floor(n / 4).cast("int"), n % 4
-    begins, at = [], F.lit(0)
-    for s in range(4):
-        begins.append(at)
-        at = at + base + (more > s).cast("int")
-    side = F.when(k < begins[1], 0).when(k < begins[2], 1).when(k < begins[3], 2).otherwise(3)
-    begin = F.when(k < begins[1], begins[0]).when(k < begins[2], begins[1]).when(k < begins[3], begins[2]).otherwise(begins[3])
-    count = base + (more > side).cast("int")
-    along = (k - begin - (count - 1) / 2) * p
-    cross = F.coalesce("cross", "centre")
+    # columns of their own, each looked at many times; written out they would be code too long to be compiled
+    rows = rows.withColumns({"__base": F.floor(n / 4).cast("int"), "__more": n % 4})
+    base, more = c("__base"), c("__more")
+    first = lambda s: base * s + F.least(more, F.lit(s))
+    rows = rows.withColumn("__side", sum(((k >= first(s)).cast("int") for s in (2, 3)), (k >= first(1)).cast("int")))
+    side = c("__side")
+    begin, count = base * side + F.least(more, side), base + (more > side).cast("int")
+    rows = rows.withColumn("__along", (k - begin - (count - 1) / 2) * p)
+    along, cross = c("__along"), F.coalesce("cross", "centre")
     x = F.when(side == 0, -c("centre")).when(side == 1, along).when(side == 2, c("centre")).otherwise(-along)
     y = F.when(side == 0, along).when(side == 1, cross).when(side == 2, -along).otherwise(-cross)
     upright = side % 2 == 1
@@ -92,17 +94,21 @@ def pads(parts: DataFrame, key: str, arrangement: str) -> DataFrame:
 
 
 def overlapping(pads_: DataFrame, key: str) -> DataFrame:
-    """key, a, b: pairs of pads of one part, a before b, that overlap. An equi-join on the part with the rest as its condition."""
+    """key, a, b: pairs of pads of one part, a before b, that overlap. An equi-join on the part with the rest as its condition.
+
+    Pads are many times what their parts are, by which Spark guesses their size: they are never broadcast.
+    """
     a = pads_.select(key, *(c(x).alias(f"a_{x}") for x in ("number", "x", "y", "w", "h")))
     b = pads_.select(key, *(c(x).alias(f"b_{x}") for x in ("number", "x", "y", "w", "h")))
     hit = G.overlaps({x: c(f"a_{x}") for x in "xywh"}, {x: c(f"b_{x}") for x in "xywh"}, TOUCHING)
-    return a.join(b, key).where((c("a_number") < c("b_number")) & hit).select(key, c("a_number").alias("a"), c("b_number").alias("b"))
+    pairs = a.join(b.hint("merge"), key).where((c("a_number") < c("b_number")) & F.coalesce(hit, F.lit(False)))
+    return pairs.select(key, c("a_number").alias("a"), c("b_number").alias("b"))
 
 
 def nearest_pad(pads_: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """key, nearest, distance: the pad whose centre is nearest to the part's marker (mx, my), the lowest number of equals."""
     d = F.sqrt((c("x") - c("mx")) * (c("x") - c("mx")) + (c("y") - c("my")) * (c("y") - c("my")))
-    rows = pads_.join(markers, key).withColumn("_d", d)
+    rows = pads_.join(markers.hint("merge"), key).withColumn("_d", d)
     return rows.groupBy(key).agg(F.min_by("number", F.struct("_d", "number")).alias("nearest"), F.min("_d").alias("distance"))
 
 
