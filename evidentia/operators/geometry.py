@@ -166,9 +166,8 @@ def paste_grid(parts: DataFrame, key: str, length: str, width: str) -> DataFrame
 
 
 def footprint_text(parts: DataFrame, pads_: DataFrame, key: str, name: str) -> DataFrame:
-    """key, body: a footprint as an s-expression, its pads in order of their numbers. One aggregation by part."""
+    """key, body: a footprint as an s-expression, its pads in order of their numbers. One aggregation by part; texts are many times what Spark guesses them to be, and never broadcast."""
     line = F.format_string('  (pad "%d" smd rect (at %.3f %.3f) (size %.3f %.3f) (layers "F.Cu" "F.Paste" "F.Mask"))', "number", "x", "y", "w", "h")
-    listed = pads_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("_l"))
-    body = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
+    listed = pads_.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("number", line.alias("line"))))["line"], "\n").alias("_l"))
     head = F.concat(F.lit('(footprint "'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"\n  (layer "F.Cu")\n'))
-    return parts.join(listed, key).select(key, F.concat(head, body, F.lit("\n)")).alias("body"))
+    return parts.join(listed.hint("merge"), key).select(key, F.concat(head, "_l", F.lit("\n)")).alias("body"))
