@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,8 +79,7 @@ def symbol_text(parts: DataFrame, pins: DataFrame, key: str, name: str, grid: fl
 
     pins: key, number (long), pin_name, kind.
     """
-    counted = pins.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = pins.join(counted, key)
+    rows = pins.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     side = F.ceil(F.col("_n") / 2)
     left = F.col("number") <= side
     row = F.when(left, F.col("number") - 1).otherwise(F.col("_n") - F.col("number"))
@@ -90,9 +89,9 @@ def symbol_text(parts: DataFrame, pins: DataFrame, key: str, name: str, grid: fl
         kind = F.when(F.col("kind") == k, v).otherwise(kind)
     quoted = F.regexp_replace("pin_name", r'(["\\])', r"\\$1")
     line = F.format_string('    (pin %s line (at %.2f %.2f %d) (length 2.54) (name "%s") (number "%d"))', kind, F.when(left, -10.16).otherwise(10.16), y, F.when(left, 0).otherwise(180), quoted, F.col("number"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("_l"))
-    body = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    return parts.join(listed, key).select(key, F.concat(F.lit('(symbol "'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"\n'), body, F.lit("\n)")).alias("body"))
+    listed = rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("number", line.alias("line"))))["line"], "\n").alias("_l"))
+    # texts are many times what Spark guesses them to be, and never broadcast
+    return parts.join(listed.hint("merge"), key).select(key, F.concat(F.lit('(symbol "'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"\n'), "_l", F.lit("\n)")).alias("body"))
 
 
 def scrubbed(events: DataFrame, forbidden: list[str], part: str | None = None, parts_allowed: bool = False) -> DataFrame:

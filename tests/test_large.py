@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 NEVER_BROADCAST = [
     "footprint_text",
     "pad_overlap",
+    "symbol_text",
 ]
 
 
