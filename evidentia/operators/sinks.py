@@ -125,7 +125,7 @@ def footprint_file(parts: DataFrame, pads: DataFrame, silk: DataFrame, key: str,
 def bundle(files: DataFrame, key: str, path: str, body: str) -> DataFrame:
     """key, manifest: what an export consists of, as JSON: each file with its bytes and hash, in the order of their paths. No time stands in it."""
     one = F.struct(F.col(path).alias("path"), F.octet_length(body).alias("bytes"), F.sha2(body, 256).alias("sha256"))
-    listed = files.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("files"))
+    listed = files.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("files"))
     return listed.select(key, F.to_json(F.struct(F.lit(1).alias("version"), "files")).alias("manifest"))
 
 

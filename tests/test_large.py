@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NEVER_BROADCAST = [
+    "export_bundles",
     "footprint_text",
     "pad_overlap",
     "symbol_text",
