@@ -168,10 +168,11 @@ def copper_check(pads: DataFrame, records: DataFrame, key: str, eps: float = 0.0
 def silk(edges: DataFrame, pads: DataFrame, key: str, clearance: float) -> DataFrame:
     """key, edge, start, end: what is left of a body's vertical edges (edge, x, low, high) beside the lands, with a clearance around these."""
     a = edges.select(key, "edge", "low", "high", c("x").alias("_x"))
-    b = pads.select(key, (c("y") - c("h") / 2 - clearance).alias("_a"), (c("y") + c("h") / 2 + clearance).alias("_b"), (c("x") - c("w") / 2 - clearance).alias("_l"), (c("x") + c("w") / 2 + clearance).alias("_r"))
-    near = a.join(b, key, "left").where(c("_l").isNull() | ((c("_l") < c("_x")) & (c("_x") < c("_r")) & (c("_a") < c("high")) & (c("_b") > c("low"))))
-    cuts = near.groupBy(key, "edge").agg(F.array_sort(F.collect_list(F.struct("_a", "_b"))).alias("_cuts"))
-    rows = a.join(cuts, [key, "edge"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<_a:double,_b:double>>")))
+    b = pads.select(c(key).alias("_k"), (c("y") - c("h") / 2 - clearance).alias("_a"), (c("y") + c("h") / 2 + clearance).alias("_b"), (c("x") - c("w") / 2 - clearance).alias("_l"), (c("x") + c("w") / 2 + clearance).alias("_r"))
+    near = (a[key] == b["_k"]) & (c("_l") < c("_x")) & (c("_x") < c("_r")) & (c("_a") < c("high")) & (c("_b") > c("low"))
+    cut = F.when(c("_a").isNotNull(), F.struct("_a", "_b"))
+    # lands are many times what Spark guesses them to be, and never broadcast
+    rows = a.join(b.hint("merge"), near, "left").groupBy(key, "edge", "low", "high", "_x").agg(F.sort_array(F.collect_list(cut)).alias("_cuts"))
     # bounded by the part's pins: walk along the edge from cut to cut
     start = F.struct(F.col("low").alias("at"), F.array().cast("array<struct<start:double,end:double>>").alias("kept"))
 

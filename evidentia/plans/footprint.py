@@ -160,7 +160,7 @@ m AS (SELECT p_partkey, edge, a, b FROM c UNION ALL SELECT p_partkey, edge, high
 SELECT p_partkey, edge::INTEGER AS edge, at_ AS start, a AS "end" FROM w WHERE a > at_""".replace("AS cross,", 'AS "cross",'))
 def silk_segments(t: Tables) -> DataFrame:
     """What is drawn of a body's long edges between its lands."""
-    edges = t.part.select("p_partkey", F.explode(F.array(F.struct(F.lit(1).alias("edge"), F.lit(-1.9).alias("x")), F.struct(F.lit(2).alias("edge"), F.lit(1.9).alias("x")))).alias("e"))
+    edges = t.part.repartition("p_partkey").select("p_partkey", F.explode(F.array(F.struct(F.lit(1).alias("edge"), F.lit(-1.9).alias("x")), F.struct(F.lit(2).alias("edge"), F.lit(1.9).alias("x")))).alias("e"))
     edges = edges.select("p_partkey", "e.edge", "e.x", F.lit(-3.0).alias("low"), F.lit(3.0).alias("high"))
     return ops.silk(edges, pads_ops.pads(placed(t), "p_partkey", "dual"), "p_partkey", 0.1)
 

@@ -9,6 +9,7 @@ NEVER_BROADCAST = [
     "export_bundles",
     "footprint_text",
     "pad_overlap",
+    "silk_segments",
     "symbol_text",
 ]
 
