@@ -110,11 +110,11 @@ def footprint_file(parts: DataFrame, pads: DataFrame, silk: DataFrame, key: str,
     pad = F.when(F.col("drill").isNull(), xy('  (pad "%d" smd rect (at %.3f %.3f) (size %.3f %.3f) (layers "F.Cu" "F.Paste" "F.Mask"))', "number", "x", "y", "w", "h")).otherwise(
         xy('  (pad "%d" thru_hole circle (at %.3f %.3f) (size %.3f %.3f) (drill %.3f) (layers "*.Cu" "*.Mask"))', "number", "x", "y", "w", "h", F.coalesce("drill", F.lit(0.0)))
     )
-    listed = lambda rows, order, line, out: rows.select(key, F.struct(*order, line.alias("line")).alias("_r")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["line"]), "\n").alias(out))
+    listed = lambda rows, order, line, out: rows.select(key, F.struct(*order, line.alias("line")).alias("_r")).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("_r"))["line"], "\n").alias(out))
     pads_ = listed(pads, ["number"], pad, "_pads")
     lines = listed(silk, ["x", "start"], xy('  (fp_line (start %.3f %.3f) (end %.3f %.3f) (layer "F.SilkS"))', "x", "start", "x", "end"), "_silk")
     quoted = F.regexp_replace(name, r'(["\\])', r"\\$1")
-    rows = parts.join(pads_, key).join(lines, key, "left")
+    rows = parts.join(pads_.hint("merge"), key).join(lines.hint("merge"), key, "left")  # many times what Spark guesses them to be, and never broadcast
     body = F.concat_ws(
         "\n", F.concat(F.lit('(footprint "'), quoted, F.lit('"')), F.lit('  (layer "F.Cu")'), box("F.CrtYd", F.col("half_width"), F.col("half_height")), box("F.Fab", F.col("body_width") / 2, F.col("body_length") / 2),
         F.col("_silk"), F.col("_pads"), F.concat(F.lit('  (model "'), quoted, F.lit('.step"))')),

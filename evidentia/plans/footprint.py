@@ -192,7 +192,7 @@ SELECT p_partkey, '(footprint "' || {_NAME} || '"' || chr(10) || '  (layer "F.Cu
 FROM ({_PLACED_SQL}) JOIN p USING (p_partkey) LEFT JOIN l USING (p_partkey) JOIN (SELECT p_partkey, p_name FROM part) USING (p_partkey)""".replace("AS cross,", 'AS "cross",'))
 def footprint_files(t: Tables) -> DataFrame:
     """Whole footprint files."""
-    parts = placed(t).join(t.part.select("p_partkey", "p_name"), "p_partkey").withColumn("body_width", F.lit(3.0)).withColumn("body_length", F.lit(4.0))
+    parts = placed(t, "p_name").withColumn("body_width", F.lit(3.0)).withColumn("body_length", F.lit(4.0))
     lines = silk_segments(t).withColumn("x", F.when(c("edge") == 1, -1.9).otherwise(1.9))
     pads = pads_ops.pads(placed(t), "p_partkey", "dual").withColumn("drill", F.lit(None).cast("double"))
     return sinks.footprint_file(parts, pads, lines, "p_partkey", "p_name")

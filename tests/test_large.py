@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 NEVER_BROADCAST = [
     "export_bundles",
+    "footprint_files",
     "footprint_text",
     "pad_overlap",
     "silk_segments",
