@@ -131,8 +131,9 @@ def bundle(files: DataFrame, key: str, path: str, body: str) -> DataFrame:
 
 def le32(value: Column) -> Column:
     """A whole number as four bytes, the least first, in hex."""
-    h = F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    v, byte = value.cast("long"), F.lit(0xFF)
+    turned = [F.shiftleft(F.shiftright(v, 8 * k).bitwiseAND(byte), 24 - 8 * k) for k in range(4)]
+    return F.lpad(F.hex(turned[0].bitwiseOR(turned[1]).bitwiseOR(turned[2]).bitwiseOR(turned[3])), 8, "0")
 
 
 def short_string(value: Column) -> Column:
@@ -148,9 +149,10 @@ def pad_records(pads: DataFrame, key: str) -> DataFrame:
     """
     from .footprint import altium_units
 
-    parts = [F.lit("01"), *(le32(altium_units(F.col(n))) for n in "xywh"), short_string(F.col("number").cast("string"))]
-    body = F.concat(*parts)
-    record = F.concat(le32((F.length(body) / 2).cast("long")), body)
-    sound = F.count_if(record.isNull()) == 0
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", record.alias("r")))), lambda x: x["r"]), "")
-    return pads.groupBy(key).agg(F.when(sound, listed).alias("hex"))
+    # step by step, each value a column of its own: written out, each would be worked out hundreds of times
+    rows = pads.select(key, "number", *(altium_units(F.col(n)).alias(f"_{n}") for n in "xywh"), short_string(F.col("number").cast("string")).alias("_s"))
+    rows = rows.select(key, "number", F.concat(F.lit("01"), *(le32(F.col(f"_{n}")) for n in "xywh"), "_s").alias("_b"))
+    rows = rows.select(key, "number", "_b", (F.length("_b") / 2).cast("long").alias("_n"))
+    rows = rows.select(key, "number", F.concat(le32(F.col("_n")), "_b").alias("_r"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("number", "_r")))["_r"], "")
+    return rows.groupBy(key).agg(F.when(F.count_if(F.col("_r").isNull()) == 0, listed).alias("hex"))
