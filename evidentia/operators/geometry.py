@@ -125,7 +125,7 @@ def violations(parts: DataFrame, pads_: DataFrame, key: str) -> DataFrame:
     lands = pads_.groupBy(key).agg(F.array_sort(F.collect_list(land)).alias("_p"))
     columns = [c(n) for n in ("n", "half_width", "half_height", "mx", "my")]
     exposed, table = F.coalesce(has(parts, "exposed", "boolean"), F.lit(False)).alias("_e"), F.coalesce(has(parts, "pins", "array<string>"), F.array().cast("array<string>")).alias("_t")
-    rows = parts.select(key, *columns, exposed, table).join(lands, key, "left").withColumn("_p", F.coalesce("_p", F.array()))
+    rows = parts.select(key, *columns, exposed, table).join(lands.hint("merge"), key, "left").withColumn("_p", F.coalesce("_p", F.array()))
     p, count = c("_p"), lambda test: F.size(F.filter("_p", test))
     wanted = F.sequence(F.lit(1), c("n") + c("_e").cast("int"))
     numbers = F.transform(p, lambda a: a["number"].cast("int"))

@@ -174,7 +174,7 @@ def paste_and_hole_rules(t: Tables) -> DataFrame:
     """The rules for paste, holes, the pad under the part and pins without a land, on lands with defects."""
     parts = t.part.select("p_partkey", (2 + c("p_size") % 3).cast("int").alias("n"), F.lit(99.0).alias("half_width"), F.lit(99.0).alias("half_height"), F.lit(2.0).alias("mx"), F.lit(0.0).alias("my"), (c("p_partkey") % 4 == 0).alias("exposed"),
                           F.when(c("p_partkey") % 7 == 0, F.array(F.lit("1"), F.lit("77"), F.lit("EP"))).otherwise(F.array(F.lit("1"), F.lit("2"))).alias("pins"))
-    lands = parts.select("p_partkey", F.explode(F.sequence(F.lit(1), "n")).alias("number"))
+    lands = parts.repartition("p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(1), "n")).alias("number"))
     moved = c("number") * 2.0 + F.when((c("p_partkey") % 5 == 0) & (c("number") == 1), 0.3).otherwise(0.0)
     paste = F.array(F.struct(moved.alias("x"), F.lit(0.0).alias("y"), F.lit(0.8).alias("w"), F.lit(0.8).alias("h")))
     lands = lands.select("p_partkey", "number", (c("number") * 2.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"), (c("p_partkey") % 3 == 0).alias("plated"), F.when(c("p_partkey") % 6 != 0, 0.5).alias("drill"), paste.alias("paste"))

@@ -10,6 +10,7 @@ NEVER_BROADCAST = [
     "footprint_files",
     "footprint_text",
     "pad_overlap",
+    "paste_and_hole_rules",
     "silk_segments",
     "symbol_text",
 ]
