@@ -136,28 +136,65 @@ def same_pin_names(left: Column, right: Column) -> Column:
     return F.coalesce(said(left) == said(right), F.lit(False))
 
 
+def partners(first: DataFrame, second: DataFrame, key: str, agree: list[str], contradict: list[str]) -> DataFrame:
+    """key, a_entry, b_entry: the pairs of merge_entries in which neither entry has another partner. No pairs are listed.
+
+    Entries with the same features have the same partners, so they are one class. Two classes fit if they have one value
+    of `agree` in common and the same values of `contradict` where both have one. What must be equal depends on which
+    values either lacks, so a class is filed under each set of values (a bit each) that the other side can have, and its
+    partners' smallest and largest entries are read off there. They are equal where there is one partner.
+    """
+    features = list(dict.fromkeys([*agree, *contradict]))
+    everything = (1 << len(contradict)) - 1
+    ends = lambda lo, hi, nil: [F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.bool_or(nil).alias("nil")]
+
+    def classes(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy(key, *features).agg(*ends("entry", "entry", F.col("entry").isNull()))
+
+    def filed(rows: DataFrame, is_first: bool) -> DataFrame:
+        """A row for each feature to agree on and each set of values the other side can have: _x, its value _v, both sets, what must be equal."""
+        own = sum((F.col(x).isNotNull().cast("int") * (1 << i) for i, x in enumerate(contradict)), F.lit(0))
+        named = F.array(*(F.struct(F.lit(i).alias("_x"), F.col(x).cast("string").alias("_v")) for i, x in enumerate(agree)))
+        rows = rows.withColumn("_own", own).withColumn("_n", F.explode(F.filter(named, lambda n: n["_v"].isNotNull())))
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(everything))))
+        same = [F.when(F.col("_other").bitwiseAND(F.lit(1 << i)) != 0, F.col(x)).alias(f"_s{i}") for i, x in enumerate(contradict)]
+        pair = ("_own", "_other") if is_first else ("_other", "_own")
+        return rows.select(key, "_n._x", "_n._v", F.col(pair[0]).alias("_pa"), F.col(pair[1]).alias("_pb"), *same, *features, "lo", "hi", "nil")
+
+    at = [key, "_x", "_v", "_pa", "_pb"]
+    equal = [f"_s{i}" for i in range(len(contradict))]
+
+    def known(asked: DataFrame, others: DataFrame, entry: str, other: str, rows: DataFrame) -> DataFrame:
+        """key, entry, other: entries that have one partner in all."""
+        found = others.groupBy(*at, *equal).agg(*ends("lo", "hi", F.col("nil")))
+        found = found.select(*(F.col(x).alias(f"r{x}") for x in [*at, *equal]), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("nil").alias("_nil"))
+        # nothing is broadcast: a table that Spark guesses small may have millions of entries
+        on = [F.col(x) == F.col(f"r{x}") for x in at] + [F.col(x).eqNullSafe(F.col(f"r{x}")) for x in equal]
+        of_class = asked.join(found.hint("merge"), on).groupBy(key, *features).agg(*ends("_lo", "_hi", F.col("_nil")))
+        of_class = of_class.select(*(F.col(x).alias(f"r{x}") for x in [key, *features]), "lo", "hi", "nil")
+        on = [F.col(key) == F.col(f"r{key}")] + [F.col(x).eqNullSafe(F.col(f"r{x}")) for x in features]
+        of_entry = rows.select(key, "entry", *features).hint("merge").join(of_class, on).groupBy(key, "entry").agg(*ends("lo", "hi", F.col("nil")))
+        one = F.col("lo").eqNullSafe(F.col("hi")) & ~(F.col("nil") & F.col("lo").isNotNull())
+        return of_entry.where(one).select(F.col(key).alias(f"_{entry}_key"), F.col("entry").alias(entry), F.col("lo").alias(other))
+
+    a, b = filed(classes(first), True), filed(classes(second), False)
+    a_sole, b_sole = known(a, b, "a_entry", "_b", first), known(b, a, "b_entry", "_a", second)
+    mutual = (F.col("_a_entry_key") == F.col("_b_entry_key")) & F.col("a_entry").eqNullSafe(F.col("_a")) & F.col("b_entry").eqNullSafe(F.col("_b"))
+    return a_sole.join(b_sole.hint("merge"), mutual).select(F.col("_a_entry_key").alias(key), "a_entry", "b_entry")
+
+
 def merge_entries(first: DataFrame, second: DataFrame, key: str, agree: list[str], contradict: list[str], values: list[str]) -> DataFrame:
     """Entries of two passes as one list: a pair is one entity if they agree on a feature, contradict none, and neither has another partner.
 
     Values of the first pass stand, gaps are filled from the second; entries without partner stay by themselves.
     key: what entries are grouped by (a document); entries carry `entry` ids.
     """
-    pairs = None
-    a = first.select(key, F.col("entry").alias("a_entry"), *(F.col(x).alias(f"a_{x}") for x in dict.fromkeys([*agree, *contradict])))
-    b = second.select(key, F.col("entry").alias("b_entry"), *(F.col(x).alias(f"b_{x}") for x in dict.fromkeys([*agree, *contradict])))
-    for x in agree:  # one equi-join for each feature they may agree on
-        hits = a.join(b, (a[key] == b[key]) & (F.col(f"a_{x}") == F.col(f"b_{x}"))).drop(b[key])
-        pairs = hits if pairs is None else pairs.unionByName(hits)
-    for x in contradict:
-        pairs = pairs.where(F.coalesce(F.col(f"a_{x}") == F.col(f"b_{x}"), F.lit(True)))
-    pairs = pairs.select(key, "a_entry", "b_entry").distinct()
-    n = lambda e: F.count(F.lit(1)).over(Window.partitionBy(key, e))
-    sole = pairs.withColumn("_na", n("a_entry")).withColumn("_nb", n("b_entry")).where("_na = 1 and _nb = 1").select(key, "a_entry", "b_entry")
-    left = first.join(sole.select(key, F.col("a_entry").alias("entry"), "b_entry"), [key, "entry"], "left")
+    sole = partners(first, second, key, agree, contradict)
+    left = first.hint("merge").join(sole.select(key, F.col("a_entry").alias("entry"), "b_entry"), [key, "entry"], "left")
     right = second.select(F.col(key).alias("_k"), F.col("entry").alias("_e"), *(F.col(v).alias(f"_{v}") for v in values))
-    left = left.join(right, (F.col(key) == F.col("_k")) & (F.col("b_entry") == F.col("_e")), "left")
+    left = left.join(right.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("b_entry") == F.col("_e")), "left")
     joined = left.select(key, "entry", F.col("b_entry").alias("merged"), *(F.coalesce(v, f"_{v}").alias(v) for v in values))
-    alone = second.join(sole.select(key, F.col("b_entry").alias("entry")), [key, "entry"], "left_anti")
+    alone = second.hint("merge").join(sole.select(key, F.col("b_entry").alias("entry")), [key, "entry"], "left_anti")
     return joined.unionByName(alone.select(key, "entry", F.lit(None).cast(joined.schema["merged"].dataType).alias("merged"), *values))
 
 
