@@ -39,6 +39,15 @@ def test_merged_entries_list_no_pairs(spark):
     assert pairs.count() == 2 and most_rows(pairs._jdf.queryExecution()) < 20_000
 
 
+def test_exact_counts_multiply_no_rows(spark, tmp_path):
+    """No Expand, no exchange of single keys; estimates that are far off are told, nulls and negative keys counted as SQL does."""
+    lines = "select if(id % 3 = 0, null, 'A') as l_returnflag, if(id % 5 = 0, null, id % 700 - 300) as l_partkey, id - 50 as l_orderkey from range(5000)"
+    spark.sql(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = entry.catalog.QUERIES["approx_distinct"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("A", True, True), (None, True, True)], key=str)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def most_rows(execution) -> int:
     """The most rows that a join of a plan that ran has made."""
     execution.toRdd().count()
